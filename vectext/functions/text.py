@@ -45,7 +45,8 @@ def score_ok(score: Column, floor: float | None) -> Column:
 
 
 def score_text(score: Column) -> Column:
-    return F.format_string("%.4f", score.try_cast("double"))
+    number = score.try_cast("double")
+    return F.when(number.isNotNull(), F.format_string("%.4f", number))
 
 
 def has_bad_pattern(text: Column, extra: Sequence[str] = ()) -> Column:

@@ -70,8 +70,10 @@ def scaled_mse(pred: Column, gold: Column, scale: float | None) -> Column:
 def reward(mse: Column, log_form: bool = False) -> Column:
     """Reward of a scored row; null ``mse`` means the response had failed."""
     if log_form:
-        return F.coalesce(-F.log(F.greatest(mse, F.lit(fx.MSE_FLOOR))), F.lit(-math.log(2.0)))
-    return F.coalesce(-mse, F.lit(fx.FAILED_REWARD))
+        scored, failed = -F.log(F.greatest(mse, F.lit(fx.MSE_FLOOR))), -math.log(2.0)
+    else:
+        scored, failed = -mse, fx.FAILED_REWARD
+    return F.when(mse.isNotNull(), scored).otherwise(F.lit(failed))
 
 
 def is_finite(v: Column) -> Column:

@@ -10,6 +10,7 @@ from vectext.functions import text as tx
 from vectext.functions.keys import text_key
 from vectext.operators.index import BLOCK_ROWS, block_offsets
 from vectext.operators.lookups import first_per_key
+from vectext.session import cut_lineage
 
 
 def with_reject_reason(
@@ -41,32 +42,31 @@ def first_n(
 ) -> DataFrame:
     """The first ``n`` rows in scan order; fewer rows are an error when ``strict``.
 
-    Rows are counted per block of a file; whole blocks before the cut are kept
-    as they are and only the block the cut falls in is ranked.
+    Only (file, row) pairs are counted, per block of a file. The block the cut
+    falls in is the only one that is sorted; the result is a plain filter on
+    file and row.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(row) / BLOCK_ROWS).cast("bigint"))
-    counts = blocked.groupBy(file, "_block").agg(F.count("*").alias("_rows"))
+    keys = cut_lineage(df.select(file, row)).withColumn("_block", F.floor(F.col(row) / BLOCK_ROWS).cast("bigint"))
+    counts = keys.groupBy(file, "_block").agg(F.count("*").alias("_rows"))
     files = counts.groupBy(file).agg(F.sum("_rows").alias("_rows"))
     starts = block_offsets(files, [], file, "_rows").withColumnRenamed("_before", "_start")
     inside = block_offsets(counts, [file], "_block", "_rows")
-    cut = (
+    before = F.col("_start") + F.col("_before")
+    edge = (
         counts.join(inside, [file, "_block"])
         .join(starts, file)
-        .select(file, "_block", "_rows", (F.col("_start") + F.col("_before")).alias("_before"))
-        .where(F.col("_before") < n)
-        .select(file, "_block", (F.lit(n) - F.col("_before")).alias("_room"), "_rows")
+        .where((before < n) & (before + F.col("_rows") >= n))
+        .select(file, "_block", (F.lit(n) - before).alias("_room"))
+        .first()
     )
-    if strict:
-        have = counts.agg(F.sum("_rows")).first()[0] or 0
-        if have < n:
+    if edge is None:
+        have = files.agg(F.sum("_rows")).first()[0] or 0
+        if strict and have < n:
             raise ValueError(f"only {have} of {n} rows passed")
-    kept = blocked.join(cut, [file, "_block"])
-    whole = kept.where("_rows <= _room")
-    # One block holds the cut: at most BLOCK_ROWS rows are sorted here.
-    edge = kept.where("_rows > _room")
-    limit = cut.where("_rows > _room").select("_room").first()
-    edge = edge.orderBy(row).limit(int(limit[0]) if limit else 0)
-    return whole.unionByName(edge).select(*df.columns)
+        return df
+    block = keys.where((F.col(file) == edge[file]) & (F.col("_block") == edge["_block"]))
+    last = block.orderBy(row).limit(edge["_room"]).agg(F.max(row)).first()[0]
+    return df.where((F.col(file) < edge[file]) | ((F.col(file) == edge[file]) & (F.col(row) <= last)))
 
 
 def clean_corpus(

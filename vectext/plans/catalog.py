@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from vectext.plans import corpus_queries  # noqa: F401
+from vectext.plans import (  # noqa: F401
+    corpus_queries,
+    explain_queries,
+    stream_queries,
+    table_queries,
+    vector_queries,
+)
 from vectext.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vectext.functions import text as tx, vectors as vx
+from vectext import fixed_values as fx
 from vectext.operators import sampling as sp
 from vectext.operators.explain import EXPLANATION, TEXT
 
@@ -110,8 +110,6 @@ RESPONSES = """responses AS (
 
 
 def cleaned_sql() -> str:
-    from vectext import fixed_values as fx
-
     headers = "|".join(fx.HEADER_PHRASES)
     line = (
         "regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, "
@@ -188,20 +186,24 @@ ROLLOUTS = """rollouts AS (
   FROM events)"""
 
 
-def generations(spark: SparkSession, folder: str) -> DataFrame:
+def as_generations(documents: DataFrame) -> DataFrame:
     """Generations made from whole texts: some untagged, some cut off."""
-    open_, close = tx.fx.EXPLANATION_OPEN, tx.fx.EXPLANATION_CLOSE
+    open_, close = fx.EXPLANATION_OPEN, fx.EXPLANATION_CLOSE
     text = F.col("text")
-    response = F.when(F.pmod("doc_id", F.lit(5)) == 0, text).otherwise(F.concat(F.lit(open_ + "\n"), text, F.lit("\n" + close)))
-    return table(spark, folder, "documents").select(
+    tagged = F.concat(F.lit(open_ + "\n"), text, F.lit("\n" + close))
+    return documents.select(
         F.col("doc_id").alias("index"),
         "source",
-        response.alias("response"),
+        F.when(F.pmod("doc_id", F.lit(5)) == 0, text).otherwise(tagged).alias("response"),
         F.when(F.pmod("doc_id", F.lit(9)) == 0, "truncated").otherwise("completed").alias("status"),
         (F.col("n_chars") + 1).alias("n_logprobs"),
     )
 
 
+def generations(spark: SparkSession, folder: str) -> DataFrame:
+    return as_generations(table(spark, folder, "documents"))
+
+
 GENERATIONS = """generations AS (
   SELECT doc_id AS index, source, n_chars + 1 AS n_logprobs,
          CASE WHEN doc_id % 5 = 0 THEN text
