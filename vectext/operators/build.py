@@ -114,8 +114,9 @@ def supervised_rows(df: DataFrame) -> DataFrame:
 
 
 def critic_rows(rollouts: DataFrame, template: str = fx.CRITIC_TEMPLATE) -> DataFrame:
-    """Completed rollouts as critic input: prompt tokens, their number, raw vector."""
-    prompt = tx.fill_template(template, tx.extract_explanation(F.col("response")))
+    """Completed rollouts (see ``generation_status``) as critic input: prompt
+    tokens, their number, raw vector."""
+    prompt = tx.fill_template(template, F.col("explanation"))
     vector = ["activation_vector"] if "activation_vector" in rollouts.columns else []
     return (
         rollouts.where("final_status = 'completed'")

@@ -16,9 +16,15 @@ from vectext.session import cut_lineage
 def with_reject_reason(
     df: DataFrame, rules: tx.QualityRules = tx.QualityRules(), text: str = "text", score: str = "score"
 ) -> DataFrame:
+    """Rows with the first rule they fail, null where they pass.
+
+    The reason comes out of a generator, one row per row, so that a filter on
+    it runs where it is written and not a second time inside the scan.
+    """
     if score not in df.columns:
         df = df.withColumn(score, F.lit(None).cast("string"))
-    return df.withColumn("reject_reason", tx.reject_reason(F.col(text), F.col(score), rules))
+    reason = tx.reject_reason(F.col(text), F.col(score), rules)
+    return df.select("*", F.explode(F.array(reason)).alias("reject_reason"))
 
 
 def passing(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vectext import fixed_values as fx
 from vectext.functions import text as tx
@@ -79,15 +79,23 @@ def complete(df: DataFrame, provider: Callable[[list[str]], list[str | None]], t
 
 
 def clean_responses(df: DataFrame, pattern: str = fx.RESPONSE_PATTERN) -> DataFrame:
-    """Cleaned text, feature count and the reason a response is dropped, if any."""
-    cleaned = df.withColumn("cleaned", tx.clean_explanation(F.col("raw_response"), pattern))
-    counted = cleaned.withColumn("feature_count", tx.feature_count(F.col("cleaned")).cast("int"))
-    return counted.withColumn(
-        "reason",
-        F.when(F.col("raw_response").isNull(), "provider_returned_none")
-        .when(F.col("cleaned").isNull(), "extract_failed")
-        .when(F.col("feature_count") < fx.MIN_FEATURES, "too_few_features"),
-    )
+    """Cleaned text, feature count and the reason a response is dropped, if any.
+
+    The three come out of one generator, one row per row: a filter on the
+    reason is then not pushed below, where it would clean every text again.
+    """
+
+    def judged(cleaned: Column) -> Column:
+        count = tx.feature_count(cleaned).cast("int")
+        reason = (
+            F.when(F.col("raw_response").isNull(), "provider_returned_none")
+            .when(cleaned.isNull(), "extract_failed")
+            .when(count < fx.MIN_FEATURES, "too_few_features")
+        )
+        return F.struct(cleaned.alias("cleaned"), count.alias("feature_count"), reason.alias("reason"))
+
+    cleaned = F.array(tx.clean_explanation(F.col("raw_response"), pattern))
+    return df.select("*", F.inline(F.transform(cleaned, judged)))
 
 
 def kept_responses(cleaned: DataFrame) -> DataFrame:

@@ -51,6 +51,20 @@ def lookup_join(
     return spread_rows.drop("_shares").join(repeated.drop("_shares"), [key, "_share"], how).drop("_share")
 
 
+def spread_join(
+    rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str], shares: int = 16
+) -> DataFrame:
+    """Inner equi-join of many rows to a much smaller ``table`` of one row per key.
+
+    Every table row is repeated ``shares`` times and rows pick a share by a hash
+    of the ``spread`` columns, so any key is served by that many tasks without
+    counting keys first. For tables as large as the rows use ``lookup_join``.
+    """
+    share = F.pmod(F.xxhash64(*spread), F.lit(shares)).cast("int")
+    repeated = table.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return rows.withColumn("_share", share).join(repeated, [key, "_share"]).drop("_share")
+
+
 def group_stats_join(
     rows: DataFrame, group: str, spread: Sequence[str], stats: Sequence[Column], hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vectext import fixed_values as fx
 from vectext.functions import tokens as tk
 from vectext.functions.keys import hash_number
-from vectext.operators.lookups import lookup_join
+from vectext.operators.lookups import spread_join
 
 
 def with_tokens(df: DataFrame, text: str = "text", max_length: int | None = None, tokenizer: Column | None = None) -> DataFrame:
@@ -25,14 +25,22 @@ def sample_positions(
     seed: int = 42,
     specials: Sequence[str] = (),
     min_position: int = fx.MIN_POSITION,
+    **fields: Callable[[Column, Column], Column],
 ) -> DataFrame:
-    """One row per sampled position of a tokenised document.
+    """Key and position of every sampled position of a tokenised document.
 
     The draw happens inside the document's own row, so nothing is shuffled and
-    only the chosen positions become rows.
+    only the chosen positions become rows. ``fields`` adds columns made from
+    (tokens, position); they too are made inside the row, so that the token
+    list is not copied to every position.
     """
     picked = tk.sampled_positions(F.col("tokens"), F.col(key), k, seed, specials, min_position)
-    return df.withColumn("positions", picked).withColumn("position", F.explode("positions")).drop("positions")
+
+    def row(position: Column) -> Column:
+        made = [make(F.col("tokens"), position).alias(name) for name, make in fields.items()]
+        return F.struct(position.alias("position"), *made)
+
+    return df.select(key, F.inline(F.transform(picked, row)))
 
 
 def sampling_audit(
@@ -60,34 +68,59 @@ def require_no_pad(df: DataFrame, pad: str) -> DataFrame:
     return df.withColumn("tokens", F.when(clean, F.col("tokens")).otherwise(fault))
 
 
-def base_rows(positions: DataFrame, layer: int, key: str = "doc_id", corpus: str = "", split: str = "train") -> DataFrame:
-    """Prefix text and provenance of every sampled position."""
-    n = F.col("position") + 1
-    doc_id = F.concat_ws(":", F.lit(corpus), F.lit(split), F.col(key).cast("string"))
-    return positions.select(
-        n.cast("bigint").alias("n_raw_tokens"),
-        tk.prefix_text(F.col("tokens"), n).alias("detokenized_text_truncated"),
+def base_rows(
+    df: DataFrame,
+    layer: int,
+    key: str,
+    corpus: str = "",
+    k: int = fx.POSITIONS_PER_DOC,
+    seed: int = 42,
+    specials: Sequence[str] = (),
+    min_position: int = fx.MIN_POSITION,
+) -> DataFrame:
+    """Prefix text and provenance of the sampled positions of tokenised documents.
+
+    ``corpus`` goes before the key to make the document id.
+    """
+    rows = sample_positions(
+        df, key, k, seed, specials, min_position, text=lambda toks, at: tk.prefix_text(toks, at + 1)
+    )
+    return rows.select(
+        (F.col("position") + 1).alias("n_raw_tokens"),
+        F.col("text").alias("detokenized_text_truncated"),
         F.lit(layer).cast("bigint").alias("activation_layer"),
-        doc_id.alias("doc_id"),
+        F.concat(F.lit(corpus), F.col(key).cast("string")).alias("doc_id"),
     )
 
 
+def vector_slots(toks: Column, n_vectors: int) -> Column:
+    """Table row of each token, by hash."""
+    return F.transform(toks, lambda t: F.pmod(hash_number(F.sha2(t, 256), 8), F.lit(n_vectors)))
+
+
 def pooled_vectors(
-    positions: DataFrame, table: DataFrame, n_vectors: int, window: int = 4, key: str = "doc_id"
+    df: DataFrame,
+    table: DataFrame,
+    n_vectors: int,
+    window: int = 4,
+    key: str = "doc_id",
+    k: int = fx.POSITIONS_PER_DOC,
+    seed: int = 42,
+    specials: Sequence[str] = (),
 ) -> DataFrame:
     """Default vectors: mean table row of the last ``window`` tokens up to a position.
 
-    A token names its table row by hash. Frequent tokens make hot keys, which
-    the lookup spreads; at most ``window`` vectors meet in one group.
+    Frequent tokens make hot keys, which the lookup spreads; at most ``window``
+    vectors meet in one group.
     """
-    first = F.greatest(F.col("position") - (window - 1), F.lit(0))
-    last = F.slice("tokens", (first + 1).cast("int"), (F.col("position") - first + 1).cast("int"))
-    slots = (
-        positions.select(key, "position", F.posexplode(last).alias("slot", "token"))
-        .withColumn("vec_id", F.pmod(hash_number(F.sha2("token", 256), 8), F.lit(n_vectors)))
-        .drop("token")
-    )
-    found = lookup_join(slots, table, "vec_id", [key, "position", "slot"], "inner")
+
+    def recent(toks: Column, at: Column) -> Column:
+        first = F.greatest(at - (window - 1), F.lit(0))
+        return vector_slots(F.slice(toks, (first + 1).cast("int"), (at - first + 1).cast("int")), n_vectors)
+
+    rows = sample_positions(df, key, k, seed, specials, slots=recent)
+    slots = rows.select(key, "position", F.posexplode("slots").alias("slot", "vec_id"))
+    found = spread_join(slots, table, "vec_id", [key, "position", "slot"])
 
     def mean(vectors: Column) -> Column:
         total = F.aggregate(
@@ -151,12 +184,11 @@ def pick_marker(df: DataFrame, text: str = "text", first: int = fx.MARKER_FIRST,
 
 def embed_tokens(df: DataFrame, table: DataFrame, n_vectors: int, key: Sequence[str], scale: float = 1.0) -> DataFrame:
     """One row per token with its scaled table vector."""
-    slots = df.select(*key, F.posexplode("tokens").alias("position", "token")).withColumn(
-        "vec_id", F.pmod(hash_number(F.sha2("token", 256), 8), F.lit(n_vectors))
-    )
-    found = lookup_join(slots, table, "vec_id", [*key, "position"], "inner")
-    scaled = F.transform("embedding", lambda x: x.cast("double") * F.lit(float(scale)))
-    return found.withColumn("embedding", scaled)
+    slots = df.select(*key, F.posexplode(vector_slots(F.col("tokens"), n_vectors)).alias("position", "vec_id"))
+    if scale != 1.0:
+        scaled = F.transform("embedding", lambda x: x.cast("double") * F.lit(float(scale)))
+        table = table.withColumn("embedding", scaled)
+    return spread_join(slots, table, "vec_id", [*key, "position"])
 
 
 def splice_vectors(embedded: DataFrame, sites: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -166,4 +198,5 @@ def splice_vectors(embedded: DataFrame, sites: DataFrame, key: Sequence[str]) ->
     """
     at = [*key, "position"]
     joined = embedded.join(sites.withColumnRenamed("vector", "_vector"), at, "left")
-    return joined.withColumn("embedding", F.coalesce("_vector", "embedding")).drop("_vector")
+    own = F.col("_vector").cast(embedded.schema["embedding"].dataType)
+    return joined.withColumn("embedding", F.coalesce(own, "embedding")).drop("_vector")

@@ -31,11 +31,16 @@ def generation_status(
     count; a truncated one fails even with tags. More log-probs than the token
     cap is flagged and kept, none at all is an error.
     """
-    explanation = tx.extract_explanation(F.col("response"))
-    length = tk.token_count(tx.fill_template(template, explanation))
-    failed = explanation.isNull() | (F.col("status") == "truncated") | (length > max_tokens)
-    status = F.when(failed, "failed").otherwise(F.col("status"))
-    out = df.withColumn("final_status", status)
+
+    def judged(explanation: Column) -> Column:
+        length = tk.token_count(tx.fill_template(template, explanation))
+        failed = explanation.isNull() | (F.col("status") == "truncated") | (length > max_tokens)
+        status = F.when(failed, "failed").otherwise(F.col("status"))
+        return F.struct(explanation.alias("explanation"), status.alias("final_status"))
+
+    # A generator parses each response once; see clean_responses.
+    parsed = F.array(tx.extract_explanation(F.col("response")))
+    out = df.select("*", F.inline(F.transform(parsed, judged)))
     if "n_logprobs" not in df.columns:
         return out
     fault = F.raise_error(F.lit("a generation came without log-probs")).cast("string")

@@ -54,7 +54,7 @@ def corpus_clean(spark, folder):
     FROM judged WHERE reject_reason IS NULL""",
 )
 def corpus_lineage(spark, folder):
-    corpus = tb.read_corpus(spark, f"{folder}/documents.parquet", score="score")
+    corpus = tb.spread(tb.read_corpus(spark, f"{folder}/documents.parquet", score="score"))
     return cp.passing(corpus, NO_SCORE).select(
         F.substring_index("source_file", "/", -1).alias("file_name"), "source_row", F.md5("text").alias("text_md5")
     )
@@ -126,7 +126,7 @@ def prefix_dedup(spark, folder):
     SELECT doc_id AS source_row, md5(text) AS text_md5 FROM ranked WHERE rn = 1 ORDER BY doc_id LIMIT 40""",
 )
 def first_n_clean(spark, folder):
-    corpus = tb.read_corpus(spark, f"{folder}/documents.parquet")
+    corpus = tb.spread(tb.read_corpus(spark, f"{folder}/documents.parquet"))
     kept = cp.dedup_prefix(cp.passing(corpus, NO_SCORE).drop("score"), ["source_file", "source_row"])
     return cp.first_n(kept, 40).select("source_row", F.md5("text").alias("text_md5"))
 
@@ -191,7 +191,7 @@ def base_rows(spark, folder):
 )
 def base_vectors(spark, folder):
     table = ins.table(spark, folder, "embeddings").select("vec_id", "embedding")
-    pooled = sp.pooled_vectors(ins.positions(spark, folder, 2), table, table.count())
+    pooled = sp.pooled_vectors(ins.tokenised(spark, folder), table, table.count(), k=2, specials=ins.SPECIALS)
     v = F.col("activation_vector")
     weighted = F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from vectext import fixed_values as fx
 from vectext.operators import sampling as sp
 from vectext.operators.explain import EXPLANATION, TEXT
+from vectext.sources import tables as tb
 
 SPECIALS = ["the", "and"]
 WIDTH = 64
@@ -14,7 +15,7 @@ LAYER = 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return tb.spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,9 +29,12 @@ CORPUS = """corpus AS (
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
+def tokenised(spark: SparkSession, folder: str) -> DataFrame:
+    return sp.with_tokens(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
 def positions(spark: SparkSession, folder: str, k: int, specials: list[str] = SPECIALS) -> DataFrame:
-    docs = sp.with_tokens(table(spark, folder, "documents").select("doc_id", "text"))
-    return sp.sample_positions(docs.drop("text"), "doc_id", k, 42, specials)
+    return sp.sample_positions(tokenised(spark, folder), "doc_id", k, 42, specials)
 
 
 def positions_sql(k: int, specials: list[str] = SPECIALS, name: str = "sampled") -> str:
@@ -56,7 +60,7 @@ def positions_sql(k: int, specials: list[str] = SPECIALS, name: str = "sampled")
 
 
 def base(spark: SparkSession, folder: str, k: int = 2) -> DataFrame:
-    return sp.base_rows(positions(spark, folder, k), LAYER, corpus="documents")
+    return sp.base_rows(tokenised(spark, folder), LAYER, "doc_id", "documents:train:", k, 42, SPECIALS)
 
 
 def base_sql(k: int = 2) -> str:

@@ -72,7 +72,7 @@ def global_index(spark, folder):
     "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, event_id FROM events",
 )
 def scan_index(spark, folder):
-    events = ins.table(spark, folder, "events").select("event_id", *tb.lineage())
+    events = spark.read.parquet(f"{folder}/events.parquet").select("event_id", *tb.lineage())
     return ix.scan_index(events).select("row_index", "event_id")
 
 

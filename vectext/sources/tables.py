@@ -25,6 +25,16 @@ def read_corpus(
     return df.select(*columns, *lineage())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than cores, dealt out to all cores.
+
+    A parquet file with one row group is read by one task. Tables of cluster
+    size have more splits than cores and are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def lineage() -> tuple[Column, Column]:
     """Source file and row number in that file, as the parquet reader knows them."""
     return (
