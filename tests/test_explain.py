@@ -1,0 +1,142 @@
+"""Caches, provider calls, rejects, reuse, training tables and their inverses."""
+
+import pytest
+from conftest import fails
+from plugins import provider
+from pyspark.sql import functions as F
+
+from vectext.functions.keys import text_key
+from vectext.operators import build as bd, explain as ex
+
+def base(spark, texts):
+    rows = [(i, f"c:train:{i}", i + 51, 20, t, [float(i), 1.0]) for i, t in enumerate(texts)]
+    return spark.createDataFrame(
+        rows,
+        "row bigint, doc_id string, n_raw_tokens bigint, activation_layer bigint,"
+        "detokenized_text_truncated string, activation_vector array<float>",
+    )
+
+
+def source(spark, rows):
+    return spark.createDataFrame(rows, "detokenized_text_truncated string, api_explanation string, at int")
+
+
+def test_cache_last_wins(spark):
+    a = source(spark, [("t", "a1", 1), ("t", "a2", 2), ("u", "ua", 1)])
+    b = source(spark, [("t", "b1", 0)])
+    got = {r["text_key"]: r["cached"] for r in ex.explanation_cache(a, b, order="at").collect()}
+    keys = {t: spark.range(1).select(text_key(F.lit(t))).first()[0] for t in "tu"}
+    assert got == {keys["t"]: "b1", keys["u"]: "ua"}
+    assert {r["cached"] for r in ex.explanation_cache(a, order="at").collect()} == {"a2", "ua"}
+
+
+def test_explain(spark):
+    rows = base(spark, ["fine", "none", "open", "one", "cached", "cached thin", "fine"])
+    cache = ex.explanation_cache(source(spark, [("cached", "x\n\ny", 0), ("cached thin", "x", 0)]))
+    kept, rejected = ex.explain(rows, provider, "row", cache)
+    assert sorted((r["row"], r["api_explanation"]) for r in kept.collect()) == [
+        (0, "first thing\n\nsecond thing"), (4, "x\n\ny"), (6, "first thing\n\nsecond thing"),
+    ]
+    got = {r["global_row"]: (r["reason"], r["feature_count"], r["cleaned"]) for r in rejected.collect()}
+    assert got == {
+        1: ("provider_returned_none", 0, None), 2: ("extract_failed", 0, None), 3: ("too_few_features", 1, "lonely"),
+    }
+    assert rejected.columns == [
+        "chunk_start", "row_in_chunk", "global_row", "doc_id", "text_sha256", "reason", "raw_response", "cleaned", "feature_count",
+    ]
+
+
+def test_explain_without_cache(spark):
+    kept, rejected = ex.explain(base(spark, ["a", "b"]), provider, "row")
+    assert kept.count() == 2 and rejected.count() == 0
+
+
+def test_provider_contract(spark):
+    rows = base(spark, ["a", "b"])
+    fails(ex.complete(rows, lambda prompts: ["x"] * (len(prompts) + 1)), "responses for")
+    fails(ex.complete(rows, lambda prompts: [""] * len(prompts)), "non-empty text or None")
+    with pytest.raises(ValueError):
+        ex.complete(rows, provider, "no slot")
+
+
+def test_reject_positions(spark):
+    rows = base(spark, ["none"] * 5).withColumn("raw_response", F.lit(None).cast("string"))
+    got = ex.rejects(ex.clean_responses(rows), "row", 2).orderBy("global_row").collect()
+    assert [(r["chunk_start"], r["row_in_chunk"]) for r in got] == [(0, 0), (0, 1), (2, 0), (2, 1), (4, 0)]
+
+
+@pytest.mark.parametrize("matched, ok", [(949, False), (950, True)])
+def test_match_share(spark, matched, ok):
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("doc_id"), F.lit(60).alias("n_raw_tokens"))
+    prior = rows.where(F.col("doc_id").cast("int") < matched).withColumn("api_explanation", F.lit("e"))
+    if ok:
+        assert ex.reuse_exact(rows, prior, ["n_raw_tokens"]).count() == matched
+    else:
+        with pytest.raises(ValueError, match="below"):
+            ex.reuse_exact(rows, prior, ["n_raw_tokens"])
+
+
+def test_reuse_last_wins(spark):
+    raw = spark.createDataFrame([("d", 60), ("e", 60)], "doc_id string, n_raw_tokens bigint")
+    prior = spark.createDataFrame([("d", 60, "old", 1), ("d", 60, "new", 2)], "doc_id string, n_raw_tokens bigint, api_explanation string, at int")
+    got = ex.reuse_exact(raw, prior, ["at"], min_share=None).collect()
+    assert [tuple(r) for r in got] == [("d", 60, "new")]
+
+
+def test_build_and_recover(spark):
+    rows = base(spark, ["text a", "text b"]).withColumn("api_explanation", F.concat(F.lit("one $1\n\n"), "doc_id"))
+    want = sorted((r["detokenized_text_truncated"], r["api_explanation"]) for r in rows.collect())
+    for built in (bd.build_av(rows), bd.build_ar(rows)):
+        assert sorted(tuple(r) for r in bd.recover(built).collect()) == want
+    av, ar, rl = (bd.build(s, rows) for s in ("av_sft", "ar_sft", "rl"))
+    carried = ["activation_vector", "n_raw_tokens", "activation_layer", "doc_id", "detokenized_text_truncated"]
+    assert av.columns == ["prompt", "response", *carried]
+    assert ar.columns == rl.columns == ["prompt", *carried]
+    assert bd.build("rl", rows, keep_text=False).columns == ["prompt", *carried[:-1]]
+    assert av.first()["activation_vector"] == [0.0, 1.0]
+    assert av.first()["prompt"][0]["role"] == "user" and "<concept><INJECT></concept>" in av.first()["prompt"][0]["content"]
+    with pytest.raises(ValueError):
+        bd.build("other", rows)
+    with pytest.raises(ValueError, match="missing columns"):
+        bd.build_av(rows.drop("api_explanation"))
+
+
+def test_recover_rejects_empty(spark):
+    built = spark.createDataFrame([("t", "<explanation></explanation>")], "detokenized_text_truncated string, response string")
+    fails(bd.recover(built), "holds no explanation")
+
+
+def test_suffix_must_survive(spark):
+    rows = base(spark, ["t"]).withColumn("api_explanation", F.lit("fine"))
+    assert bd.build_ar(rows).count() == 1
+    merged = bd.build_ar(rows, template="Text: {explanation} and</text> <summary>")
+    assert bd.prompts_end_with(merged, ["<summary>"]).count() == 0
+    assert bd.prompts_end_with(merged, ["other"]).count() == 1
+
+
+def test_loader_view(spark):
+    rows = base(spark, ["t"]).withColumn("api_explanation", F.lit("e"))
+    row = bd.loader_view(bd.build_av(rows), "㈀").first()
+    assert "<concept>㈀</concept>" in row["prompt"][0]["content"] and "<INJECT>" not in row["prompt"][0]["content"]
+    assert row["metadata"]["doc_id"] == "c:train:0"
+    assert bd.loader_view(bd.build_ar(rows), "㈀").first()["prompt"].startswith("Summary of")
+    fails(bd.loader_view(bd.build_av(rows).withColumn("prompt", F.array(bd.message("user", F.lit("x")))), "㈀"), "no message contains")
+
+
+def test_supervised_rows(spark):
+    rows = base(spark, ["t"]).withColumn("api_explanation", F.lit("a b"))
+    row = bd.supervised_rows(bd.build_av(rows)).first()
+    assert row["messages"][-1]["role"] == "assistant" and row["response_length"] == 4
+    assert row["loss_mask"][-4:] == [1] * 4 and sum(row["loss_mask"]) == 4
+
+
+def test_pending_chunks(spark):
+    done = spark.createDataFrame([(0,), (2,)], "chunk bigint")
+    got = ex.pending_chunks(spark.range(10), done, "id", 3).select("id").collect()
+    assert sorted(r[0] for r in got) == [3, 4, 5, 9]
+
+
+def test_run_overlap(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "k int, t string")
+    right = spark.createDataFrame([(1, "a"), (2, "x"), (9, "z")], "k int, t string")
+    assert tuple(ex.run_overlap(left, right, ["k"], "t").first()) == (2, 1, 2, 1, 0.5)

@@ -48,6 +48,23 @@ def dedup_prefixes(
     return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["prefix"])
 
 
+def each_batch(
+    stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """``run(rows, number)`` for every batch; an error fails the batch and the query.
+
+    A batch closes at the source's size limit, or after ``every`` where given.
+    """
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    return writer.start()
+
+
+def batch_path(path: str, number: int) -> str:
+    """Folder of one batch: a repeated batch replaces itself and no other."""
+    return f"{path.rstrip('/')}/batch={number}"
+
+
 def score_batches(
     stream: DataFrame,
     score: Callable[[DataFrame], DataFrame],
@@ -55,15 +72,30 @@ def score_batches(
     checkpoint: str,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Score arriving rows batch by batch; an error fails the batch and the query.
+    """Score arriving rows batch by batch into one folder per batch."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        score(batch).write.mode("overwrite").parquet(batch_path(path, number))
+
+    return each_batch(stream, run, checkpoint, every)
+
+
+def explain_batches(
+    stream: DataFrame,
+    explain: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    path: str,
+    rejects_path: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Explained rows and reject log of every batch of files.
 
-    A batch closes at the source's size limit, or after ``every`` seconds where
-    given. Each batch writes its own folder, so a repeated batch replaces itself.
+    A run that dies goes on with the batch it was at: finished batches never
+    call the provider again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+        explained, rejected = explain(batch)
+        rejected.write.mode("overwrite").option("ignoreNullFields", "false").json(batch_path(rejects_path, number))
+        explained.write.mode("overwrite").parquet(batch_path(path, number))
 
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
-    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
-    return writer.start()
+    return each_batch(stream, run, checkpoint)
