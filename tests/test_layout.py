@@ -157,6 +157,7 @@ def test_shuffle_rows(spark):
     order = [r["id"] for r in ly.shuffle_rows(df, "id", 1, "a").collect()]
     assert sorted(order) == list(range(300)) and order != list(range(300))
     assert order == [r["id"] for r in ly.shuffle_rows(df.repartition(4), "id", 1, "a").collect()]
+    assert order == [r["id"] for r in ly.shuffle_rows(df, "id", 1, "a", partitions=3).collect()]
     assert order != [r["id"] for r in ly.shuffle_rows(df, "id", 1, "b").collect()]
 
 
@@ -198,7 +199,8 @@ def test_equalize_groups(spark):
 def test_round_robin(spark):
     got = pairs(ly.round_robin(spark.range(6), "id", 2), "id", "target")
     assert got == [(0, 0), (1, 1), (2, 0), (3, 1), (4, 0), (5, 1)]
-    assert ly.repartition_round_robin(spark.range(6), "id", 2).rdd.getNumPartitions() == 2
+    placed = ly.repartition_round_robin(spark.range(60), "id", 4).withColumn("p", F.spark_partition_id())
+    assert pairs(placed.select("target", "p").distinct(), "target", "p") == [(i, i) for i in range(4)]
 
 
 def test_shard_plan(spark):

@@ -75,5 +75,15 @@ def test_a_failing_batch_fails_the_query(spark, tmp_path):
 def test_shared_folder(spark):
     assert shared_folder(spark) == shared_folder(spark)
     assert new_shared_path(spark, "a") != new_shared_path(spark, "a")
-    cut = cut_lineage(spark.range(5).withColumn("r", F.rand()))
-    assert cut.collect() == cut.collect() and "Range" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cut_runs_the_plan_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            runs.add(len(batch))
+            yield batch
+
+    cut = cut_lineage(spark.range(50).withColumn("r", F.rand()).mapInPandas(count, "id bigint, r double"))
+    assert sorted(cut.collect()) == sorted(cut.collect()) and runs.value == 50

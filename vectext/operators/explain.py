@@ -52,7 +52,7 @@ def cache_hit_rate(looked_up: DataFrame, cache: DataFrame) -> DataFrame:
     rate = looked_up.agg(
         F.count("*").alias("rows"), F.count_if(hit).alias("hits"), F.avg(hit.cast("double")).alias("share")
     )
-    return rate.join(F.broadcast(cache.agg(F.count("*").alias("cached_texts"))))
+    return rate.withColumn("cached_texts", cache.agg(F.count("*")).scalar())
 
 
 def complete(df: DataFrame, provider: Callable[[list[str]], list[str | None]], template: str = INSTRUCTION) -> DataFrame:
@@ -170,7 +170,8 @@ def reuse_exact(
     lut = last_per_key(prior.select(*key, EXPLANATION, *[c for c in order if c not in key]), key, order)
     joined = raw.join(lut.select(*key, EXPLANATION), key)
     if min_share is not None:
-        total, matched = raw.count(), joined.count()
+        # Both counts read keys only.
+        total, matched = raw.count(), raw.join(lut.select(*key), key, "left_semi").count()
         if total == 0 or matched / total < min_share:
             raise ValueError(f"{matched} of {total} rows matched, below {min_share}")
     return joined.select(*raw.columns, EXPLANATION)

@@ -58,7 +58,8 @@ def blocked_rank(
     """Rank 0..n-1 inside each group by a whole-number column, unique in its group.
 
     A group of any size is cut into blocks of at most ``block_rows`` rows, so one
-    large group does not end up in one task.
+    large group does not end up in one task. Made for dense numbers, such as row
+    or sample indexes; number sparse keys with :func:`global_index`.
     """
     blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)).cast("bigint"))
     counts = blocked.groupBy(*group, "_block").agg(F.count("*").alias("_rows"))

@@ -97,12 +97,14 @@ def vector_moments(df: DataFrame, scale: float | None = None, vector: str = "act
     """Sum, sum of squares and rows per vector position, in one pass.
 
     Cells are summed on the map side, so what is shuffled is one row per
-    position and map task, whatever the number of vectors.
+    position and map task, whatever the number of vectors. The scale goes along
+    as a number per row and meets the cells after they are taken apart.
     """
-    cells = df.select(F.posexplode(vx.normalize(F.col(vector), scale)).alias("position", "x"))
-    x = F.col("x").cast("double")
+    cells = df.select(
+        vx.scale_factor(F.col(vector), scale).alias("f"), F.posexplode(vector).alias("position", "x")
+    ).select("position", (F.col("x").cast("double") * F.col("f")).alias("x"))
     return cells.groupBy("position").agg(
-        F.sum(x).alias("total"), F.sum(x * x).alias("squares"), F.count("*").alias("n")
+        F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares"), F.count("*").alias("n")
     )
 
 
@@ -111,13 +113,18 @@ def mean_vector(df: DataFrame, vector: str = "activation_vector") -> DataFrame:
     return vector_moments(df, None, vector).select("position", (F.col("total") / F.col("n")).alias("mean"))
 
 
-def mean_baselines(df: DataFrame, scale: float | None, vector: str = "activation_vector") -> DataFrame:
+def mean_baselines(
+    df: DataFrame, scale: float | None, vector: str = "activation_vector", max_rows: int | None = None
+) -> DataFrame:
     """Errors of always predicting the mean: against the mean set to ``scale``
     and against the mean itself.
 
     Both follow from the moments of the scaled vectors, so the table is read
-    once and the mean is never sent back to the rows.
+    once and the mean is never sent back to the rows. ``max_rows`` asks for an
+    estimate from that many rows; by default every row counts.
     """
+    if max_rows is not None:
+        df = df.select(vector).limit(max_rows)
     moments = vector_moments(df, scale, vector)
     mean = F.col("total") / F.col("n")
     sums = moments.agg(

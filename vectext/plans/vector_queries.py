@@ -155,9 +155,8 @@ def fve_by_label(spark, folder):
     mse = vx.scaled_mse(F.col("predicted"), F.col("activation_vector"), SQRT_D)
     by_label = rows.groupBy("label").agg(F.count("*").alias("rows"), F.avg(mse).alias("mse"))
     baseline = sc.mean_baselines(ins.vectors(spark, folder), SQRT_D).select("raw_variance_baseline")
-    joined = by_label.join(F.broadcast(baseline))
-    fve = sc.explained_variance(F.col("mse"), F.col("raw_variance_baseline"))
-    return joined.select("label", "rows", F.round("mse", 6).alias("mse"), F.round(fve, 6).alias("fve"))
+    fve = sc.explained_variance(F.col("mse"), baseline.scalar())
+    return by_label.select("label", "rows", F.round("mse", 6).alias("mse"), F.round(fve, 6).alias("fve"))
 
 
 @query(

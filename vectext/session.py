@@ -48,6 +48,12 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from the written copy."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder once and go on from the written table.
+
+    The plan behind it runs exactly once, later readers see the same rows, and
+    a lost executor costs a re-read instead of a re-run.
+    """
+    spark = df.sparkSession
+    path = new_shared_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
