@@ -86,6 +86,15 @@ def test_lookup_join_with_hot_key(spark):
     assert pairs(shared, "id", "v") == pairs(rows.join(table, "k"), "id", "v")
 
 
+def test_hot_keys_are_few(spark, monkeypatch):
+    rows = spark.range(1000).select((F.col("id") % 100).alias("k"))
+    assert lk.hot_keys(rows, "k", 5).count() == 100
+    monkeypatch.setattr(lk, "MAX_HOT_KEYS", 20)
+    assert lk.hot_keys(rows, "k", 5).count() == 0
+    skewed = rows.unionByName(spark.range(500).select(F.lit(7).cast("bigint").alias("k")))
+    assert [(r["k"], r["_shares"]) for r in lk.hot_keys(skewed, "k", 5).collect()] == [(7, 7)]
+
+
 def test_lookup_join_keeps_null_keys(spark):
     rows = spark.createDataFrame([(1, None), (2, "a")], "id bigint, k string")
     table = spark.createDataFrame([("a", 5)], "k string, v int")

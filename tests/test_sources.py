@@ -61,6 +61,23 @@ def test_slice(spark):
         tb.read_slice(df, 8, 4)
 
 
+def test_ingest(spark, tmp_path):
+    path = f"{tmp_path}/d"
+    df = spark.range(60).select(F.concat(F.lit("t"), "id").alias("text"), F.when(F.col("id") < 40, "train").otherwise("test").alias("split"))
+    df.repartition(3).write.partitionBy("split").parquet(path)
+    whole = tb.ingest_slice(spark, path, "train", 0, 40)
+    part = tb.ingest_slice(spark, path, "train", 10, 5)
+    want = {r["row_index"]: r["text"] for r in whole.collect()}
+    assert sorted(want) == list(range(40)) and len(set(want.values())) == 40
+    assert {r["row_index"]: r["text"] for r in part.collect()} == {i: want[i] for i in range(10, 15)}
+    with pytest.raises(ValueError, match="available: test, train"):
+        tb.ingest_slice(spark, path, "dev", 0, 1)
+    with pytest.raises(ValueError, match="missing columns"):
+        tb.ingest_slice(spark, path, "train", 0, 1, text="content")
+    with pytest.raises(ValueError, match="found"):
+        tb.ingest_slice(spark, path, "test", 0, 21)
+
+
 def test_bounded_files(spark, tmp_path):
     path = f"{tmp_path}/t"
     tb.write_table(spark.range(250).coalesce(1), path, rows_per_file=100)

@@ -85,8 +85,8 @@ def bullet_count(text: Column) -> Column:
 
 
 def bullet_share(text: Column) -> Column:
-    lines = line_count(text)
-    return F.when(lines >= fx.BULLET_MIN_LINES, bullet_count(text) / lines)
+    """Share of bullet lines; null for texts with few lines."""
+    return let(line_count(text), lambda lines: F.when(lines >= fx.BULLET_MIN_LINES, bullet_count(text) / lines))
 
 
 def reject_reason(text: Column, score: Column, rules: QualityRules = QualityRules()) -> Column:

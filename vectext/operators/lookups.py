@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_ROWS = 2_000_000
+MAX_HOT_KEYS = 100_000
 
 
 def last_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -23,6 +24,18 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     return df.groupBy(*key).agg(best).select(*key, "_row.*")
 
 
+def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with so many rows that they need several tasks, and how many.
+
+    The limit rises with the table so that no more than ``MAX_HOT_KEYS`` keys
+    can be above it; this bounds the result whatever the data.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = F.coalesce(counts.agg(F.sum("_n")).scalar(), F.lit(0))
+    limit = F.greatest(F.lit(hot_rows), F.ceil(total / MAX_HOT_KEYS))
+    return counts.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_shares"))
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
@@ -35,15 +48,9 @@ def lookup_join(
 
     A key with more than ``hot_rows`` rows is spread over several tasks: its
     table row is repeated once per share and its rows pick a share by a hash of
-    the ``spread`` columns. The list of such keys holds at most
-    ``rows / hot_rows`` entries, which bounds what is broadcast.
+    the ``spread`` columns. Only the bounded list of such keys is broadcast.
     """
-    hot = (
-        rows.groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .where((F.col("_n") > hot_rows) & F.col(key).isNotNull())
-        .select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_shares"))
-    )
+    hot = hot_keys(rows, key, hot_rows)
     share = F.pmod(F.xxhash64(*spread), F.coalesce(F.col("_shares"), F.lit(1))).cast("int")
     spread_rows = rows.join(F.broadcast(hot), key, "left").withColumn("_share", share)
     shares = F.sequence(F.lit(0), F.coalesce(F.col("_shares"), F.lit(1)) - 1)

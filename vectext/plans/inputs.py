@@ -11,11 +11,13 @@ from vectext.sources import tables as tb
 
 SPECIALS = ["the", "and"]
 WIDTH = 64
+TEXT_TABLES = ("documents", "conversations", "pages")
 LAYER = 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return tb.spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return tb.spread(df) if name in TEXT_TABLES else df
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vectext import fixed_values as fx
+from vectext.operators.index import scan_index
 
 
 def read_corpus(
@@ -43,6 +44,22 @@ def lineage() -> tuple[Column, Column]:
     )
 
 
+def ingest_slice(
+    spark: SparkSession, path: str, split: str, start: int, length: int, text: str = "text", split_column: str = "split"
+) -> DataFrame:
+    """Rows ``[start, start + length)`` of one split of an outside dataset.
+
+    A split or text column that is not there is an error that names what is.
+    """
+    df = spark.read.parquet(path)
+    require_columns(df, [text, split_column])
+    found = sorted(str(r[0]) for r in df.select(split_column).distinct().collect())
+    if split not in found:
+        raise ValueError(f"split {split!r} not found; available: {', '.join(found)}")
+    rows = df.where(F.col(split_column) == split).select(text, *lineage())
+    return read_slice(scan_index(rows), start, length).select(text, "row_index")
+
+
 def read_slice(df: DataFrame, start: int, length: int, index: str = "row_index") -> DataFrame:
     """Rows ``[start, start + length)`` of an indexed table; a short table is an error."""
     part = df.where(F.col(index).between(start, start + length - 1))
