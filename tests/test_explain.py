@@ -104,6 +104,8 @@ def test_build_and_recover(spark):
 def test_recover_rejects_empty(spark):
     built = spark.createDataFrame([("t", "<explanation></explanation>")], "detokenized_text_truncated string, response string")
     fails(bd.recover(built), "holds no explanation")
+    assert ex.prior_explanations(built).first()["api_explanation"] == ""
+    fails(ex.prior_explanations(built.withColumn("response", F.lit("untagged"))), "holds no explanation")
 
 
 def test_suffix_must_survive(spark):

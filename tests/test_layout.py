@@ -187,6 +187,10 @@ def test_draw_state():
     state.push_back(50)
     assert state.position == 10
     assert ly.DrawState(4).draw(11) == (0, 11)
+    whole = ly.DrawState(10, offset=4)
+    assert whole.draw(16) == (4, 20) and (whole.epoch, whole.offset) == (1, 10)
+    whole.push_back(3)
+    assert whole.position == 17
 
 
 def test_fan_out(spark):

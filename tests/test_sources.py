@@ -43,6 +43,9 @@ def test_read_corpus(spark, tmp_path):
         number, at = text.split()
         assert f"part{number[1:]}/" in row["source_file"] and row["source_row"] == int(at[1:])
     assert tb.read_corpus(spark, f"{tmp_path}/part0", "content", "missing").columns[:2] == ["content", "source_file"]
+    spark.createDataFrame([("bare",)], "content string").write.parquet(f"{tmp_path}/part9")
+    mixed = tb.read_corpus(spark, [f"{tmp_path}/part0", f"{tmp_path}/part9"], "content", "score", merge_schema=True)
+    assert {r["content"]: r["score"] for r in mixed.collect()} == {"f0 r0": "0.0", "f0 r1": None, "f0 r2": "0.2", "bare": None}
     with pytest.raises(ValueError, match="available: content, score"):
         tb.read_corpus(spark, f"{tmp_path}/part0", "text")
 
@@ -165,6 +168,11 @@ def test_option_maps(spark):
 
 
 def test_labels_and_scan(spark):
+    from vectext.operators.report import require_none_forbidden
+
+    texts = spark.createDataFrame([("fine",), ("see GS://x",)], "t string")
+    fails(require_none_forbidden(texts, "t"), "forbidden pattern")
+    assert require_none_forbidden(texts.limit(1), "t").count() == 1
     assert values(spark, ["a WildChat Ultra-FineWeb", "Ultra-FineWeb", "z"], ky.source_label(X)) == ["WildChat", "UFW", "other"]
     assert values(spark, ["see S3://x", "fine"], ky.has_forbidden(X, fx.PRIVATE_PATTERNS)) == [True, False]
 
@@ -226,6 +234,14 @@ def test_foreign_manifests(spark, text):
     fails(ms.from_json(spark.createDataFrame([(text,)], "manifest string")), "not a manifest")
 
 
+def test_only_raw_base_rows_are_built(spark):
+    ms.require_raw_base(manifest(spark))
+    scaled = manifest(spark).withColumn("extraction", F.col("extraction").withField("norm", F.lit("l2")))
+    for bad in (manifest(spark, "rl"), scaled):
+        with pytest.raises(ValueError, match="base rows with raw vectors"):
+            ms.require_raw_base(bad)
+
+
 def test_unknown_fields_are_ignored(spark):
     text = '{"kind":"vector_text_dataset","schema_version":1,"dataset_id":"a","new":{"b":1}}'
     assert ms.from_json(spark.createDataFrame([(text,)], "manifest string")).first()["dataset_id"] == "a"

@@ -65,6 +65,28 @@ def test_base_rows(spark):
     assert row["detokenized_text_truncated"].split() == [f"t{j}" for j in range(51)]
 
 
+def test_prefix_leaves_specials_out(spark):
+    rows = sp.base_rows(docs(spark, [51]), 20, "doc_id", k=5, specials=["t0", "t7"]).collect()
+    assert rows[0]["n_raw_tokens"] == 51
+    assert rows[0]["detokenized_text_truncated"].split() == [f"t{j}" for j in range(51) if j not in (0, 7)]
+
+
+def test_vectors_go_to_sites_in_order(spark):
+    sites = spark.createDataFrame([(1, 5), (0, 9), (0, 2)], "row bigint, position bigint")
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "n bigint, vector array<double>")
+    got = sp.vectors_in_order(sites, vectors, ["row", "position"], ["n"]).collect()
+    assert sorted((r["row"], r["position"], r["vector"][0]) for r in got) == [(0, 2, 0.0), (0, 9, 1.0), (1, 5, 2.0)]
+    with pytest.raises(ValueError, match="3 marker sites for 2 vectors"):
+        sp.vectors_in_order(sites, vectors.limit(2), ["row", "position"], ["n"])
+
+
+def test_splice(spark):
+    embedded = spark.createDataFrame([(0, 0, [1.0]), (0, 1, [2.0]), (1, 1, [3.0])], "row bigint, position int, embedding array<double>")
+    sites = spark.createDataFrame([(0, 1, [9.0])], "row bigint, position int, vector array<double>")
+    got = sp.splice_vectors(embedded, sites, ["row"]).collect()
+    assert sorted((r["row"], r["position"], r["embedding"][0]) for r in got) == [(0, 0, 1.0), (0, 1, 9.0), (1, 1, 3.0)]
+
+
 def test_pad_guard(spark):
     df = docs(spark, [3])
     assert sp.require_no_pad(df, "<pad>").count() == 1

@@ -90,6 +90,14 @@ def test_baselines_match_numpy(spark):
         assert row["raw_variance_baseline"] == pytest.approx(((n - mu) ** 2).mean())
 
 
+def test_loss_metrics(spark):
+    df = spark.createDataFrame([([3.0, 0.0], [0.0, 2.0]), ([1.0, 0.0], [5.0, 0.0])], "predicted array<double>, activation_vector array<double>")
+    row = sc.loss_metrics(df, math.sqrt(2), baseline=4.0).first()
+    assert row["rows"] == 2 and row["loss"] == pytest.approx(2) and row["fve"] == pytest.approx(1.5)
+    assert row["pred_norm_raw"] == 4 and row["gold_norm_raw"] == 7 and row["mse_scale"] == pytest.approx(2 * math.sqrt(2))
+    assert "fve" not in sc.loss_metrics(df, None).columns and sc.loss_metrics(df, None).first()["mse_scale"] == -2
+
+
 def test_permuted_targets_score_like_the_mean(spark):
     from vectext.operators.layout import permute_column
 
@@ -183,7 +191,7 @@ def test_report_rows(spark):
     row = rp.report_rows(df, "reward", "index", 4, n_top=1, n_mid=0, n_bottom=0).collect()
     assert len(row) == 1 and row[0]["index"] == 1 and row[0]["place"] == 0
     assert row[0]["source_text"] == "abcd\n\n[... TRUNCATED: 2 more chars ...]"
-    assert row[0]["explanation"] == "e" and row[0]["source_label"] == "UFW"
+    assert "vector_norm" not in row[0].asDict() and row[0]["explanation"] == "e" and row[0]["source_label"] == "UFW"
 
 
 def test_source_mix(spark):

@@ -75,8 +75,12 @@ def sampled_positions(
     )
 
 
-def prefix_text(toks: Column, n_tokens: Column) -> Column:
-    return F.array_join(F.slice(toks, F.lit(1), n_tokens.cast("int")), " ")
+def prefix_text(toks: Column, n_tokens: Column, specials: Sequence[str] = ()) -> Column:
+    """Text of the first ``n_tokens`` tokens, special ones left out."""
+    kept = F.slice(toks, F.lit(1), n_tokens.cast("int"))
+    if specials:
+        kept = F.filter(kept, lambda t: ~t.isin(list(specials)))
+    return F.array_join(kept, " ")
 
 
 def marker_sites(toks: Column, marker: str, left: str, right: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vectext import fixed_values as fx
 from vectext.functions import text as tx, tokens as tk
-from vectext.operators.explain import EXPLANATION, TEXT
+from vectext.operators.explain import EXPLANATION, TEXT, prior_explanations
 from vectext.sources.tables import require_columns
 
 PROVENANCE = ["n_raw_tokens", "activation_layer", "doc_id"]
@@ -63,10 +63,8 @@ def build(stage: str, df: DataFrame, keep_text: bool = True) -> DataFrame:
 
 def recover(built: DataFrame, template: str = fx.CRITIC_TEMPLATE) -> DataFrame:
     """Cache rows (text, explanation) from a built table that kept its texts."""
-    from vectext.operators.explain import prior_explanations
-
     require_columns(built, [TEXT])
-    return prior_explanations(built, template).select(TEXT, EXPLANATION)
+    return prior_explanations(built, template, allow_empty=False).select(TEXT, EXPLANATION)
 
 
 # ------------------------------------------------------------- loading prompts

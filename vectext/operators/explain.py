@@ -148,14 +148,20 @@ def explain(
     return explained, rejects(responses, index)
 
 
-def prior_explanations(built: DataFrame, critic_template: str = fx.CRITIC_TEMPLATE) -> DataFrame:
-    """Explanations unwrapped from a built table: its response, or its prompt."""
+def prior_explanations(
+    built: DataFrame, critic_template: str = fx.CRITIC_TEMPLATE, allow_empty: bool = True
+) -> DataFrame:
+    """Explanations unwrapped from a built table: its response, or its prompt.
+
+    A row without one is an error, and so is an empty one unless allowed.
+    """
     if "response" in built.columns:
         text = tx.extract_explanation(F.col("response"))
     else:
         text = tx.unwrap_template(F.col("prompt"), critic_template)
     fault = F.raise_error(F.lit("a built row holds no explanation")).cast("string")
-    return built.withColumn(EXPLANATION, F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(fault))
+    sound = text.isNotNull() if allow_empty else F.coalesce(text, F.lit("")) != ""
+    return built.withColumn(EXPLANATION, F.when(sound, text).otherwise(fault))
 
 
 def reuse_exact(

@@ -68,10 +68,9 @@ class DrawState:
         """Range of draw positions for the next ``n`` rows; wraps to new epochs."""
         start = self.position
         end = start + n
-        if self.offset + n > self.size:
-            self.epoch, self.offset = divmod(end, self.size)
-        else:
-            self.offset += n
+        if n > 0:
+            self.epoch = (end - 1) // self.size
+            self.offset = end - self.epoch * self.size
         return start, end
 
     def push_back(self, n: int) -> None:

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vectext import fixed_values as fx
-from vectext.functions import text as tx
-from vectext.functions.keys import source_label
+from vectext.functions import text as tx, vectors as vx
+from vectext.functions.keys import has_forbidden, source_label
 from vectext.operators.index import global_index
 
 
@@ -89,6 +89,8 @@ def report_rows(df: DataFrame, reward: str, index: str, max_chars: int = fx.REPO
     shown = df.withColumn("source_text", tx.truncate_note(F.col("detokenized_text_truncated"), max_chars))
     shown = shown.withColumn("explanation", tx.extract_or_all(F.col("response")))
     shown = shown.withColumn("source_label", source_label(F.col("doc_id")))
+    if "activation_vector" in df.columns:
+        shown = shown.withColumn("vector_norm", vx.norm(F.col("activation_vector")))
     # The picked rows are few by definition (top + middle + bottom).
     return shown.join(F.broadcast(picked.select(index, "band", "place")), index)
 
@@ -118,6 +120,14 @@ def forbidden_scan(df: DataFrame, hit: Column, by: Sequence[str] = ()) -> DataFr
     return df.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(hit).alias("hits"))
 
 
+def require_none_forbidden(
+    df: DataFrame, text: str, patterns: Sequence[str] = tuple(fx.PRIVATE_PATTERNS)
+) -> DataFrame:
+    """The rows, or an error at the first text that holds a forbidden pattern."""
+    fault = F.raise_error(F.concat(F.lit("forbidden pattern in: "), F.substring(text, 1, 80))).cast("string")
+    return df.withColumn(text, F.when(has_forbidden(F.col(text), patterns), fault).otherwise(F.col(text)))
+
+
 def norm_outliers(
     df: DataFrame, norm: str, position: str, percent: float = 50, factor: float = 10.0, min_position: int = 10, index: str = "index"
 ) -> DataFrame:

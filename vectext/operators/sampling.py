@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vectext import fixed_values as fx
 from vectext.functions import tokens as tk
 from vectext.functions.keys import hash_number
+from vectext.operators.index import global_index
 from vectext.operators.lookups import spread_join
 
 
@@ -83,7 +84,7 @@ def base_rows(
     ``corpus`` goes before the key to make the document id.
     """
     rows = sample_positions(
-        df, key, k, seed, specials, min_position, text=lambda toks, at: tk.prefix_text(toks, at + 1)
+        df, key, k, seed, specials, min_position, text=lambda toks, at: tk.prefix_text(toks, at + 1, specials)
     )
     return rows.select(
         (F.col("position") + 1).alias("n_raw_tokens"),
@@ -191,6 +192,22 @@ def embed_tokens(df: DataFrame, table: DataFrame, n_vectors: int, key: Sequence[
     return spread_join(slots, table, "vec_id", [*key, "position"])
 
 
+def vectors_in_order(
+    sites: DataFrame, vectors: DataFrame, site_order: Sequence[str], vector_order: Sequence[str], vector: str = "vector"
+) -> DataFrame:
+    """Sites and vectors paired by order, the first site with the first vector.
+
+    As many vectors as sites are needed; any other number means that templates
+    or tokens have drifted apart.
+    """
+    numbered = global_index(sites, *site_order, out="_nth")
+    given = global_index(vectors.select(*vector_order, vector), *vector_order, out="_nth").select("_nth", vector)
+    n_sites, n_vectors = numbered.count(), given.count()
+    if n_sites != n_vectors:
+        raise ValueError(f"{n_sites} marker sites for {n_vectors} vectors")
+    return numbered.join(given, "_nth").drop("_nth")
+
+
 def splice_vectors(embedded: DataFrame, sites: DataFrame, key: Sequence[str]) -> DataFrame:
     """Embedded tokens with the row's own vector at its marker sites.
 

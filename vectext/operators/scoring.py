@@ -149,15 +149,28 @@ def explained_variance(mse: Column, baseline: Column) -> Column:
     return F.when(baseline > 0, 1.0 - mse / baseline)
 
 
-def loss_metrics(df: DataFrame, scale: float | None, pred: str = "predicted", gold: str = "activation_vector") -> DataFrame:
-    """Sums a trainer logs: loss per row, lengths of predicted and gold vectors."""
-    return df.agg(
+def loss_metrics(
+    df: DataFrame,
+    scale: float | None,
+    pred: str = "predicted",
+    gold: str = "activation_vector",
+    baseline: float | None = None,
+) -> DataFrame:
+    """Sums a trainer logs: loss per row, lengths of predicted and gold vectors.
+
+    With a ``baseline`` error also the explained variance, times the rows.
+    """
+    sums = df.agg(
         F.count("*").alias("rows"),
         F.sum(vx.scaled_mse(F.col(pred), F.col(gold), scale)).alias("loss"),
         F.sum(vx.norm(F.col(pred))).alias("pred_norm_raw"),
         F.sum(vx.norm(F.col(gold))).alias("gold_norm_raw"),
         (F.count("*") * F.lit(-1.0 if scale is None else float(scale))).alias("mse_scale"),
     )
+    if baseline is None or baseline <= 0:
+        return sums
+    share = explained_variance(F.col("loss") / F.col("rows"), F.lit(baseline))
+    return sums.withColumn("fve", share * F.col("rows"))
 
 
 def logprob_mismatch(df: DataFrame, train: str = "train_lp", rollout: str = "rollout_lp") -> DataFrame:

@@ -380,6 +380,22 @@ def embedding_splice(spark, folder):
     )
 
 
+@query(
+    "site_vectors",
+    r"""WITH sites AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS nth FROM conversations),
+    given AS (SELECT len(regexp_extract_all(text, '\S+')) AS n, row_number() OVER (ORDER BY turn, conv_id) AS nth FROM conversations)
+    SELECT conv_id, turn, CAST(1 AS INTEGER) AS position, CAST(n AS DOUBLE) AS cell FROM sites JOIN given USING (nth)""",
+)
+def site_vectors(spark, folder):
+    toks, _, _ = token_vectors(spark, folder)
+    found = tk.marker_sites(F.col("tokens"), "㈀", "<concept>", "</concept>")
+    sites = toks.select("conv_id", "turn", F.explode(found).alias("position"))
+    turns = ins.table(spark, folder, "conversations")
+    given = turns.select("turn", "conv_id", F.array(tk.token_count(F.col("text")).cast("double")).alias("vector"))
+    paired = sp.vectors_in_order(sites, given, ["conv_id", "turn", "position"], ["turn", "conv_id"])
+    return paired.select("conv_id", "turn", "position", F.get("vector", F.lit(0)).alias("cell"))
+
+
 @query(
     "cjk_share",
     """SELECT lang, count(*) AS rows, round(avg(CASE WHEN regexp_matches(t, '[\\x{3200}-\\x{9fff}]') THEN 1.0 ELSE 0.0 END), 6) AS cjk_share

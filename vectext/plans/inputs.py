@@ -69,7 +69,7 @@ def base_sql(k: int = 2) -> str:
     return positions_sql(k) + f""",
 base AS (
   SELECT CAST(position + 1 AS BIGINT) AS n_raw_tokens,
-         array_to_string(t[1:position + 1], ' ') AS detokenized_text_truncated,
+         array_to_string(list_filter(t[1:position + 1], lambda x: NOT list_contains({SPECIALS}, x)), ' ') AS detokenized_text_truncated,
          CAST({LAYER} AS BIGINT) AS activation_layer,
          'documents:train:' || doc_id AS doc_id
   FROM sampled)"""

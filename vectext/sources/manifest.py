@@ -79,6 +79,13 @@ def checked(manifests: DataFrame) -> DataFrame:
     )
 
 
+def require_raw_base(manifest: DataFrame) -> None:
+    """Training tables are built from base rows with raw vectors only."""
+    row = manifest.select("dataset_id", "stage", "extraction.norm").first()
+    if row["stage"] != "base" or row["norm"] != "none":
+        raise ValueError(f"{row['dataset_id']}: stage {row['stage']}, norm {row['norm']}; base rows with raw vectors needed")
+
+
 def to_json(manifests: DataFrame) -> DataFrame:
     return checked(complete(manifests)).select(F.to_json(F.struct("*")).alias("manifest"))
 

@@ -11,13 +11,19 @@ from vectext.operators.index import scan_index
 
 
 def read_corpus(
-    spark: SparkSession, paths: Sequence[str] | str, text: str = "text", score: str | None = None
+    spark: SparkSession,
+    paths: Sequence[str] | str,
+    text: str = "text",
+    score: str | None = None,
+    merge_schema: bool = False,
 ) -> DataFrame:
     """Text (and score, where the files have it) with source file and row.
 
-    ``paths`` may hold globs. Only these columns are read.
+    ``paths`` may hold globs. Only these columns are read. Set ``merge_schema``
+    where only some files have a score; it reads every file's footer.
     """
-    df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    reader = spark.read.option("mergeSchema", str(merge_schema).lower())
+    df = reader.parquet(*([paths] if isinstance(paths, str) else paths))
     if text not in df.columns:
         raise ValueError(f"text column {text!r} not found; available: {', '.join(df.columns)}")
     columns = [F.col(text)]
