@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -39,11 +40,13 @@ def resolve_scale_column(raw: Column, width: Column) -> Column:
     )
 
 
+def factor_for(length: Column, scale: float | None) -> Column:
+    """What to multiply a vector of this length by so that its length is ``scale``."""
+    return F.lit(1.0) if scale is None else F.lit(float(scale)) / F.greatest(length, F.lit(fx.NORM_FLOOR))
+
+
 def scale_factor(v: Column, scale: float | None) -> Column:
-    """What to multiply ``v`` by so that its length is ``scale``."""
-    if scale is None:
-        return F.lit(1.0)
-    return F.lit(float(scale)) / F.greatest(norm(v), F.lit(fx.NORM_FLOOR))
+    return factor_for(norm(v), scale)
 
 
 def normalize(v: Column, scale: float | None) -> Column:
@@ -52,9 +55,15 @@ def normalize(v: Column, scale: float | None) -> Column:
     return let(scale_factor(v, scale), lambda f: F.transform(v, lambda x: x.cast("double") * f))
 
 
+def products(a: Column, b: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """``body(a.a, b.b, a.b)``, each product computed once per row."""
+    sums = F.struct(square_sum(a).alias("aa"), square_sum(b).alias("bb"), dot(a, b).alias("ab"))
+    return let(sums, lambda s: body(s["aa"], s["bb"], s["ab"]))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    lengths = F.greatest(norm(a), F.lit(fx.NORM_FLOOR)) * F.greatest(norm(b), F.lit(fx.NORM_FLOOR))
-    return dot(a, b) / lengths
+    floor = F.lit(fx.NORM_FLOOR)
+    return products(a, b, lambda aa, bb, ab: ab / (F.greatest(F.sqrt(aa), floor) * F.greatest(F.sqrt(bb), floor)))
 
 
 def scaled_mse(pred: Column, gold: Column, scale: float | None) -> Column:
@@ -62,9 +71,12 @@ def scaled_mse(pred: Column, gold: Column, scale: float | None) -> Column:
 
     Expanded into three scalar products, so no scaled copy of a vector is made.
     """
-    fp, fg = scale_factor(pred, scale), scale_factor(gold, scale)
-    total = fp * fp * square_sum(pred) + fg * fg * square_sum(gold) - 2 * fp * fg * dot(pred, gold)
-    return F.greatest(total, F.lit(0.0)) / F.size(gold)
+
+    def total(pp: Column, gg: Column, pg: Column) -> Column:
+        fp, fg = factor_for(F.sqrt(pp), scale), factor_for(F.sqrt(gg), scale)
+        return F.greatest(fp * fp * pp + fg * fg * gg - 2 * fp * fg * pg, F.lit(0.0))
+
+    return products(pred, gold, total) / F.size(gold)
 
 
 def reward(mse: Column, log_form: bool = False) -> Column:

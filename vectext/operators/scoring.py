@@ -100,9 +100,11 @@ def vector_moments(df: DataFrame, scale: float | None = None, vector: str = "act
     position and map task, whatever the number of vectors. The scale goes along
     as a number per row and meets the cells after they are taken apart.
     """
-    cells = df.select(
-        vx.scale_factor(F.col(vector), scale).alias("f"), F.posexplode(vector).alias("position", "x")
-    ).select("position", (F.col("x").cast("double") * F.col("f")).alias("x"))
+    # The factor gets its own step: beside the generator it would run per cell.
+    scaled = df.select(F.col(vector).alias("v"), vx.scale_factor(F.col(vector), scale).alias("f"))
+    cells = scaled.select("f", F.posexplode("v").alias("position", "x")).select(
+        "position", (F.col("x").cast("double") * F.col("f")).alias("x")
+    )
     return cells.groupBy("position").agg(
         F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares"), F.count("*").alias("n")
     )

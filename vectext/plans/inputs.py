@@ -11,13 +11,13 @@ from vectext.sources import tables as tb
 
 SPECIALS = ["the", "and"]
 WIDTH = 64
-TEXT_TABLES = ("documents", "conversations", "pages")
+WIDE_TABLES = ("documents", "conversations", "pages", "embeddings")
 LAYER = 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return tb.spread(df) if name in TEXT_TABLES else df
+    return tb.spread(df) if name in WIDE_TABLES else df
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
