@@ -17,6 +17,7 @@ from vectext.session import cut_lineage
 
 BLOCK_ROWS = 65536
 HASH_DIGITS = 3
+MAX_BROADCAST_FILES = 500_000
 
 
 def block_offsets(counts: DataFrame, group: Sequence[str], block: str, value: str) -> DataFrame:
@@ -125,11 +126,14 @@ def global_index(df: DataFrame, *order: Column | str, out: str = "row_index") ->
 def scan_index(df: DataFrame, file: str = "source_file", row: str = "source_row", out: str = "row_index") -> DataFrame:
     """Row number in file order, for unfiltered rows that carry file and row.
 
-    A file's offset is the number of rows in earlier files, so rows are not
-    shuffled at all; the offsets hold one row per file.
+    A file's offset is the number of rows in earlier files. The offsets hold one
+    row per file of the scan, a list the driver already has; up to
+    ``MAX_BROADCAST_FILES`` of them are broadcast and no row is shuffled.
     """
     counts = df.groupBy(file).agg(F.count("*").alias("_rows"))
     offsets = block_offsets(counts, [], file, "_rows")
+    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     return df.join(offsets, file).withColumn(out, F.col("_before") + F.col(row)).drop("_before")
 
 

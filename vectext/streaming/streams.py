@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from vectext.functions import text as tx
 from vectext.functions.keys import text_key
 
+DEDUP_SHARES = 64
+
 
 def read_files(spark: SparkSession, folder: str, schema, name: str | None = None, files_per_batch: int = 64) -> DataFrame:
     """Parquet files of a folder as a stream; ``name`` limits it to matching files."""
@@ -39,13 +41,21 @@ def dedup_prefixes(
 ) -> DataFrame:
     """One row per opening text over the whole stream.
 
-    State grows with the number of distinct openings; with a time column it is
-    bounded to repeats that arrive within ``delay``.
+    Copies go in two steps: first among the rows of a few input partitions,
+    which many tasks share, then over all, so that an opening on much of the
+    stream does not meet in one task. State grows with the number of distinct
+    openings; with a time column it is bounded to repeats within ``delay``.
     """
-    keyed = stream.withColumn("prefix", text_key(tx.prefix_key(F.col(text))))
+    share = F.pmod(F.spark_partition_id(), F.lit(DEDUP_SHARES))
+    keyed = stream.withColumn("prefix", text_key(tx.prefix_key(F.col(text)))).withColumn("_share", share)
     if time is None:
-        return keyed.dropDuplicates(["prefix"])
-    return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["prefix"])
+        return keyed.dropDuplicates(["prefix", "_share"]).dropDuplicates(["prefix"]).drop("_share")
+    timed = keyed.withWatermark(time, delay)
+    return (
+        timed.dropDuplicatesWithinWatermark(["prefix", "_share"])
+        .dropDuplicatesWithinWatermark(["prefix"])
+        .drop("_share")
+    )
 
 
 def each_batch(
