@@ -176,6 +176,8 @@ def test_epoch_batches(spark):
     assert [r["batch"] for r in got] == [i // 4 for i in range(20)]
     first, second = [r["id"] for r in got[:10]], [r["id"] for r in got[10:]]
     assert sorted(first) == sorted(second) == list(range(10)) and first != second
+    plain = ly.epoch_batches(spark.range(10), "id", 10, 4, range(2), seed=None).orderBy("draw").collect()
+    assert [r["id"] for r in plain] == list(range(10)) * 2
 
 
 def test_draw_state():

@@ -1,6 +1,7 @@
 """Every registered query against its SQL, run by DuckDB on the same files."""
 
 import os
+import re
 
 import pytest
 
@@ -18,6 +19,11 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # A window in one task may only run over block, file or shard summaries.
+    lone = re.findall(r"Window [^\n]*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange SinglePartition", plan)
+    assert all("sum(_rows" in w or name == "shard_contiguity" for w in lone)
     sql = entry.oracle_sql().get(name)
     if sql is None:
         assert df.count() >= 0

@@ -159,6 +159,11 @@ def test_manifest_source(spark):
     fails(spark.range(1).select(ky.manifest_source(null, null, null)), "no manifest source")
 
 
+def test_parse_options(spark):
+    got = values(spark, ['{"a": 1, "b": "x"}', "", None], ky.parse_options(X))
+    assert got == [{"a": "1", "b": "x"}, {}, {}]
+
+
 def test_option_maps(spark):
     items = [{"actor": "a", "rollout_id": "1", "api_Key": "s"}]
     kind = "map<string,string>"

@@ -97,6 +97,12 @@ def source_label(
     return label
 
 
+def parse_options(text: Column) -> Column:
+    """JSON options as a map of texts; no options where the text is null or empty."""
+    none = F.create_map().cast("map<string,string>")
+    return F.when(F.coalesce(text, F.lit("")) == "", none).otherwise(F.from_json(text, "map<string,string>"))
+
+
 def redact(options: Column) -> Column:
     """Options whose name does not look like a secret."""
     return F.map_filter(options, lambda k, v: ~F.lower(k).contains("key"))

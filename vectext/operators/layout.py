@@ -78,16 +78,22 @@ class DrawState:
         self.offset = max(0, self.offset - n)
 
 
-def epoch_order(df: DataFrame, key: str, epoch: int, rows: int, seed: int = 42) -> DataFrame:
-    """Rows with their draw position in one epoch, permuted by (seed + epoch)."""
-    ranked = hash_rank(df, seed + epoch, key, out="_rank")
+def epoch_order(df: DataFrame, key: str, epoch: int, rows: int, seed: int | None = 42) -> DataFrame:
+    """Rows with their draw position in one epoch, permuted by (seed + epoch).
+
+    Without a seed every epoch keeps the order of ``key``, a row index.
+    """
+    if seed is None:
+        ranked = blocked_rank(df, key, out="_rank")
+    else:
+        ranked = hash_rank(df, seed + epoch, key, out="_rank")
     return ranked.withColumn("epoch", F.lit(epoch).cast("bigint")).withColumn(
         "draw", F.col("_rank") + F.lit(epoch * rows)
     ).drop("_rank")
 
 
 def epoch_batches(
-    df: DataFrame, key: str, rows: int, batch: int, epochs: Sequence[int], seed: int = 42
+    df: DataFrame, key: str, rows: int, batch: int, epochs: Sequence[int], seed: int | None = 42
 ) -> DataFrame:
     """Fixed-size batches that run on from one epoch into the next."""
     orders = [epoch_order(df, key, e, rows, seed) for e in epochs]

@@ -394,13 +394,12 @@ def manifest_scrub(spark, folder):
 
 @query(
     "redact_options",
-    """SELECT event_id, 'model=' || event_type || ';props=' || props AS options FROM events""",
+    """SELECT event_id, 'k=' || json_extract_string(props, '$.k') || ';model=' || event_type AS options FROM events""",
 )
 def redact_options(spark, folder):
     events = ins.table(spark, folder, "events")
-    options = F.create_map(
-        F.lit("api_KEY"), F.lit("s"), F.lit("model"), F.col("event_type"), F.lit("keyfile"), F.lit("f"), F.lit("props"), F.col("props")
-    )
+    named = F.create_map(F.lit("api_KEY"), F.lit("s"), F.lit("model"), F.col("event_type"), F.lit("keyfile"), F.lit("f"))
+    options = F.map_concat(named, ky.parse_options(F.col("props")))
     pairs = F.sort_array(F.transform(F.map_entries(ky.redact(options)), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return events.select("event_id", F.array_join(pairs, ";").alias("options"))
 
