@@ -59,6 +59,15 @@ def test_provider_contract(spark):
         ex.complete(rows, provider, "no slot")
 
 
+def test_provider_gets_bounded_chunks(spark):
+    def sizes(prompts):
+        return [f"n={len(prompts)}"] * len(prompts)
+
+    rows = base(spark, list("abcdefg")).coalesce(1)
+    got = [r["raw_response"] for r in ex.complete(rows, sizes, chunk_rows=3).orderBy("row").collect()]
+    assert got == ["n=3"] * 6 + ["n=1"]
+
+
 def test_reject_positions(spark):
     rows = base(spark, ["none"] * 5).withColumn("raw_response", F.lit(None).cast("string"))
     got = ex.rejects(ex.clean_responses(rows), "row", 2).orderBy("global_row").collect()

@@ -143,6 +143,7 @@ def test_pick_marker(spark):
     df = spark.createDataFrame([("a ㈀ b",), ("㈁㈃",)], "text string")
     assert tuple(sp.pick_marker(df).first()) == (0x3202, "㈂")
     assert tuple(sp.pick_marker(df.limit(0)).first()) == (0x3200, "㈀")
+    fails(sp.pick_marker(df, first=0x3200, last=0x3201), "every character of the range")
 
 
 def test_tokenizer_plug_in(spark):

@@ -55,8 +55,13 @@ def cache_hit_rate(looked_up: DataFrame, cache: DataFrame) -> DataFrame:
     return rate.withColumn("cached_texts", cache.agg(F.count("*")).scalar())
 
 
-def complete(df: DataFrame, provider: Callable[[list[str]], list[str | None]], template: str = INSTRUCTION) -> DataFrame:
-    """Responses of a text provider, one Arrow batch of prompts per call.
+def complete(
+    df: DataFrame,
+    provider: Callable[[list[str]], list[str | None]],
+    template: str = INSTRUCTION,
+    chunk_rows: int = fx.EXPLAIN_CHUNK,
+) -> DataFrame:
+    """Responses of a text provider, at most ``chunk_rows`` prompts per call.
 
     The provider returns one text or None (gave up) per prompt; anything else
     is an error. Pass cache misses only, and keep the result before using it
@@ -68,11 +73,16 @@ def complete(df: DataFrame, provider: Callable[[list[str]], list[str | None]], t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            replies = list(provider([head + text + tail for text in batch[TEXT]]))
-            if len(replies) != len(batch):
-                raise ValueError(f"{len(replies)} responses for {len(batch)} prompts")
-            if any(r is not None and (not isinstance(r, str) or not r) for r in replies):
-                raise ValueError("a response must be non-empty text or None")
+            prompts = [head + text + tail for text in batch[TEXT]]
+            replies = []
+            for start in range(0, len(prompts), chunk_rows):
+                chunk = prompts[start : start + chunk_rows]
+                answers = list(provider(chunk))
+                if len(answers) != len(chunk):
+                    raise ValueError(f"{len(answers)} responses for {len(chunk)} prompts")
+                if any(a is not None and (not isinstance(a, str) or not a) for a in answers):
+                    raise ValueError("a response must be non-empty text or None")
+                replies.extend(answers)
             yield batch[names].assign(raw_response=pd.Series(replies, index=batch.index, dtype=object))
 
     return df.mapInPandas(run, out)
@@ -127,6 +137,7 @@ def explain(
     cache: DataFrame | None = None,
     template: str = INSTRUCTION,
     pattern: str = fx.RESPONSE_PATTERN,
+    chunk_rows: int = fx.EXPLAIN_CHUNK,
 ) -> tuple[DataFrame, DataFrame]:
     """Explained rows and the reject log.
 
@@ -141,11 +152,12 @@ def explain(
         found = tx.feature_count(F.col("cached")) >= fx.MIN_FEATURES
         hits = looked_up.where(F.col("cached").isNotNull() & found).withColumnRenamed("cached", EXPLANATION)
         misses = looked_up.where("cached is null")
-    responses = clean_responses(cut_lineage(complete(misses.select(*columns), provider, template)), pattern)
+    raw = cut_lineage(complete(misses.select(*columns), provider, template, chunk_rows))
+    responses = clean_responses(raw, pattern)
     explained = kept_responses(responses).select(*columns, EXPLANATION)
     if hits is not None:
         explained = hits.select(*columns, EXPLANATION).unionByName(explained)
-    return explained, rejects(responses, index)
+    return explained, rejects(responses, index, chunk_rows)
 
 
 def prior_explanations(

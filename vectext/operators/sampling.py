@@ -176,10 +176,11 @@ def pick_marker(df: DataFrame, text: str = "text", first: int = fx.MARKER_FIRST,
     usable = df.sparkSession.range(first, last + 1).select(
         F.col("id").alias("code_point"), F.decode(F.unhex(code), "UTF-16BE").alias("marker")
     )
+    none_left = F.raise_error(F.lit("every character of the range is in the corpus"))
     return (
         usable.join(used, "marker", "left_anti")
         .agg(F.min(F.struct("code_point", "marker")).alias("m"))
-        .select("m.code_point", "m.marker")
+        .select(F.coalesce("m.code_point", none_left.cast("bigint")).alias("code_point"), "m.marker")
     )
 
 
