@@ -330,6 +330,7 @@ def test_whole_job(spark, tmp_path):
         assert note["stage"] == stage and note["row_count"] == built.count()
         note = ms.read_manifest(spark, paths[f"{stage}_shuffled"]).first()
         assert note["dataset_id"].endswith("__shuf7") and len(note["parent_datasets"]) == 1
+        assert note["stage"] == stage and (note["tokens"]["critic_suffix_ids"] is not None) == (stage == "ar_sft")
     explained, split = read("av_sft_explained"), splits.where("split = 'av_sft'")
     rejected = spark.read.json(paths["av_sft_rejects"])
     assert explained.count() + rejected.count() == split.count()
