@@ -133,6 +133,7 @@ CASES = [
     ("numbers", tagged("1. a1\n2) b1\n(3) c1\nIV. d1\n(x) e1\nb) f1"), "a1\n\nb1\n\nc1\n\nd1\n\ne1\n\nf1", 6),
     ("roman in brackets stays", tagged("(iii) a1\nb1"), "(iii) a1\n\nb1", 2),
     ("bold header", tagged("**Header:** text here\n\n**All bold**"), "Header: text here\n\nAll bold", 2),
+    ("other line ends inside a line", tagged("**a\u2028b** c\n\n**x\ry** z"), "a\u2028b c\n\nx\ry z", 2),
     ("trailing marks", tagged("*one*\n\n_two_"), "one\n\ntwo", 2),
     ("only marks", tagged("**"), "", 1),
     ("inline header", tagged("First: a. Second: b. Final token: c."), "First: a.\n\nSecond: b.\n\nFinal token: c.", 3),

@@ -175,7 +175,7 @@ def clean_explanation(raw: Column, pattern: str = fx.RESPONSE_PATTERN) -> Column
 
     def clean_line(line: Column) -> Column:
         line = F.regexp_replace(line, f"(?U){fx.LIST_PREFIX}", "")
-        line = F.regexp_replace(line, f"(?U){fx.BOLD_WRAP}", "$1 ")
+        line = F.regexp_replace(line, f"(?Ud){fx.BOLD_WRAP}", "$1 ")
         return F.regexp_replace(strip(line), r"\A[*_]+|[*_]+\z", "")
 
     def kept(parts: Column) -> Column:

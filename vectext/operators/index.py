@@ -12,11 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vectext.functions.keys import hash_number, keyed_hash
+from vectext.functions.keys import keyed_hash
 from vectext.session import cut_lineage
 
 BLOCK_ROWS = 65536
-HASH_DIGITS = 3
+HASH_DIGITS = 4
 MAX_BROADCAST_FILES = 500_000
 
 
@@ -36,7 +36,7 @@ def hash_rank(df: DataFrame, seed: int | str, key: Column | str, out: str = "ran
     most ``16**HASH_DIGITS`` offsets are broadcast.
     """
     hashed = df.withColumn("_hash", keyed_hash(seed, key)).withColumn(
-        "_block", hash_number(F.col("_hash"), HASH_DIGITS)
+        "_block", F.substring("_hash", 1, HASH_DIGITS)
     )
     counts = hashed.groupBy("_block").agg(F.count("*").alias("_rows"))
     offsets = block_offsets(counts, [], "_block", "_rows")

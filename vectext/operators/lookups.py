@@ -27,13 +27,12 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
 def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with so many rows that they need several tasks, and how many.
 
-    The limit rises with the table so that no more than ``MAX_HOT_KEYS`` keys
-    can be above it; this bounds the result whatever the data.
+    At most ``MAX_HOT_KEYS`` of them, the heaviest first, whatever the data: a
+    key left out has fewer rows than each of those, and joins as it is.
     """
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = F.coalesce(counts.agg(F.sum("_n")).scalar(), F.lit(0))
-    limit = F.greatest(F.lit(hot_rows), F.ceil(total / MAX_HOT_KEYS))
-    return counts.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_shares"))
+    heavy = counts.where(F.col("_n") > hot_rows).orderBy(F.col("_n").desc(), key).limit(MAX_HOT_KEYS)
+    return heavy.select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_shares"))
 
 
 def lookup_join(

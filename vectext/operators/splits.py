@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vectext import fixed_values as fx
-from vectext.functions.keys import hash_number, keyed_hash
+from vectext.functions.keys import keyed_hash
 from vectext.operators.index import HASH_DIGITS
 
 
@@ -48,7 +48,7 @@ def split_rule(
     check_fractions(fractions)
     names = tuple(fractions)
     docs = df.select(F.col(key)).distinct().withColumn("_hash", keyed_hash(seed, key))
-    docs = docs.withColumn("_block", hash_number(F.col("_hash"), HASH_DIGITS))
+    docs = docs.withColumn("_block", F.substring("_hash", 1, HASH_DIGITS))
     counts = {r["_block"]: r["n"] for r in docs.groupBy("_block").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
 
