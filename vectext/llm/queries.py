@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectext.llm import exact_dedup, mixing, sharding, simhash
+from vectext.llm import exact_dedup, mixing, packing, sharding, simhash, token_files
+from vectext.session import new_shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +64,19 @@ ORACLES["op4_exact_dedup"] = """
 def op10_temperature_mix(spark: SparkSession, folder: str) -> DataFrame:
     places, _ = mixing.mix_sources(table(spark, folder, "documents"), max_passes=MAX_PASSES)
     return places.drop("text_hash")
+
+
+@register
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "bytes", end_id=2, capacity=1024)
+
+
+@register
+def op8_plane_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    out = new_shared_path(spark, "tokens")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_token_files(table(spark, folder, "documents"), out, vocabulary, "words", end_id=1)
+    return token_files.read_documents(spark, out).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
