@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectext.llm import exact_dedup, mixing, packing, sharding, simhash, token_files
+from vectext.llm import exact_dedup, language, mixing, packing, quality, sharding, simhash, token_files
+from vectext.llm.streams import held_out
 from vectext.session import new_shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +16,7 @@ ORACLES: dict[str, str] = {}
 
 SHARDS = 16
 MAX_PASSES = 2.0
+ACCEPT = 0.7
 
 
 def register(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -41,6 +43,20 @@ def op2_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quality_votes(spark: SparkSession, docs: DataFrame, folder: str) -> quality.Votes:
+    """The classifier learned from the labels that are not held out."""
+    return quality.learn(docs, table(spark, folder, "labels").where(~held_out("doc_id")))
+
+
+@register
+def op3_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = quality.with_quality(docs.select("doc_id", "text"), quality_votes(spark, docs, folder))
+    return scored.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted")
+    )
+
+
 @register
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"), keep="largest")
@@ -60,6 +76,14 @@ ORACLES["op4_exact_dedup"] = """
 """
 
 
+@register
+def op6_ppm_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    counts = language.learn(docs.where(~held_out("doc_id")))
+    guessed = language.predict_language(docs.select("doc_id", "text"), counts)
+    return guessed.select("doc_id", held_out("doc_id").alias("held_out"), "predicted.lang_pred", "predicted.score")
+
+
 @register
 def op10_temperature_mix(spark: SparkSession, folder: str) -> DataFrame:
     places, _ = mixing.mix_sources(table(spark, folder, "documents"), max_passes=MAX_PASSES)
