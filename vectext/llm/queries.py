@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectext.llm import exact_dedup, language, mixing, packing, quality, sharding, simhash, token_files
+from vectext.llm import exact_dedup, language, mixing, packing, quality, sharding, simhash, token_files, topk
 from vectext.llm.streams import held_out
 from vectext.session import new_shared_path
 
@@ -76,6 +76,32 @@ ORACLES["op4_exact_dedup"] = """
 """
 
 
+@register
+def op5_norm_bucket_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
+
+
+ORACLES["op5_norm_bucket_top_k"] = """
+    WITH parts AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ),
+    scored AS (
+        SELECT q.vec_id AS query_id, p.vec_id,
+               CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(p.v AS DOUBLE[])) AS BIGINT) AS score
+        FROM parts q JOIN parts p ON q.vec_id <> p.vec_id
+        WHERE q.vec_id % 20 = 0
+    ),
+    placed AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+        FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 20
+"""
+
+
 @register
 def op6_ppm_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
