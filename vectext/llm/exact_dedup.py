@@ -4,8 +4,8 @@ Built from DataFrame functions only. Rows are grouped by the MD5 of their text
 *and* the text itself, so equal hashes of different texts stay apart: the bytes
 decide. Copies are combined on the map side, hence a text that fills a third of
 the table reaches the shuffle once per input split. What is joined back to the
-rows is the hash alone; only hashes with more than one text, collisions, need
-the text again.
+rows is the hash alone; only if some hash has more than one text, a collision,
+are the texts of such hashes read again and joined by their bytes.
 
 Nulls and empties: a null text counts as empty; a null id takes part, and loses
 to any id. Rows repeated in id and text give as many rows, of which one at most
@@ -17,6 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vectext.llm.streams import free_name, text_of
+from vectext.session import cut_lineage
+
+
+COLUMNS = ["id", "keep_id", "group_size", "text_sha256", "copies"]
 
 
 def content_hash(text: Column) -> Column:
@@ -39,24 +43,25 @@ def duplicate_groups(
     largest = check_keep(keep)
     whole = df.select(F.col(id).alias("id"), text_of(text).alias("text")).withColumn("hash", hash_of(F.col("text")))
     classes = text_classes(whole, largest)
-    per_hash = classes.groupBy("hash").agg(
+    # Written once: the texts are shuffled for this table and for nothing else.
+    per_hash = cut_lineage(classes.groupBy("hash").agg(
         F.count("*").alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")
-    )
-    clashing = per_hash.where("texts > 1").select("hash")
+    ))
     # Repeated rows (same id, same text) travel as one row with a count.
     narrow = (
         whole.select("id", "hash", F.sha2("text", 256).alias("text_sha256"))
         .groupBy("id", "hash", "text_sha256").agg(F.count("*").alias("copies"))
     )
-    plain = narrow.join(per_hash.where("texts = 1").drop("texts"), "hash")
-    collided = (
-        whole.join(clashing, "hash", "left_semi")
-        .groupBy("id", "hash", "text").agg(F.count("*").alias("copies"))
-        .join(classes, ["hash", "text"])
-        .withColumn("text_sha256", F.sha2("text", 256))
-    )
-    columns = ["id", "keep_id", "group_size", "text_sha256", "copies"]
-    rows = plain.select(*columns).unionByName(collided.select(*columns))
+    rows = narrow.join(per_hash.where("texts = 1"), "hash").select(*COLUMNS)
+    clashing = per_hash.where("texts > 1").select("hash")
+    if not clashing.isEmpty():
+        collided = (
+            whole.join(clashing, "hash", "left_semi")
+            .groupBy("id", "hash", "text").agg(F.count("*").alias("copies"))
+            .join(classes, ["hash", "text"])
+            .withColumn("text_sha256", F.sha2("text", 256))
+        )
+        rows = rows.unionByName(collided.select(*COLUMNS))
     return rows.select(
         "*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")
     ).select(
