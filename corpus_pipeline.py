@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectext.llm import exact_dedup, mixing, queries, simhash
+from vectext.llm import exact_dedup, mixing, packing, quality, queries, simhash
+from vectext.llm.streams import free_name
 from vectext.session import new_shared_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; the others go."""
+    votes = queries.quality_votes(spark, docs, sf_dir)
+    score = free_name(docs, "_score")
+    return quality.with_quality(docs, votes, out=score).where(F.col(score) >= queries.ACCEPT).drop(score)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.drop_duplicates(docs, keep="largest")
@@ -28,10 +37,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs, places)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "bytes", end_id=2, capacity=1024)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_votes", keep_quality),
     ("exact_dedup", drop_copies),
-    ("near_dedup", drop_near_copies),
-    ("mix", mix),
+    ("simhash_near_dedup", drop_near_copies),
+    ("temperature_mix", mix),
+    ("best_fit_packing", pack),
 ]
 
 #: SimHash, neighbour votes and tokens have no counterpart in SQL.

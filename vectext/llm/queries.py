@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectext.llm import exact_dedup, language, mixing, packing, quality, sharding, simhash, token_files, topk
+from vectext.llm import exact_dedup, html_text, language, mixing, packing, quality, sharding, simhash, token_files, topk
 from vectext.llm.streams import held_out
 from vectext.session import new_shared_path
 
@@ -130,3 +130,9 @@ def op8_plane_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_documents(spark, out).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@register
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = html_text.extract_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
