@@ -121,7 +121,7 @@ def source_tokens(sized: DataFrame) -> dict:
 
 
 def running_tokens(rows: DataFrame, hash_name: str) -> DataFrame:
-    """Tokens before each row in the order of a hash, per (source, pass).
+    """Tokens before each row in the order of a hash of 63 bits, per (source, pass).
 
     The hash space is cut into slices of about ``SLICE_ROWS`` rows for the
     largest source, so a source with a third of all rows is summed by many
@@ -129,7 +129,7 @@ def running_tokens(rows: DataFrame, hash_name: str) -> DataFrame:
     """
     largest = rows.groupBy("source", "pass").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     slices = max(1, math.ceil(largest / SLICE_ROWS))
-    sliced = rows.withColumn("slice", F.floor(F.shiftrightunsigned(hash_name, 1) / F.lit(2.0**63) * slices).cast("int"))
+    sliced = rows.withColumn("slice", F.floor(F.col(hash_name) / F.lit(2.0**63) * slices).cast("int"))
     totals = sliced.groupBy("source", "pass", "slice").agg(F.sum("tokens").alias("slice_tokens"))
     ahead = Window.partitionBy("source", "pass").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("ahead", F.coalesce(F.sum("slice_tokens").over(ahead), F.lit(0))).drop("slice_tokens")
@@ -182,7 +182,7 @@ def mix_sources(
     matched = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
     read = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("allowed") - 1) / F.col("size"))))
     walks = matched.where("allowed > 0").withColumn("pass", read)
-    walks = walks.withColumn("order", F.xxhash64(F.lit(seed), "pass", "id", "tie"))
+    walks = walks.withColumn("order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "pass", "id", "tie"), 1))
     walks = running_tokens(walks, "order")
     walks = walks.withColumn("first", F.col("pass") * F.col("size") + F.col("before")).where("first < allowed")
     walks = walks.withColumn("block", F.floor(F.col("first") / F.col("block_share")).cast("bigint"))

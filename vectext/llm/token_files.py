@@ -173,9 +173,9 @@ def read_documents(spark: SparkSession, out: str, id: str = "doc_id") -> DataFra
     joined = F.aggregate("pieces", F.lit(b""), lambda done, piece: F.concat(done, piece["ids"]))
     cut = cut.select("part", "id", "begin", "n_tokens", joined.alias("ids"))
     # One row per part, of which there are as many as writing tasks.
-    parts = spark.read.parquet(out).groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
+    parts = spark.read.parquet(out).groupBy("part").agg(F.sum("n_ids").alias("_rows"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("part_ids").over(ahead), F.lit(0)).alias("ahead"))
+    parts = parts.select("part", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("ahead"))
     return whole.unionByName(cut).join(F.broadcast(parts), "part").select(
         F.col("id").alias(id), (F.col("ahead") + F.col("begin")).cast("bigint").alias("start"), "n_tokens", "ids"
     )
