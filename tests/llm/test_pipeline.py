@@ -1,0 +1,106 @@
+"""The pipeline, stage by stage, against plain Python over the stage's own input."""
+
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from test_simhash import plain_fingerprint, roots
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from vectext.llm import queries
+
+FOLDER = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def results(spark, tmp_path_factory):
+    """Documents, then each stage's result, as lists of rows."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    out = [docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp(name) / "out")
+        stage(spark, docs, FOLDER).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append(docs.collect())
+    return out
+
+
+def test_stages(results):
+    assert len(corpus_pipeline.STAGES) == 5
+    assert all(list(rows[0].asDict()) == COLUMNS for rows in results[:5])
+
+
+def test_quality(spark, results):
+    accepted = {r["doc_id"] for r in queries.QUERIES["op3_quality_votes"](spark, FOLDER).where("predicted = 1").collect()}
+    assert sorted(results[1]) == sorted(r for r in results[0] if r["doc_id"] in accepted)
+    assert 0.6 * len(results[0]) < len(results[1]) < len(results[0])
+
+
+def test_exact(results):
+    least = {}
+    for r in results[1]:
+        least[r["text"]] = max(r, least.get(r["text"], r))
+    assert sorted(results[2]) == sorted(least.values()) and len(results[2]) < len(results[1])
+
+
+def test_near(results):
+    prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in results[2]}
+    root = roots(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 3)
+    stays = {}
+    for doc_id, f in prints.items():
+        stays[root[f]] = min(doc_id, stays.get(root[f], doc_id))
+    assert sorted(r["doc_id"] for r in results[3]) == sorted(stays.values())
+
+
+def test_mix(results):
+    reads = Counter(r["doc_id"] for r in results[4])
+    assert set(reads) == {r["doc_id"] for r in results[3]} and max(reads.values()) <= 3
+    size = {r["doc_id"]: len(r["text"].split()) + 1 for r in results[3]}
+    before, after = Counter(), Counter()
+    for r in results[3]:
+        before[r["source"]] += size[r["doc_id"]]
+    for r in results[4]:
+        after[r["source"]] += size[r["doc_id"]]
+    longest = max(size.values())
+    assert all(before[s] <= after[s] <= 2 * before[s] + longest for s in before)
+    assert max(after.values()) / min(after.values()) < max(before.values()) / min(before.values())
+
+
+def test_packing(results):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for r in results[4]:
+        ids = tokenizer.encode(r["text"], add_special_tokens=False).ids + [2]
+        for end in range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024):
+            part = ids[max(0, end - 1024):end]
+            want[r["doc_id"], end - len(part), len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in results[5]) == want
+    used = {}
+    for r in sorted(results[5], key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == used.get(r["sequence_id"], 0)
+        used[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(used.values()) <= 1024 and len(used) <= 1.02 * sum(used.values()) / 1024 + 1
+
+
+def test_run(spark, results):
+    got = corpus_pipeline.run(spark, FOLDER).drop("sequence_id", "offset").collect()
+    assert sorted(got) == sorted(type(r)(**{k: r[k] for k in got[0].asDict()}) for r in results[5])
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows(spark, stage):
+    rows = [
+        (1, "a text of some words here.", "en", "s", 3, "x"), (2, None, None, None, None, None), (None, "", "en", "s", 0, "x"),
+        (3, "long words and more. " * 20_000, "en", "s", 1, "x"), (1, "a text of some words here.", "en", "s", 3, "x"), (None, None, None, None, None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _score string")
+    result = stage(spark, docs, FOLDER)
+    assert result.count() > 0
+    assert stage(spark, docs.where(F.lit(False)), FOLDER).count() == 0
+    if stage is not corpus_pipeline.STAGES[-1][1]:
+        assert result.columns == docs.columns
