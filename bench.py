@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from vectext.session import get_session  # noqa: E402
+from vectext.session import get_session, use_own_folder  # noqa: E402
 
 HEADLINE = [
     "corpus_clean", "prefix_dedup", "reject_reasons", "first_n_clean",
@@ -33,8 +33,11 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session(f"local[{cpus}]", "vectext-bench", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
+        # The tables here are files of one row group, which one task would read.
+        "spark.vectext.inputPartitions": cpus,
     })
     spark.sparkContext.setLogLevel("ERROR")
+    use_own_folder(spark)
     from vectext.plans.catalog import QUERIES
 
     only = os.environ.get("BENCH_QUERIES")

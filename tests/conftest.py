@@ -9,12 +9,13 @@ sys.path.insert(0, ROOT)
 # Workers import plug-ins from the test modules.
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, HERE, os.environ.get("PYTHONPATH", "")])
 
-from vectext.session import get_session  # noqa: E402
+from vectext.session import get_session, use_own_folder  # noqa: E402
 
 
 # Started here, since columns can only be made while a session runs.
 SESSION = get_session("local[8]", "vectext-tests", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
 SESSION.sparkContext.setLogLevel("ERROR")
+use_own_folder(SESSION)
 
 
 @pytest.fixture(scope="session")

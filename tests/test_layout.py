@@ -1,9 +1,12 @@
 """Row numbers, splits, shuffles, batches, groups and shards."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from vectext.operators import corpus as cp, index as ix, layout as ly, lookups as lk, splits as sl
+from vectext.sources import tables as tb
 
 
 def pairs(df, *columns):
@@ -30,16 +33,81 @@ def test_hash_rank_is_a_bijection(spark):
     assert once != dict(pairs(ix.hash_rank(df, 2, "id"), "id", "rank"))
 
 
-def test_blocked_rank_of_one_hot_group(spark):
+def test_group_rank_of_one_hot_group(spark):
     df = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("g"))
-    got = ix.blocked_rank(df, "id", ["g"], block_rows=64)
+    got = ix.group_rank(df, "id", ["g"])
     hot = [r["rank"] for r in got.where("g = -1").orderBy("id").collect()]
     assert hot == list(range(len(hot))) and len(hot) == 666
 
 
-def test_blocked_running_sum(spark):
+def test_group_rank_of_sparse_ids(spark):
+    """Ids far apart, a null group, and no group at all."""
+    df = spark.range(1000).select((F.col("id") * 1_000_003).alias("id"), F.when(F.col("id") % 2 == 0, "a").alias("g"))
+    got = ix.group_rank(df, "id", ["g"])
+    for group in (F.col("g").isNull(), F.col("g") == "a"):
+        assert [r["rank"] for r in got.where(group).orderBy("id").collect()] == list(range(500))
+    assert [r["rank"] for r in ix.group_rank(df, "id").orderBy("id").collect()] == list(range(1000))
+
+
+def test_ranks_never_gather_rows_in_one_task(spark):
+    df = spark.range(5000).select((F.col("id") * 97).alias("id"), F.lit("one").alias("g"))
+    for made in (ix.group_rank(df, "id", ["g"]), ix.group_rank(df, "id"), ly.epoch_order(df, "id", 0, 5000, None)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        lone = re.findall(r"Window [^\n]*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange SinglePartition", plan)
+        assert all("sum(_rows" in w for w in lone)
+
+
+def test_hash_digits():
+    assert [ix.hash_digits(n) for n in (0, 1, 65536, 65537 * 16, 65536 * 16**3)] == [1, 1, 1, 2, 3]
+
+
+def test_permutation_of_repeated_keys(spark):
+    rows = [("a", i, float(i)) for i in range(300)] + [(None, 300 + i, 300.0 + i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, id int, v double")
+    got = ly.permute_column(df, "k", "v").collect()
+    assert sorted(r["id"] for r in got) == list(range(400))
+    assert sorted(r["v"] for r in got) == [float(i) for i in range(400)]
+    assert sum(r["id"] != r["v"] for r in got) > 350
+
+
+def test_head_rows(spark):
+    assert [r[0] for r in ly.head_rows(spark.range(50), 3, F.col("id").desc()).collect()] == [49, 48, 47]
+
+
+def test_first_clean_reads_few_files(spark, tmp_path):
+    texts = [(f"text {i // 2}",) for i in range(400)]
+    spark.createDataFrame(texts, "text string").repartitionByRange(20, F.col("text")).write.parquet(f"{tmp_path}/in")
+    df = tb.read_corpus(spark, f"{tmp_path}/in")
+    read = []
+
+    def clean(part):
+        read.append(part.select("source_file").distinct().count())
+        return cp.dedup_prefix(part, ["source_file", "source_row"])
+
+    got = cp.first_clean(df, 15, clean)
+    whole = cp.first_n(cp.dedup_prefix(df, ["source_file", "source_row"]), 15)
+    assert pairs(got, "source_file", "source_row") == pairs(whole, "source_file", "source_row") and got.count() == 15
+    assert read and max(read) < 10
+    assert cp.first_clean(df, 200, clean).count() == 200
+    with pytest.raises(ValueError, match="only 200 of 201"):
+        cp.first_clean(df, 201, clean)
+
+
+def test_slice_reads_few_files(spark, tmp_path):
+    spark.range(0, 1000, 1, 10).select(F.col("id").cast("string").alias("text")).write.parquet(f"{tmp_path}/in")
+    df = tb.read_corpus(spark, f"{tmp_path}/in")
+    got = ix.scan_slice(df, 250, 100)
+    order = [r["text"] for r in df.orderBy("source_file", "source_row").collect()]
+    assert [r["text"] for r in got.orderBy("row_index").collect()] == order[250:350]
+    assert got.select("source_file").distinct().count() == 2
+    assert ix.scan_slice(df, 0, 0).count() == 0
+    with pytest.raises(ValueError, match="40 found"):
+        ix.scan_slice(df, 960, 100)
+
+
+def test_running_sum_of_a_group(spark):
     df = spark.range(200).select("id", (F.col("id") % 5).alias("v"), F.lit(1).alias("g"))
-    got = dict(pairs(ix.blocked_running_sum(df, "v", "id", ["g"], block_rows=16), "id", "running"))
+    got = dict(pairs(ix.group_running_sum(df, "v", "id", ["g"]), "id", "running"))
     total = 0
     for i in range(200):
         total += i % 5
@@ -71,6 +139,7 @@ def test_dedup_first_wins(spark):
     rows = [(3, "Same  TEXT"), (1, "same text"), (2, "same text"), (5, "x" * 500 + "a"), (4, "x" * 500 + "b"), (6, "other")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     assert [r[0] for r in pairs(cp.dedup_prefix(df, ["doc_id"]), "doc_id")] == [1, 4, 6]
+    assert [r[0] for r in pairs(cp.dedup_prefix(df, ["doc_id"], chars=None), "doc_id")] == [1, 4, 5, 6]
 
 
 # ----------------------------------------------------------------------- lookups
@@ -80,35 +149,22 @@ def test_lookup_join_with_hot_key(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") < 400, 7).otherwise(F.col("id") % 10).alias("k"))
     table = spark.range(9).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     want = rows.join(table, "k", "left").fillna(-1)
-    got = lk.lookup_join(rows, table, "k", ["id"], "left", hot_rows=50).fillna(-1)
+    got = lk.lookup_join(rows, table, "k", ["id"], "left").fillna(-1)
     assert pairs(got, "id", "k", "v") == pairs(want, "id", "k", "v")
-    shared = lk.spread_join(rows, table, "k", ["id"], shares=4)
+    shared = lk.lookup_join(rows, table, "k", ["id"], "inner")
     assert pairs(shared, "id", "v") == pairs(rows.join(table, "k"), "id", "v")
 
 
-def test_hot_keys_are_few(spark, monkeypatch):
-    rows = spark.range(1000).select((F.col("id") % 100).alias("k"))
-    assert lk.hot_keys(rows, "k", 5).count() == 100
-    monkeypatch.setattr(lk, "MAX_HOT_KEYS", 20)
-    skewed = rows.unionByName(spark.range(500).select(F.lit(77).cast("bigint").alias("k")))
-    hot = lk.hot_keys(skewed, "k", 5).collect()
-    assert len(hot) == 20 and (hot[0]["k"], hot[0]["_shares"]) == (77, 102)
-    # Keys beyond the list still join in full.
-    table = spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("v"))
-    numbered = skewed.withColumn("id", F.monotonically_increasing_id())
-    assert lk.lookup_join(numbered, table, "k", ["id"], "inner", 5).where("k = v").count() == 1500
-
-
 def test_lookup_join_keeps_null_keys(spark):
     rows = spark.createDataFrame([(1, None), (2, "a")], "id bigint, k string")
     table = spark.createDataFrame([("a", 5)], "k string, v int")
-    got = {r["id"]: r["v"] for r in lk.lookup_join(rows, table, "k", ["id"], "left", 1).collect()}
+    got = {r["id"]: r["v"] for r in lk.lookup_join(rows, table, "k", ["id"], "left").collect()}
     assert got == {1: None, 2: 5}
 
 
 def test_group_stats_join(spark):
     rows = spark.range(300).select("id", (F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
-    got = lk.group_stats_join(rows, "g", ["id"], [F.avg("x").alias("m")], hot_rows=20).collect()
+    got = lk.group_stats_join(rows, "g", ["id"], [F.avg("x").alias("m")]).collect()
     assert len(got) == 300
     assert {(r["g"], r["m"]) for r in got} == {(0, 148.5), (1, 149.5), (2, 150.5)}
 

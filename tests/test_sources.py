@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vectext import fixed_values as fx
 from vectext.functions import keys as ky
 from vectext.operators import manifests as mf
+from plugins import piece_ids
 from vectext.plans import jobs
 from vectext.sources import manifest as ms, tables as tb
 
@@ -73,7 +74,7 @@ def test_ingest(spark, tmp_path):
     want = {r["row_index"]: r["text"] for r in whole.collect()}
     assert sorted(want) == list(range(40)) and len(set(want.values())) == 40
     assert {r["row_index"]: r["text"] for r in part.collect()} == {i: want[i] for i in range(10, 15)}
-    with pytest.raises(ValueError, match="available: test, train"):
+    with pytest.raises(ValueError, match="test, train"):
         tb.ingest_slice(spark, path, "dev", 0, 1)
     with pytest.raises(ValueError, match="missing columns"):
         tb.ingest_slice(spark, path, "train", 0, 1, text="content")
@@ -122,10 +123,18 @@ def test_guards(spark):
     assert tb.union_shards(spark.range(2), spark.range(3)).count() == 5
 
 
-def test_spread_only_touches_small_scans(spark):
-    assert tb.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 20)
-    assert tb.spread(many) is many
+def test_ingest_of_files_that_mix_splits(spark, tmp_path):
+    rows = [(f"t{i}", "train" if i % 2 else "test") for i in range(40)]
+    for part in range(2):
+        spark.createDataFrame(rows[20 * part:20 * part + 20], "text string, split string").coalesce(1).write.parquet(f"{tmp_path}/in/f={part}")
+    got = tb.ingest_slice(spark, f"{tmp_path}/in", "train", 0, 20).orderBy("row_index").collect()
+    assert [(r["row_index"], r["text"]) for r in got] == [(k, f"t{2 * k + 1}") for k in range(20)]
+    part = tb.ingest_slice(spark, f"{tmp_path}/in", "train", 5, 10).orderBy("row_index").collect()
+    assert [(r["row_index"], r["text"]) for r in part] == [(k, f"t{2 * k + 1}") for k in range(5, 15)]
+    with pytest.raises(ValueError, match="requested"):
+        tb.ingest_slice(spark, f"{tmp_path}/in", "train", 15, 10)
+    with pytest.raises(ValueError, match="test, train"):
+        tb.ingest_slice(spark, f"{tmp_path}/in", "none", 0, 1)
 
 
 # ---------------------------------------------------------------------------- keys
@@ -312,7 +321,8 @@ def test_whole_job(spark, tmp_path):
         "output": f"{tmp_path}/out", "base_model": "org/m", "layer_index": 2, "width": 3,
         "corpus": {"path": corpus, "name": "c", "start": 0, "length": 40},
         "base": {"positions_per_doc": 3, "extractor": "plugins.LengthExtractor"},
-        "explain": {"provider": "plugins.EchoProvider"},
+        "explain": {"provider": "plugins.EchoProvider", "rows_per_file": 7, "files_per_batch": 2, "chunk_size": 4},
+        "build": {"tokenizer": "plugins.piece_ids", "critic_template": "Sum up: {explanation} <summary> now"},
         "shuffle": {"enabled": True, "seed": 7},
     }
     paths = jobs.run_job(spark, config, settings=["base.seed=5"])
@@ -331,9 +341,19 @@ def test_whole_job(spark, tmp_path):
         note = ms.read_manifest(spark, paths[f"{stage}_shuffled"]).first()
         assert note["dataset_id"].endswith("__shuf7") and len(note["parent_datasets"]) == 1
         assert note["stage"] == stage and (note["tokens"]["critic_suffix_ids"] is not None) == (stage == "ar_sft")
+        assert note["tokens"]["injection_token_id"] == piece_ids(note["tokens"]["injection_char"])[0]
+        assert note["tokens"]["injection_left_neighbor_id"] == piece_ids("<concept>")[0]
+        assert note["prompt_templates"]["critic"].startswith("Sum up")
+    assert ms.read_manifest(spark, paths["ar_sft"]).first()["tokens"]["critic_suffix_ids"] == piece_ids("<summary> now")
+    assert read("ar_sft").where("prompt like 'Sum up: % <summary> now'").count() == read("ar_sft").count()
     explained, split = read("av_sft_explained"), splits.where("split = 'av_sft'")
     rejected = spark.read.json(paths["av_sft_rejects"])
     assert explained.count() + rejected.count() == split.count()
+    # Rows keep their number in the split, whatever batch they came with.
+    numbers = rejected.select("global_row", "chunk_start", "row_in_chunk").collect()
+    assert len({r["global_row"] for r in numbers}) == len(numbers) > 0 and max(r["global_row"] for r in numbers) < split.count()
+    assert all(r["chunk_start"] + r["row_in_chunk"] == r["global_row"] and r["row_in_chunk"] < 4 for r in numbers)
+    assert rejected.select("batch").distinct().count() > 1
     # Done batches stay done when the step runs again.
     before = sorted(glob.glob(f"{paths['av_sft_explained']}/batch=*/*.parquet"))
     jobs.run_job(spark, config, ["explain"])
@@ -346,3 +366,16 @@ def test_whole_job(spark, tmp_path):
     assert reused.count() == explained.count()
     with pytest.raises(ValueError, match="unknown steps"):
         jobs.run_job(spark, config, ["odd"])
+    # Without a tokenizer or given ids no id is made up, and the manifest is refused.
+    with pytest.raises(Exception, match="no_marker_id"):
+        jobs.run_job(spark, {**config, "build": {}}, ["build"])
+
+
+def test_token_ids_from_a_tokenizer():
+    build = {"tokenizer": "plugins.piece_ids", "tokens": {"injection_left_neighbor_id": 5}}
+    ids = jobs.token_ids(build, "#", "say <c> # </c> now", "text: {explanation} end of it")
+    assert ids["injection_left_neighbor_id"] == 5 and ids["injection_right_neighbor_id"] == piece_ids("</c>")[0]
+    assert ids["critic_suffix_ids"] == piece_ids("end of it")
+    with pytest.raises(ValueError, match="one token"):
+        jobs.token_ids(build, "#", "# comes first", "{explanation}")
+    assert jobs.token_ids({}, "#", "a # b", "c") == {}

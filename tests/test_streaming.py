@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vectext.functions import text as tx
 from vectext.session import cut_lineage, new_shared_path, shared_folder
 from vectext.streaming import streams as st
 
@@ -35,19 +34,27 @@ def test_resume_never_redoes_a_file(spark, tmp_path):
 def test_stream_dedup_equals_batch(spark, tmp_path):
     for i in range(3):
         add_file(spark, tmp_path, i, [(f"Text  {j % 4}", i * 10 + j) for j in range(8)])
-    arriving = st.read_files(spark, f"{tmp_path}/in*", SCHEMA, files_per_batch=1)
-    out = f"{tmp_path}/out"
-    st.resume_into(st.dedup_prefixes(arriving), out, f"{tmp_path}/state").awaitTermination()
-    got = sorted(r[0] for r in spark.read.parquet(out).select(tx.prefix_key(F.col("text"))).collect())
-    assert got == [f"text {i}" for i in range(4)]
+    out, state = f"{tmp_path}/out", f"{tmp_path}/state"
+
+    def run():
+        arriving = st.read_files(spark, f"{tmp_path}/in*", SCHEMA, files_per_batch=1)
+        st.dedup_batches(arriving, out, state, ["n"]).awaitTermination()
+        return sorted((r["n"], r["text"]) for r in st.deduped(spark, out, ["n"]).collect())
+
+    assert run() == [(j, f"Text  {j}") for j in range(4)]
+    # A row that comes late but before the one kept takes its place; no other row moves.
+    add_file(spark, tmp_path, 9, [("TEXT 2", -1), ("text 3", 99), ("new", 7)])
+    assert run() == [(-1, "TEXT 2"), (0, "Text  0"), (1, "Text  1"), (3, "Text  3"), (7, "new")]
 
 
 def test_bounded_dedup(spark, tmp_path):
-    add_file(spark, tmp_path, 1, [("a", 1), ("a", 2), ("b", 3)])
-    arriving = st.read_files(spark, f"{tmp_path}/in*", SCHEMA).withColumn("at", F.timestamp_seconds(F.col("n")))
     out = f"{tmp_path}/out"
-    st.resume_into(st.dedup_prefixes(arriving, time="at", delay="1 hour"), out, f"{tmp_path}/state").awaitTermination()
-    assert spark.read.parquet(out).count() == 2
+    for number, rows in enumerate(([("a", 1), ("a", 2), ("b", 3)], [("a", 50)], [("a", 5000)])):
+        add_file(spark, tmp_path, number, rows)
+        arriving = st.read_files(spark, f"{tmp_path}/in*", SCHEMA).withColumn("at", F.timestamp_seconds(F.col("n")))
+        st.dedup_batches(arriving, out, f"{tmp_path}/state", ["n"], time="at", delay_seconds=100).awaitTermination()
+    # The repeat within the delay is dropped, the one long after is kept beside it.
+    assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [1, 3, 5000]
 
 
 def test_scored_batches(spark, tmp_path):

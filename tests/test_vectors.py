@@ -112,11 +112,17 @@ def test_permuted_targets_score_like_the_mean(spark):
 
 
 def test_linear_head(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 3.0],)], "vector array<double>")
+    df = spark.createDataFrame([(7, [1.0, 2.0, 3.0])], "id int, vector array<double>")
     eye = np.eye(3)
-    assert sc.linear_head(df, eye).first()["projected"] == [1.0, 2.0, 3.0]
-    assert sc.linear_head(df, eye[[2, 0, 1]]).first()["projected"] == [3.0, 1.0, 2.0]
-    assert sc.linear_head(df, [[1, 1, 1]]).first()["projected"] == [6.0]
+
+    def project(matrix):
+        cells = [(o, i, float(w)) for o, row in enumerate(matrix) for i, w in enumerate(row)]
+        weights = spark.createDataFrame(cells, "out int, in int, w double")
+        return [r["y"] for r in sc.linear_head(df, weights, ["id"]).orderBy("out").collect()]
+
+    assert project(eye) == [1.0, 2.0, 3.0]
+    assert project(eye[[2, 0, 1]]) == [3.0, 1.0, 2.0]
+    assert project([[1, 1, 1]]) == [6.0]
 
 
 def test_generation_status(spark):

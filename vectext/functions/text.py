@@ -102,9 +102,10 @@ def reject_reason(text: Column, score: Column, rules: QualityRules = QualityRule
     )
 
 
-def prefix_key(text: Column, chars: int = fx.PREFIX_CHARS) -> Column:
-    """Opening characters with white space runs as one space, in lower case."""
-    return F.lower(F.regexp_replace(F.substring(text, 1, chars), f"(?U){SPACE}+", " "))
+def prefix_key(text: Column, chars: int | None = fx.PREFIX_CHARS) -> Column:
+    """Opening characters, all of them if ``chars`` is None, with white space runs as one space, in lower case."""
+    opening = text if chars is None else F.substring(text, 1, chars)
+    return F.lower(F.regexp_replace(opening, f"(?U){SPACE}+", " "))
 
 
 # ---------------------------------------------------------- tags and templates

@@ -55,10 +55,14 @@ def build_ar(explained: DataFrame, template: str = fx.CRITIC_TEMPLATE, keep_text
     return explained.select(checked.alias("prompt"), *carried(explained, keep_text))
 
 
-def build(stage: str, df: DataFrame, keep_text: bool = True) -> DataFrame:
+def build(
+    stage: str, df: DataFrame, keep_text: bool = True, actor: str = fx.ACTOR_TEMPLATE, critic: str = fx.CRITIC_TEMPLATE
+) -> DataFrame:
+    """The training table of a stage, from the actor's or the critic's template."""
     if stage not in fx.TRAINING_STAGES:
         raise ValueError(f"unknown stage {stage!r}, known: {fx.TRAINING_STAGES}")
-    return {"av_sft": build_av, "ar_sft": build_ar, "rl": build_rl}[stage](df, keep_text=keep_text)
+    make = {"av_sft": build_av, "ar_sft": build_ar, "rl": build_rl}[stage]
+    return make(df, critic if stage == "ar_sft" else actor, keep_text)
 
 
 def recover(built: DataFrame, template: str = fx.CRITIC_TEMPLATE) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from vectext import fixed_values as fx
 from vectext.functions import text as tx
 from vectext.functions.keys import text_key
-from vectext.operators.index import BLOCK_ROWS, block_offsets
+from vectext.operators.index import BLOCK_ROWS, scan_blocks
 from vectext.operators.lookups import first_per_key
 from vectext.session import cut_lineage
 
@@ -33,13 +34,18 @@ def passing(
     return with_reject_reason(df, rules, text, score).where("reject_reason is null").drop("reject_reason")
 
 
-def dedup_prefix(df: DataFrame, order: Sequence[str], text: str = "text") -> DataFrame:
-    """First row in ``order`` per opening text.
+def dedup_prefix(
+    df: DataFrame, order: Sequence[str], text: str = "text", chars: int | None = fx.PREFIX_CHARS
+) -> DataFrame:
+    """First row in ``order`` per opening of ``chars`` characters, or per whole text if None.
+
+    The default is a quick rule: texts that differ only behind their opening
+    count as one.
 
     Copies are combined on the map side, so a text that makes up a third of the
     corpus reaches its reducer as one row per map task.
     """
-    keyed = df.withColumn("_key", text_key(tx.prefix_key(F.col(text))))
+    keyed = df.withColumn("_key", text_key(tx.prefix_key(F.col(text), chars)))
     return first_per_key(keyed, ["_key"], order).drop("_key").select(*df.columns)
 
 
@@ -48,40 +54,64 @@ def first_n(
 ) -> DataFrame:
     """The first ``n`` rows in scan order; fewer rows are an error when ``strict``.
 
-    Only (file, row) pairs are counted, per block of a file. The block the cut
-    falls in is the only one that is sorted; the result is a plain filter on
-    file and row.
+    The rows are written once. Only (file, row) pairs are counted, per block of
+    a file; the block the cut falls in is the only one that is sorted, and the
+    result is a plain filter on file and row.
     """
-    keys = cut_lineage(df.select(file, row)).withColumn("_block", F.floor(F.col(row) / BLOCK_ROWS).cast("bigint"))
-    counts = keys.groupBy(file, "_block").agg(F.count("*").alias("_rows"))
-    files = counts.groupBy(file).agg(F.sum("_rows").alias("_rows"))
-    starts = block_offsets(files, [], file, "_rows").withColumnRenamed("_before", "_start")
-    inside = block_offsets(counts, [file], "_block", "_rows")
-    before = F.col("_start") + F.col("_before")
-    edge = (
-        counts.join(inside, [file, "_block"])
-        .join(starts, file)
-        .where((before < n) & (before + F.col("_rows") >= n))
-        .select(file, "_block", (F.lit(n) - before).alias("_room"))
-        .first()
-    )
+    df = cut_lineage(df)
+    blocks = scan_blocks(df.select(file, row), file, row)
+    before = F.col("_before")
+    edge = blocks.where((before < n) & (before + F.col("_rows") >= n)).first()
     if edge is None:
-        have = files.agg(F.sum("_rows")).first()[0] or 0
+        have = df.count()
         if strict and have < n:
             raise ValueError(f"only {have} of {n} rows passed")
-        return df
-    block = keys.where((F.col(file) == edge[file]) & (F.col("_block") == edge["_block"]))
-    last = block.orderBy(row).limit(edge["_room"]).agg(F.max(row)).first()[0]
+        return df if n else df.limit(0)
+    inside = (F.col(file) == edge[file]) & (F.floor(F.col(row) / BLOCK_ROWS) == edge["_block"])
+    last = df.where(inside).select(row).orderBy(row).limit(n - edge["_before"]).agg(F.max(row)).first()[0]
     return df.where((F.col(file) < edge[file]) | ((F.col(file) == edge[file]) & (F.col(row) <= last)))
 
 
+def first_clean(
+    df: DataFrame,
+    n: int,
+    clean: Callable[[DataFrame], DataFrame],
+    file: str = "source_file",
+    row: str = "source_row",
+    strict: bool = True,
+) -> DataFrame:
+    """The first ``n`` rows in scan order that ``clean`` keeps, reading only as many files as that takes.
+
+    ``clean`` must decide on a row from it and rows before it alone, as rules
+    and first-wins dedup do: then the rows kept of the first files do not
+    depend on the others. Files are taken in order, twice as many rows each
+    time, until enough are kept; what was kept is written, not made again.
+    """
+    counts = df.select(file).groupBy(file).agg(F.count("*").alias("_rows")).orderBy(file).collect()  # one row per file
+    want = 2 * n
+    while True:
+        files, rows = [], 0
+        for r in counts:
+            files.append(r[file])
+            rows += r["_rows"]
+            if rows >= want:
+                break
+        if len(files) == len(counts):
+            return first_n(clean(df), n, file, row, strict)
+        kept = cut_lineage(clean(df.where(F.col(file).isin(files))))
+        if kept.count() >= n:
+            return first_n(kept, n, file, row, strict)
+        want = 2 * rows
+
+
 def clean_corpus(
     df: DataFrame,
     order: Sequence[str],
     rules: tx.QualityRules = tx.QualityRules(),
     text: str = "text",
     score: str = "score",
+    chars: int | None = fx.PREFIX_CHARS,
 ) -> DataFrame:
     """Rows that pass every rule, one per opening text, score as fixed decimals."""
-    kept = dedup_prefix(passing(df, rules, text, score), order, text)
+    kept = dedup_prefix(passing(df, rules, text, score), order, text, chars)
     return kept.withColumn(score, tx.score_text(F.col(score))) if score in df.columns else kept

@@ -47,6 +47,11 @@ def with_cached(df: DataFrame, cache: DataFrame, spread: Sequence[str]) -> DataF
     return lookup_join(keyed, cache, "text_key", spread, "left")
 
 
+def cached_is_sound() -> Column:
+    """Whether a cached explanation is there and has enough features."""
+    return F.col("cached").isNotNull() & (tx.feature_count(F.col("cached")) >= fx.MIN_FEATURES)
+
+
 def cache_hit_rate(looked_up: DataFrame, cache: DataFrame) -> DataFrame:
     hit = F.col("cached").isNotNull()
     rate = looked_up.agg(
@@ -149,8 +154,7 @@ def explain(
         hits, misses = None, df
     else:
         looked_up = with_cached(df, cache, [index])
-        found = tx.feature_count(F.col("cached")) >= fx.MIN_FEATURES
-        hits = looked_up.where(F.col("cached").isNotNull() & found).withColumnRenamed("cached", EXPLANATION)
+        hits = looked_up.where(cached_is_sound()).withColumnRenamed("cached", EXPLANATION)
         misses = looked_up.where("cached is null")
     raw = cut_lineage(complete(misses.select(*columns), provider, template, chunk_rows))
     responses = clean_responses(raw, pattern)
@@ -186,13 +190,15 @@ def reuse_exact(
     """
     key = ["doc_id", "n_raw_tokens"]
     lut = last_per_key(prior.select(*key, EXPLANATION, *[c for c in order if c not in key]), key, order)
-    joined = raw.join(lut.select(*key, EXPLANATION), key)
+    lut = lut.select(*key, EXPLANATION, F.lit(True).alias("_matched"))
+    joined = raw.join(lut, key, "left")
     if min_share is not None:
-        # Both counts read keys only.
-        total, matched = raw.count(), raw.join(lut.select(*key), key, "left_semi").count()
+        # One pass over both sides, written once: the share and the rows come from the same table.
+        joined = cut_lineage(joined)
+        total, matched = joined.agg(F.count("*"), F.count("_matched")).first()
         if total == 0 or matched / total < min_share:
             raise ValueError(f"{matched} of {total} rows matched, below {min_share}")
-    return joined.select(*raw.columns, EXPLANATION)
+    return joined.where("_matched").select(*raw.columns, EXPLANATION)
 
 
 def pending_chunks(df: DataFrame, done: DataFrame, index: str, chunk_rows: int = fx.EXPLAIN_CHUNK) -> DataFrame:

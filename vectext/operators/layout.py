@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vectext.functions.keys import hash_number, keyed_hash
-from vectext.operators.index import blocked_rank, hash_rank
+from vectext.operators.index import global_index, group_rank, hash_rank
+from vectext.session import cut_lineage
 
 
 def shuffle_rows(
@@ -31,16 +32,21 @@ def permute_column(df: DataFrame, key: str, column: str, seed: int = 42, dataset
     """The same rows with one column permuted across them.
 
     The row of rank r in one hash order gets the value of the row of rank r in
-    another. Ranks are computed on keys alone; the wide column moves once to
-    meet its new key and once to meet its new row.
+    another. Rows get a written number first, which tells rows of one key
+    apart; ranks are computed on keys and numbers alone. The wide column moves
+    once to meet its new number and once to meet its new row.
     """
-    keys = df.select(key)
-    targets = hash_rank(keys, f"{seed}|{dataset}|row", key)
-    sources = hash_rank(keys.withColumnRenamed(key, "_from"), f"{seed}|{dataset}|activ", "_from")
-    pairs = targets.join(sources, "rank").drop("rank")
-    values = df.select(F.col(key).alias("_from"), F.col(column).alias("_value"))
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+
+    def ranks(role: str, name: str) -> DataFrame:
+        order = f"{seed}|{dataset}|{role}"
+        hashed = rows.select(F.col("_row").alias(name), keyed_hash(order, key).alias("_hash"), keyed_hash(order, "_row").alias("_tie"))
+        return global_index(hashed, "_hash", "_tie", out="rank").select("rank", name)
+
+    pairs = ranks("row", "_row").join(ranks("activ", "_from"), "rank").drop("rank")
+    values = rows.select(F.col("_row").alias("_from"), F.col(column).alias("_value"))
     moved = pairs.join(values, "_from").drop("_from")
-    kept = df.drop(column).join(moved, key).withColumnRenamed("_value", column)
+    kept = rows.drop(column).join(moved, "_row").withColumnRenamed("_value", column)
     return kept.select(*df.columns)
 
 
@@ -84,9 +90,9 @@ def epoch_order(df: DataFrame, key: str, epoch: int, rows: int, seed: int | None
     Without a seed every epoch keeps the order of ``key``, a row index.
     """
     if seed is None:
-        ranked = blocked_rank(df, key, out="_rank")
+        ranked = group_rank(df, key, out="_rank")
     else:
-        ranked = hash_rank(df, seed + epoch, key, out="_rank")
+        ranked = hash_rank(df, seed + epoch, key, out="_rank", rows=rows)
     return ranked.withColumn("epoch", F.lit(epoch).cast("bigint")).withColumn(
         "draw", F.col("_rank") + F.lit(epoch * rows)
     ).drop("_rank")
@@ -127,9 +133,16 @@ def equal_size(df: DataFrame, group: str, micro_batch: int | None = None) -> int
 
 
 def equalize_groups(df: DataFrame, group: str, order: str, micro_batch: int | None = None) -> DataFrame:
-    """The first rows of every group, the same number in each."""
+    """The first rows of every group, the same number in each.
+
+    Rows are ranked on (group, order) alone; each group's last kept ``order``
+    is then a filter on the rows, which stay where they are.
+    """
     keep = equal_size(df, group, micro_batch)
-    return blocked_rank(df, order, [group], "_rank").where(F.col("_rank") < keep).drop("_rank")
+    ranked = group_rank(df.select(group, order), order, [group], "_rank")
+    last = ranked.where(F.col("_rank") == keep - 1).select(F.col(group).alias("_of"), F.col(order).alias("_last"))
+    kept = df.join(last, F.col(group).eqNullSafe(F.col("_of")))
+    return kept.where(F.col(order) <= F.col("_last")).select(*df.columns)
 
 
 def round_robin(df: DataFrame, part: str, targets: int) -> DataFrame:
@@ -159,3 +172,8 @@ def shard_of(index: Column, start: int, length: int, shards: int) -> Column:
     if each == 0:
         return F.lit(shards - 1).cast("bigint")
     return F.least(F.floor((index - start) / each), F.lit(shards - 1)).cast("bigint")
+
+
+def head_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first ``n`` rows in an order: the best of each partition meet, not all rows."""
+    return df.orderBy(*order).limit(n)

@@ -6,9 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 100_000
-
 
 def last_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest ``order`` per key, combined before the shuffle."""
@@ -24,55 +21,22 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     return df.groupBy(*key).agg(best).select(*key, "_row.*")
 
 
-def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with so many rows that they need several tasks, and how many.
-
-    At most ``MAX_HOT_KEYS`` of them, the heaviest first, whatever the data: a
-    key left out has fewer rows than each of those, and joins as it is.
-    """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    heavy = counts.where(F.col("_n") > hot_rows).orderBy(F.col("_n").desc(), key).limit(MAX_HOT_KEYS)
-    return heavy.select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_shares"))
-
-
-def lookup_join(
-    rows: DataFrame,
-    table: DataFrame,
-    key: str,
-    spread: Sequence[str],
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join to a ``table`` with at most one row per key.
 
-    A key with more than ``hot_rows`` rows is spread over several tasks: its
-    table row is repeated once per share and its rows pick a share by a hash of
-    the ``spread`` columns. Only the bounded list of such keys is broadcast.
-    """
-    hot = hot_keys(rows, key, hot_rows)
-    share = F.pmod(F.xxhash64(*spread), F.coalesce(F.col("_shares"), F.lit(1))).cast("int")
-    spread_rows = rows.join(F.broadcast(hot), key, "left").withColumn("_share", share)
-    shares = F.sequence(F.lit(0), F.coalesce(F.col("_shares"), F.lit(1)) - 1)
-    repeated = table.join(F.broadcast(hot), key, "left").withColumn("_share", F.explode(shares))
-    return spread_rows.drop("_shares").join(repeated.drop("_shares"), [key, "_share"], how).drop("_share")
-
-
-def spread_join(
-    rows: DataFrame, table: DataFrame, key: str, spread: Sequence[str], shares: int = 16
-) -> DataFrame:
-    """Inner equi-join of many rows to a much smaller ``table`` of one row per key.
-
-    Every table row is repeated ``shares`` times and rows pick a share by a hash
-    of the ``spread`` columns, so any key is served by that many tasks without
-    counting keys first. For tables as large as the rows use ``lookup_join``.
+    Each row has one partner at most, so a frequent key only makes a large
+    partition of ``rows``, which adaptive execution splits at any size, the
+    table's side being repeated for the pieces. Null keys have no partner; they
+    are spread over all tasks by a hash of the ``spread`` columns.
     """
-    share = F.pmod(F.xxhash64(*spread), F.lit(shares)).cast("int")
-    repeated = table.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    return rows.withColumn("_share", share).join(repeated, [key, "_share"]).drop("_share")
+    alone = F.when(F.col(key).isNull(), F.xxhash64(*spread)).otherwise(F.lit(0).cast("bigint"))
+    return (
+        rows.withColumn("_share", alone)
+        .join(table.withColumn("_share", F.lit(0).cast("bigint")), [key, "_share"], how)
+        .drop("_share")
+    )
 
 
-def group_stats_join(
-    rows: DataFrame, group: str, spread: Sequence[str], stats: Sequence[Column], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def group_stats_join(rows: DataFrame, group: str, spread: Sequence[str], stats: Sequence[Column]) -> DataFrame:
     """Rows with aggregates of their group, without gathering a group in one task."""
-    return lookup_join(rows, rows.groupBy(group).agg(*stats), group, spread, "inner", hot_rows)
+    return lookup_join(rows, rows.groupBy(group).agg(*stats), group, spread, "inner")

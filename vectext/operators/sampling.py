@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,7 +12,7 @@ from vectext import fixed_values as fx
 from vectext.functions import tokens as tk
 from vectext.functions.keys import hash_number
 from vectext.operators.index import global_index
-from vectext.operators.lookups import spread_join
+from vectext.operators.lookups import lookup_join
 
 
 def with_tokens(df: DataFrame, text: str = "text", max_length: int | None = None, tokenizer: Column | None = None) -> DataFrame:
@@ -111,7 +112,7 @@ def pooled_vectors(
 ) -> DataFrame:
     """Default vectors: mean table row of the last ``window`` tokens up to a position.
 
-    Frequent tokens make hot keys, which the lookup spreads; at most ``window``
+    Frequent tokens make large partitions, which adaptive execution splits; at most ``window``
     vectors meet in one group.
     """
 
@@ -121,7 +122,7 @@ def pooled_vectors(
 
     rows = sample_positions(df, key, k, seed, specials, slots=recent)
     slots = rows.select(key, "position", F.posexplode("slots").alias("slot", "vec_id"))
-    found = spread_join(slots, table, "vec_id", [key, "position", "slot"])
+    found = lookup_join(slots, table, "vec_id", [key, "position", "slot"], "inner")
 
     def mean(vectors: Column) -> Column:
         total = F.aggregate(
@@ -159,7 +160,7 @@ def extract_vectors(
             vectors = list(extract(batch[text].tolist(), layer))
             if len(vectors) != len(batch) or any(len(v) != width for v in vectors):
                 raise ValueError("the extractor must return one vector of the stated width per text")
-            yield batch[names].assign(activation_vector=[list(map(float, v)) for v in vectors])
+            yield batch[names].assign(activation_vector=[np.asarray(v, dtype=np.float32) for v in vectors])
 
     return df.mapInPandas(run, out)
 
@@ -190,7 +191,7 @@ def embed_tokens(df: DataFrame, table: DataFrame, n_vectors: int, key: Sequence[
     if scale != 1.0:
         scaled = F.transform("embedding", lambda x: x.cast("double") * F.lit(float(scale)))
         table = table.withColumn("embedding", scaled)
-    return spread_join(slots, table, "vec_id", [*key, "position"])
+    return lookup_join(slots, table, "vec_id", [*key, "position"], "inner")
 
 
 def vectors_in_order(
@@ -202,11 +203,15 @@ def vectors_in_order(
     or tokens have drifted apart.
     """
     numbered = global_index(sites, *site_order, out="_nth")
-    given = global_index(vectors.select(*vector_order, vector), *vector_order, out="_nth").select("_nth", vector)
+    # Only the order columns are sorted and written; the vectors join by them.
+    given = global_index(vectors.select(*vector_order), *vector_order, out="_nth")
     n_sites, n_vectors = numbered.count(), given.count()
     if n_sites != n_vectors:
         raise ValueError(f"{n_sites} marker sites for {n_vectors} vectors")
-    return numbered.join(given, "_nth").drop("_nth")
+    places = given.select("_nth", *[F.col(c).alias(f"_v_{c}") for c in vector_order])
+    wide = vectors.select(*[F.col(c).alias(f"_v_{c}") for c in vector_order], vector)
+    keys = [f"_v_{c}" for c in vector_order]
+    return numbered.join(places, "_nth").join(wide, keys).drop("_nth", *keys)
 
 
 def splice_vectors(embedded: DataFrame, sites: DataFrame, key: Sequence[str]) -> DataFrame:

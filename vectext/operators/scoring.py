@@ -5,16 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vectext import fixed_values as fx
 from vectext.functions import text as tx, tokens as tk, vectors as vx
 from vectext.operators.lookups import group_stats_join
 
-MAX_HEAD_CELLS = 1 << 28
-
 
 # ----------------------------------------------------------------- generations
 
@@ -115,18 +111,13 @@ def mean_vector(df: DataFrame, vector: str = "activation_vector") -> DataFrame:
     return vector_moments(df, None, vector).select("position", (F.col("total") / F.col("n")).alias("mean"))
 
 
-def mean_baselines(
-    df: DataFrame, scale: float | None, vector: str = "activation_vector", max_rows: int | None = None
-) -> DataFrame:
+def mean_baselines(df: DataFrame, scale: float | None, vector: str = "activation_vector") -> DataFrame:
     """Errors of always predicting the mean: against the mean set to ``scale``
     and against the mean itself.
 
     Both follow from the moments of the scaled vectors, so the table is read
-    once and the mean is never sent back to the rows. ``max_rows`` asks for an
-    estimate from that many rows; by default every row counts.
+    once, every row of it, and the mean is never sent back to the rows.
     """
-    if max_rows is not None:
-        df = df.select(vector).limit(max_rows)
     moments = vector_moments(df, scale, vector)
     mean = F.col("total") / F.col("n")
     sums = moments.agg(
@@ -197,22 +188,15 @@ def score_agreement(df: DataFrame, left: str, right: str, pred_norm: str, width:
     )
 
 
-def linear_head(df: DataFrame, matrix: Sequence[Sequence[float]], vector: str = "vector", out: str = "projected") -> DataFrame:
-    """Every vector times a model's weight matrix (rows are outputs).
+def linear_head(
+    df: DataFrame, matrix: DataFrame, key: Sequence[str], vector: str = "vector", out: str = "y"
+) -> DataFrame:
+    """``key, out, y``: every vector times a matrix given as rows (out, in, w), of any size.
 
-    The matrix is a parameter of known size and goes to each worker once; a
-    matrix too large for that is refused. Batches multiply in numpy.
+    Cells meet weights by their position; products are summed per row and
+    output on the map side.
     """
-    weights = np.asarray(matrix, dtype=np.float64)
-    if weights.size > MAX_HEAD_CELLS:
-        raise ValueError(f"matrix of {weights.size} cells is too large to ship to workers")
-    shipped = df.sparkSession.sparkContext.broadcast(weights)
-
-    @F.pandas_udf("array<double>")
-    def project(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
-            return pd.Series([], dtype=object)
-        stacked = np.stack(vectors.to_numpy()).astype(np.float64)
-        return pd.Series(list(stacked @ shipped.value.T))
-
-    return df.withColumn(out, project(F.col(vector)))
+    cells = df.select(*key, F.posexplode(vector).alias("in", "_x"))
+    weights = matrix.select("in", F.col("out"), F.col("w").cast("double"))
+    products = cells.join(weights, "in").select(*key, "out", (F.col("_x").cast("double") * F.col("w")).alias("_p"))
+    return products.groupBy(*key, "out").agg(F.sum("_p").alias(out))

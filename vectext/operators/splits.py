@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vectext import fixed_values as fx
 from vectext.functions.keys import keyed_hash
-from vectext.operators.index import HASH_DIGITS
+from vectext.operators.index import hash_digits
+from vectext.session import cut_lineage
 
 
 def check_fractions(fractions: Mapping[str, float]) -> None:
@@ -47,8 +48,9 @@ def split_rule(
     """
     check_fractions(fractions)
     names = tuple(fractions)
-    docs = df.select(F.col(key)).distinct().withColumn("_hash", keyed_hash(seed, key))
-    docs = docs.withColumn("_block", F.substring("_hash", 1, HASH_DIGITS))
+    # Written once: the input runs for this table alone, whatever is counted below.
+    docs = cut_lineage(df.select(F.col(key)).distinct().withColumn("_hash", keyed_hash(seed, key)))
+    docs = docs.withColumn("_block", F.substring("_hash", 1, hash_digits(docs.count())))
     counts = {r["_block"]: r["n"] for r in docs.groupBy("_block").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vectext import fixed_values as fx
 from vectext.functions import text as tx, tokens as tk
 from vectext.operators import corpus as cp, sampling as sp
-from vectext.operators.index import blocked_running_sum, scan_index
+from vectext.operators.index import group_running_sum, scan_slice
 from vectext.plans import inputs as ins
 from vectext.plans.registry import query
 from vectext.sources import tables as tb
@@ -54,7 +54,7 @@ def corpus_clean(spark, folder):
     FROM judged WHERE reject_reason IS NULL""",
 )
 def corpus_lineage(spark, folder):
-    corpus = tb.spread(tb.read_corpus(spark, f"{folder}/documents.parquet", score="score"))
+    corpus = tb.read_corpus(spark, f"{folder}/documents.parquet", score="score")
     return cp.passing(corpus, NO_SCORE).select(
         F.substring_index("source_file", "/", -1).alias("file_name"), "source_row", F.md5("text").alias("text_md5")
     )
@@ -62,8 +62,7 @@ def corpus_lineage(spark, folder):
 
 @query("corpus_slice", "SELECT doc_id AS row_index, md5(text) AS text_md5 FROM documents WHERE doc_id >= 50 AND doc_id < 150")
 def corpus_slice(spark, folder):
-    indexed = scan_index(tb.read_corpus(spark, f"{folder}/documents.parquet"))
-    return tb.read_slice(indexed, 50, 100).select("row_index", F.md5("text").alias("text_md5"))
+    return scan_slice(tb.read_corpus(spark, f"{folder}/documents.parquet"), 50, 100).select("row_index", F.md5("text").alias("text_md5"))
 
 
 @query(
@@ -126,9 +125,11 @@ def prefix_dedup(spark, folder):
     SELECT doc_id AS source_row, md5(text) AS text_md5 FROM ranked WHERE rn = 1 ORDER BY doc_id LIMIT 40""",
 )
 def first_n_clean(spark, folder):
-    corpus = tb.spread(tb.read_corpus(spark, f"{folder}/documents.parquet"))
-    kept = cp.dedup_prefix(cp.passing(corpus, NO_SCORE).drop("score"), ["source_file", "source_row"])
-    return cp.first_n(kept, 40).select("source_row", F.md5("text").alias("text_md5"))
+    def clean(part):
+        return cp.dedup_prefix(cp.passing(part, NO_SCORE).drop("score"), ["source_file", "source_row"])
+
+    kept = cp.first_clean(tb.read_corpus(spark, f"{folder}/documents.parquet"), 40, clean)
+    return kept.select("source_row", F.md5("text").alias("text_md5"))
 
 
 @query(
@@ -170,11 +171,11 @@ def sampling_audit(spark, folder):
 
 @query(
     "base_rows",
-    f"""WITH {ins.base_sql(5)}
+    f"""WITH {ins.base_sql()}
     SELECT doc_id, n_raw_tokens, activation_layer, md5(detokenized_text_truncated) AS text_md5 FROM base""",
 )
 def base_rows(spark, folder):
-    return ins.base(spark, folder, 5).select(
+    return ins.base(spark, folder).select(
         "doc_id", "n_raw_tokens", "activation_layer", F.md5("detokenized_text_truncated").alias("text_md5")
     )
 
@@ -251,15 +252,17 @@ def marker_sites(spark, folder):
 
 @query(
     "marker_neighbors",
-    """SELECT doc_id, '<concept>' AS left_token, '</concept>' AS right_token FROM documents""",
+    r"""WITH t AS (SELECT doc_id, regexp_extract_all('first ' || text || ' last', '\S+') AS t FROM documents),
+    p AS (SELECT *, CAST(1 + doc_id % (len(t) - 1) AS BIGINT) AS pos FROM t)
+    SELECT doc_id, t[pos] AS left_token, t[pos + 1] AS right_token FROM p""",
 )
 def marker_neighbors(spark, folder):
-    # The actor template around the marker, followed by the document's own text.
-    head, tail = tx.split_template(fx.ACTOR_TEMPLATE, "{injection_char}")
-    prompt = F.concat(F.lit(head + " ㈀ " + tail + " "), F.col("text"))
-    found = ins.table(spark, folder, "documents").select(
-        "doc_id", tk.marker_neighbors(tk.tokens(prompt), "㈀").alias("m")
-    )
+    # The marker stands somewhere inside the document's own text, by its number.
+    tokens = tk.tokens(F.concat(F.lit("first "), F.col("text"), F.lit(" last")))
+    docs = ins.table(spark, folder, "documents").select("doc_id", tokens.alias("t"))
+    at = (1 + F.pmod("doc_id", F.size("t") - 1)).cast("int")
+    put = F.concat(F.slice("t", F.lit(1), at), F.array(F.lit("㈀")), F.slice("t", at + 1, F.size("t")))
+    found = docs.select("doc_id", tk.marker_neighbors(put, "㈀").alias("m"))
     return found.select("doc_id", F.col("m.left").alias("left_token"), F.col("m.right").alias("right_token"))
 
 
@@ -293,7 +296,7 @@ def loss_mask(spark, folder):
         F.size("mask").cast("bigint").alias("n_tokens"),
         F.aggregate("mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("loss_tokens"),
     )
-    placed = blocked_running_sum(sized, "n_tokens", "turn", ["conv_id"], "upto", 1024)
+    placed = group_running_sum(sized, "n_tokens", "turn", ["conv_id"], "upto")
     return placed.withColumn("first_token", F.col("upto") - F.col("n_tokens")).drop("upto")
 
 
@@ -308,7 +311,7 @@ def packed_last_index(spark, folder):
         F.floor(F.col("doc_id") / 64).cast("bigint").alias("pack"),
         tk.token_count(F.col("text")).cast("bigint").alias("n"),
     )
-    placed = blocked_running_sum(lens, "n", "doc_id", ["pack"], "upto")
+    placed = group_running_sum(lens, "n", "doc_id", ["pack"], "upto")
     return placed.select("doc_id", "pack", (F.col("upto") - 1).alias("last_index"))
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from vectext import fixed_values as fx
 from vectext.functions import text as tx, tokens as tk
+from vectext.functions.keys import keyed_hash
 from vectext.operators import build as bd, explain as ex, report as rp, scoring as sc
 from vectext.operators.explain import EXPLANATION, TEXT
 from vectext.plans import inputs as ins
 from vectext.plans.registry import query
+from vectext.session import cut_lineage
 
 CLEANED = f"WITH {ins.cleaned_sql()}"
 
@@ -60,23 +62,28 @@ def completion_quality(spark, folder):
 # ------------------------------------------------------------------------ cache
 
 
-CACHE = f"""WITH {ins.explained_sql(2)},
-first_source AS (SELECT sha256(detokenized_text_truncated) AS text_key, 'old ' || n_raw_tokens AS cached FROM explained WHERE n_raw_tokens < 300),
-second_source AS (SELECT sha256(detokenized_text_truncated) AS text_key, api_explanation AS cached FROM explained WHERE n_raw_tokens BETWEEN 200 AND 400),
+CACHE = f"""WITH {ins.explained_sql()},
+first_source AS (SELECT sha256(detokenized_text_truncated) AS text_key, 'old ' || n_raw_tokens AS cached FROM explained WHERE substr(sha256('old|' || doc_id || '|' || n_raw_tokens), 1, 1) < '8'),
+second_source AS (SELECT sha256(detokenized_text_truncated) AS text_key, api_explanation AS cached FROM explained WHERE substr(sha256('new|' || doc_id || '|' || n_raw_tokens), 1, 1) < '5'),
 cache AS (SELECT text_key, arg_max(cached, s) AS cached FROM
   (SELECT text_key, max(cached) AS cached, 0 AS s FROM first_source GROUP BY 1 UNION ALL SELECT text_key, max(cached), 1 FROM second_source GROUP BY 1) GROUP BY 1),
 looked AS (SELECT b.doc_id, b.n_raw_tokens, sha256(b.detokenized_text_truncated) AS text_key, c.cached
   FROM explained b LEFT JOIN cache c ON sha256(b.detokenized_text_truncated) = c.text_key)"""
 
 
+def in_share(name, sixteenths):
+    """Whether a row is in a share of all rows, chosen by a hash of its key."""
+    return F.substring(keyed_hash(name, "doc_id", "n_raw_tokens"), 1, 1) < F.lit(f"{sixteenths:x}")
+
+
 def looked_up(spark, folder):
-    """Base rows against two older runs that covered other prefix lengths.
+    """Base rows against two older runs, each of a share of the rows by hash.
 
     The second run wins where both know a text.
     """
-    rows = ins.explained(spark, folder, 2)
-    old = rows.where("n_raw_tokens < 300").withColumn(EXPLANATION, F.concat(F.lit("old "), F.col("n_raw_tokens").cast("string")))
-    new = rows.where("n_raw_tokens between 200 and 400")
+    rows = cut_lineage(ins.explained(spark, folder))
+    old = rows.where(in_share("old", 8)).withColumn(EXPLANATION, F.concat(F.lit("old "), F.col("n_raw_tokens").cast("string")))
+    new = rows.where(in_share("new", 5))
     cache = ex.explanation_cache(old, new, order=EXPLANATION)
     return ex.with_cached(rows.drop(EXPLANATION), cache, ["doc_id", "n_raw_tokens"]), cache
 
@@ -104,14 +111,15 @@ def cache_hit_rate(spark, folder):
 
 @query(
     "reuse_exact_join",
-    f"""WITH {ins.explained_sql(2)}
-    SELECT doc_id, n_raw_tokens, api_explanation FROM explained WHERE n_raw_tokens < 1200""",
+    f"""WITH {ins.explained_sql()}
+    SELECT doc_id, n_raw_tokens, api_explanation FROM explained WHERE substr(sha256('prior|' || doc_id || '|' || n_raw_tokens), 1, 2) < 'f8'""",
 )
 def reuse_exact_join(spark, folder):
-    rows = ins.explained(spark, folder, 2)
-    # The earlier run stopped at shorter prefixes and holds a stale copy of every row.
-    prior = bd.build_av(rows.where("n_raw_tokens < 1200")).withColumn("version", F.lit(2))
-    stale = prior.withColumn("version", F.lit(1)).withColumn("response", F.lit("<explanation>stale</explanation>"))
+    rows = cut_lineage(ins.explained(spark, folder))
+    # The earlier run lacks a thirty-second of the rows and holds a stale copy of each of the others.
+    known = F.substring(keyed_hash("prior", "doc_id", "n_raw_tokens"), 1, 2) < F.lit("f8")
+    prior = bd.build_av(rows.where(known)).withColumn("version", F.lit(2))
+    stale = prior.withColumn("version", F.lit(1)).withColumn("response", F.lit(f"{fx.EXPLANATION_OPEN}stale{fx.EXPLANATION_CLOSE}"))
     known = ex.prior_explanations(prior.unionByName(stale))
     joined = ex.reuse_exact(rows.drop(EXPLANATION), known, ["version"])
     return joined.select("doc_id", "n_raw_tokens", EXPLANATION)
@@ -119,7 +127,7 @@ def reuse_exact_join(spark, folder):
 
 @query(
     "run_overlap",
-    """WITH l AS (SELECT doc_id AS id, sha256(text) AS a FROM documents WHERE length(text) < 5000),
+    """WITH l AS (SELECT doc_id AS id, sha256(text) AS a FROM documents WHERE substr(sha256('left|' || doc_id), 1, 1) < 'c'),
     r AS (SELECT item_id AS id, sha256(text) AS b FROM benchmark UNION ALL SELECT doc_id, sha256(text) FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)),
     j AS (SELECT l.id AS lid, r.id AS rid, a, b FROM l FULL JOIN r USING (id))
     SELECT count(*) FILTER (lid IS NOT NULL AND rid IS NOT NULL) AS shared, count(*) FILTER (lid IS NOT NULL AND rid IS NOT NULL AND a <> b) AS text_differs,
@@ -130,7 +138,7 @@ def run_overlap(spark, folder):
     docs = ins.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     older = ins.table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text")
     right = older.unionByName(docs.join(older, "id", "left_anti"))
-    audit = ex.run_overlap(docs.where(F.length("text") < 5000), right, ["id"], "text")
+    audit = ex.run_overlap(docs.where(F.substring(keyed_hash("left", "id"), 1, 1) < F.lit("c")), right, ["id"], "text")
     return audit.withColumn("overlap_share", F.round("overlap_share", 6))
 
 
@@ -153,11 +161,11 @@ ACTOR = fx.ACTOR_TEMPLATE.replace("{injection_char}", "<INJECT>").replace("'", "
 
 @query(
     "build_av",
-    f"""WITH {ins.explained_sql(2)} SELECT doc_id, n_raw_tokens, activation_layer, md5(detokenized_text_truncated) AS text_md5, 'user' AS role,
-    md5('{ACTOR}') AS prompt_md5, '<explanation>' || chr(10) || api_explanation || chr(10) || '</explanation>' AS response FROM explained""",
+    f"""WITH {ins.explained_sql()} SELECT doc_id, n_raw_tokens, activation_layer, md5(detokenized_text_truncated) AS text_md5, 'user' AS role,
+    md5('{ACTOR}') AS prompt_md5, {ins.WRAPPED} AS response FROM explained""",
 )
 def build_av(spark, folder):
-    built = bd.build_av(ins.explained(spark, folder, 2))
+    built = bd.build_av(ins.explained(spark, folder))
     first = F.get("prompt", F.lit(0))
     return built.select(
         "doc_id", "n_raw_tokens", "activation_layer", F.md5(TEXT).alias("text_md5"),
@@ -167,10 +175,10 @@ def build_av(spark, folder):
 
 @query(
     "build_rl",
-    f"""WITH {ins.base_sql(2)} SELECT doc_id, n_raw_tokens, activation_layer, 'user' AS role, md5('{ACTOR}') AS prompt_md5 FROM base""",
+    f"""WITH {ins.base_sql()} SELECT doc_id, n_raw_tokens, activation_layer, 'user' AS role, md5('{ACTOR}') AS prompt_md5 FROM base""",
 )
 def build_rl(spark, folder):
-    built = bd.build_rl(ins.base(spark, folder, 2), keep_text=False)
+    built = bd.build_rl(ins.base(spark, folder), keep_text=False)
     first = F.get("prompt", F.lit(0))
     return built.select(
         "doc_id", "n_raw_tokens", "activation_layer", first["role"].alias("role"), F.md5(first["content"]).alias("prompt_md5")
@@ -179,22 +187,22 @@ def build_rl(spark, folder):
 
 @query(
     "build_ar",
-    f"""WITH {ins.explained_sql(2)} SELECT doc_id, n_raw_tokens, activation_layer,
-    'Summary of the following text: <text>' || api_explanation || '</text> <summary>' AS prompt FROM explained""",
+    f"""WITH {ins.explained_sql()} SELECT doc_id, n_raw_tokens, activation_layer,
+    {ins.critic_sql("api_explanation")} AS prompt FROM explained""",
 )
 def build_ar(spark, folder):
-    return bd.build_ar(ins.explained(spark, folder, 2), keep_text=False).select(
+    return bd.build_ar(ins.explained(spark, folder), keep_text=False).select(
         "doc_id", "n_raw_tokens", "activation_layer", "prompt"
     )
 
 
 @query(
     "recover_roundtrip",
-    f"""WITH {ins.explained_sql(2)}, both_tables AS (SELECT md5(detokenized_text_truncated) AS text_md5, api_explanation FROM explained)
+    f"""WITH {ins.explained_sql()}, both_tables AS (SELECT md5(detokenized_text_truncated) AS text_md5, api_explanation FROM explained)
     SELECT *, 'av' AS origin FROM both_tables UNION ALL SELECT *, 'ar' AS origin FROM both_tables""",
 )
 def recover_roundtrip(spark, folder):
-    rows = ins.explained(spark, folder, 2)
+    rows = ins.explained(spark, folder)
     av = bd.recover(bd.build_av(rows)).withColumn("origin", F.lit("av"))
     ar = bd.recover(bd.build_ar(rows)).withColumn("origin", F.lit("ar"))
     return av.unionByName(ar).select(F.md5(TEXT).alias("text_md5"), EXPLANATION, "origin")
@@ -202,8 +210,8 @@ def recover_roundtrip(spark, folder):
 
 @query(
     "suffix_check",
-    r"""WITH p AS (SELECT doc_id, regexp_extract_all('Summary of the following text: <text>' || text ||
-      CASE WHEN doc_id % 4 = 0 THEN '</text>' ELSE '</text> <summary>' END, '\S+') AS t FROM documents)
+    rf"""WITH p AS (SELECT doc_id, regexp_extract_all(CASE WHEN doc_id % 4 = 0 THEN '{ins.CRITIC_HEAD}' || text || '</text>'
+      ELSE {ins.critic_sql("text")} END, '\S+') AS t FROM documents)
     SELECT doc_id, len(t) AS n_tokens, t[-1] = '<summary>' AS ends_well FROM p""",
 )
 def suffix_check(spark, folder):
@@ -230,11 +238,11 @@ def prompt_guard(spark, folder):
 
 @query(
     "inject_placeholder",
-    f"""WITH {ins.explained_sql(2)} SELECT doc_id, n_raw_tokens, md5(replace('{ACTOR}', '<INJECT>', '㈀')) AS prompt_md5,
-    '<explanation>' || chr(10) || api_explanation || chr(10) || '</explanation>' AS response FROM explained""",
+    f"""WITH {ins.explained_sql()} SELECT doc_id, n_raw_tokens, md5(replace('{ACTOR}', '<INJECT>', '㈀')) AS prompt_md5,
+    {ins.WRAPPED} AS response FROM explained""",
 )
 def inject_placeholder(spark, folder):
-    view = bd.loader_view(bd.build_av(ins.explained(spark, folder, 2)), "㈀")
+    view = bd.loader_view(bd.build_av(ins.explained(spark, folder)), "㈀")
     return view.select(
         F.col("metadata.doc_id").alias("doc_id"), F.col("metadata.n_raw_tokens").alias("n_raw_tokens"),
         F.md5(F.get("prompt", F.lit(0))["content"]).alias("prompt_md5"), F.col("metadata.response").alias("response"),
@@ -243,12 +251,12 @@ def inject_placeholder(spark, folder):
 
 @query(
     "supervised_rows",
-    rf"""WITH {ins.explained_sql(2)} SELECT doc_id, n_raw_tokens,
+    rf"""WITH {ins.explained_sql()} SELECT doc_id, n_raw_tokens,
       len(regexp_extract_all('{ACTOR}', '\S+')) + len(regexp_extract_all(r, '\S+')) AS n_tokens, len(regexp_extract_all(r, '\S+')) AS response_length
-    FROM (SELECT *, '<explanation>' || chr(10) || api_explanation || chr(10) || '</explanation>' AS r FROM explained)""",
+    FROM (SELECT *, {ins.WRAPPED} AS r FROM explained)""",
 )
 def supervised_rows(spark, folder):
-    rows = bd.supervised_rows(bd.build_av(ins.explained(spark, folder, 2)))
+    rows = bd.supervised_rows(bd.build_av(ins.explained(spark, folder)))
     return rows.select(
         "doc_id", "n_raw_tokens", F.size("loss_mask").cast("bigint").alias("n_tokens"),
         F.col("response_length").cast("bigint").alias("response_length"),

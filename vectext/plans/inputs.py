@@ -7,17 +7,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from vectext import fixed_values as fx
 from vectext.operators import sampling as sp
 from vectext.operators.explain import EXPLANATION, TEXT
-from vectext.sources import tables as tb
+from vectext.operators.lookups import lookup_join
 
 SPECIALS = ["the", "and"]
 WIDTH = 64
 WIDE_TABLES = ("documents", "conversations", "pages", "embeddings")
 LAYER = 20
+CRITIC_HEAD, CRITIC_TAIL = fx.CRITIC_TEMPLATE.split("{explanation}")
+#: The explanation of a row between its tags, in SQL.
+WRAPPED = f"'{fx.EXPLANATION_OPEN}' || chr(10) || api_explanation || chr(10) || '{fx.EXPLANATION_CLOSE}'"
+
+
+def critic_sql(column: str) -> str:
+    """The critic's prompt for a column, in SQL."""
+    return f"'{CRITIC_HEAD}' || {column} || '{CRITIC_TAIL}'"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder, dealt out to ``spark.vectext.inputPartitions`` tasks if that is set.
+
+    Set it where a table is a file of one row group, which one task would read
+    for all; tables of many row groups need no such shuffle.
+    """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return tb.spread(df) if name in WIDE_TABLES else df
+    parts = spark.conf.get("spark.vectext.inputPartitions", None)
+    return df if parts is None or name not in WIDE_TABLES else df.repartition(int(parts))
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,11 +75,11 @@ def positions_sql(k: int, specials: list[str] = SPECIALS, name: str = "sampled")
     return ",\n".join(parts)
 
 
-def base(spark: SparkSession, folder: str, k: int = 2) -> DataFrame:
+def base(spark: SparkSession, folder: str, k: int = fx.POSITIONS_PER_DOC) -> DataFrame:
     return sp.base_rows(tokenised(spark, folder), LAYER, "doc_id", "documents:train:", k, 42, SPECIALS)
 
 
-def base_sql(k: int = 2) -> str:
+def base_sql(k: int = fx.POSITIONS_PER_DOC) -> str:
     return positions_sql(k) + f""",
 base AS (
   SELECT CAST(position + 1 AS BIGINT) AS n_raw_tokens,
@@ -82,11 +96,11 @@ def explanation(text: Column, n: Column) -> Column:
     )
 
 
-def explained(spark: SparkSession, folder: str, k: int = 2) -> DataFrame:
+def explained(spark: SparkSession, folder: str, k: int = fx.POSITIONS_PER_DOC) -> DataFrame:
     return base(spark, folder, k).withColumn(EXPLANATION, explanation(F.col(TEXT), F.col("n_raw_tokens")))
 
 
-def explained_sql(k: int = 2) -> str:
+def explained_sql(k: int = fx.POSITIONS_PER_DOC) -> str:
     return base_sql(k) + """,
 explained AS (
   SELECT *, 'Prefix of ' || n_raw_tokens || ' tokens.' || chr(10) || chr(10) || 'Ends with '
@@ -159,7 +173,8 @@ def with_centroid(spark: SparkSession, folder: str) -> DataFrame:
     cells = rows.select("label", F.posexplode("activation_vector").alias("i", "x"))
     means = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
-    return rows.join(means.groupBy("label").agg(listed.alias("predicted")), "label")
+    # One row per label, each vector meets one of them.
+    return lookup_join(rows, means.groupBy("label").agg(listed.alias("predicted")), "label", ["vec_id"], "inner")
 
 
 CENTROID = """cells AS (
@@ -210,29 +225,30 @@ def generations(spark: SparkSession, folder: str) -> DataFrame:
     return as_generations(table(spark, folder, "documents"))
 
 
-GENERATIONS = """generations AS (
+GENERATIONS = f"""generations AS (
   SELECT doc_id AS index, source, n_chars + 1 AS n_logprobs,
          CASE WHEN doc_id % 5 = 0 THEN text
-              ELSE '<explanation>' || chr(10) || text || chr(10) || '</explanation>' END AS response,
+              ELSE '{fx.EXPLANATION_OPEN}' || chr(10) || text || chr(10) || '{fx.EXPLANATION_CLOSE}' END AS response,
          CASE WHEN doc_id % 9 = 0 THEN 'truncated' ELSE 'completed' END AS status
   FROM documents),
 parsed AS (
-  SELECT *, CASE WHEN regexp_matches(response, '(?s)<explanation>.*?</explanation>') THEN
-      regexp_replace(regexp_extract(response, '(?s)<explanation>(.*?)</explanation>', 1), '^\\s+|\\s+$', '', 'g') END AS explanation
+  SELECT *, CASE WHEN regexp_matches(response, '(?s){fx.EXPLANATION_OPEN}.*?{fx.EXPLANATION_CLOSE}') THEN
+      regexp_replace(regexp_extract(response, '(?s){fx.EXPLANATION_OPEN}(.*?){fx.EXPLANATION_CLOSE}', 1), '^\\s+|\\s+$', '', 'g') END AS explanation
   FROM generations),
 filled AS (
-  SELECT *, regexp_extract_all('Summary of the following text: <text>' || explanation || '</text> <summary>', '\\S+') AS ctoks
+  SELECT *, regexp_extract_all({critic_sql("explanation")}, '\\S+') AS ctoks
   FROM parsed),
 judged AS (
   SELECT *, CASE WHEN explanation IS NULL OR status = 'truncated' OR len(ctoks) > 512 THEN 'failed' ELSE status END AS final_status
   FROM filled)"""
 
 
-def shards(spark: SparkSession, folder: str, rows: int = 128) -> DataFrame:
-    """One manifest per run of ``rows`` documents."""
-    shard = F.floor(F.col("doc_id") / rows).cast("bigint")
+def shards(spark: SparkSession, folder: str, count: int = 16) -> DataFrame:
+    """One manifest for each of ``count`` runs of documents, whatever the size of the table."""
+    docs = table(spark, folder, "documents").select("doc_id")
+    shard = F.floor(F.col("doc_id") / F.ceil(docs.agg(F.count("*")).scalar() / F.lit(count))).cast("bigint")
     return (
-        table(spark, folder, "documents")
+        docs
         .groupBy(shard.alias("shard"))
         .agg(F.min("doc_id").alias("start"), F.count("*").alias("length"), F.count("*").alias("row_count"))
         .select(
@@ -249,5 +265,5 @@ def shards(spark: SparkSession, folder: str, rows: int = 128) -> DataFrame:
 
 
 SHARDS = """shards AS (
-  SELECT 'shard_' || (doc_id // 128) AS dataset_id, min(doc_id) AS start, count(*) AS length, count(*) AS row_count
-  FROM documents GROUP BY doc_id // 128)"""
+  SELECT 'shard_' || (doc_id // per) AS dataset_id, min(doc_id) AS start, count(*) AS length, count(*) AS row_count
+  FROM documents, (SELECT CAST(ceil(count(*) / 16.0) AS BIGINT) AS per FROM documents) GROUP BY doc_id // per)"""

@@ -13,14 +13,18 @@ from vectext.streaming import streams as st
 
 @query(
     "stream_dedup",
-    r"SELECT DISTINCT sha256(lower(regexp_replace(substr(text, 1, 500), '\s+', ' ', 'g'))) AS prefix FROM documents",
+    r"""SELECT doc_id, sha256(text) AS text_sha256 FROM (SELECT *, row_number() OVER (
+      PARTITION BY lower(regexp_replace(substr(text, 1, 500), '\s+', ' ', 'g')) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
 )
 def stream_dedup(spark, folder):
-    schema = ins.table(spark, folder, "documents").schema
-    arriving = st.read_files(spark, folder, schema, "documents.parquet").select("text")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    # Several files, written in reverse, so that winners arrive late and in other batches.
+    files = new_shared_path(spark, "arriving")
+    docs.repartitionByRange(4, F.col("doc_id").desc()).write.parquet(files)
+    arriving = st.read_files(spark, files, docs.schema, files_per_batch=1)
     path, checkpoint = new_shared_path(spark, "dedup"), new_shared_path(spark, "dedup-state")
-    st.resume_into(st.dedup_prefixes(arriving).select("prefix"), path, checkpoint).awaitTermination()
-    return spark.read.parquet(path)
+    st.dedup_batches(arriving, path, checkpoint, ["doc_id"]).awaitTermination()
+    return st.deduped(spark, path, ["doc_id"]).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(

@@ -37,13 +37,16 @@ def filter_corpus(
     text: str = "content",
     score: str = "score",
     rules: QualityRules = QualityRules(),
+    chars: int | None = fx.PREFIX_CHARS,
 ) -> None:
     """Clean rows of the inputs, one per opening text, the first ``length`` in scan order."""
     order = ["source_file", "source_row"]
     rows = tb.read_corpus(spark, inputs, text, score)
-    kept = cp.clean_corpus(rows, order, rules, text, score)
-    if length is not None:
-        kept = cp.first_n(kept, length)
+
+    def clean(part: DataFrame) -> DataFrame:
+        return cp.clean_corpus(part, order, rules, text, score, chars)
+
+    kept = clean(rows) if length is None else cp.first_clean(rows, length, clean)
     if score not in kept.columns:
         kept = kept.withColumn(score, F.lit(None).cast("string"))
     tb.write_table(kept.select(text, score, *order), output)

@@ -9,6 +9,7 @@ from vectext.functions import keys as ky
 from vectext.operators import index as ix, layout as ly, manifests as mf, splits as sl
 from vectext.plans import inputs as ins
 from vectext.plans.registry import query
+from vectext.session import cut_lineage
 from vectext.sources import manifest as ms, tables as tb
 
 # ----------------------------------------------------------------------- splits
@@ -21,23 +22,23 @@ assigned AS (SELECT doc_id, CASE
 
 
 def split_base(spark, folder):
-    base = ins.base(spark, folder, 5).select("doc_id", "n_raw_tokens")
+    base = ins.base(spark, folder).select("doc_id", "n_raw_tokens")
     return sl.split_documents(base)
 
 
-@query("split_docs", f"WITH {ins.base_sql(5)}, {SPLIT} SELECT doc_id, split FROM assigned")
+@query("split_docs", f"WITH {ins.base_sql()}, {SPLIT} SELECT doc_id, split FROM assigned")
 def split_docs(spark, folder):
     return split_base(spark, folder).select("doc_id", "split").distinct().orderBy("doc_id")
 
 
-@query("split_rows", f"WITH {ins.base_sql(5)}, {SPLIT} SELECT doc_id, n_raw_tokens, split FROM base JOIN assigned USING (doc_id)")
+@query("split_rows", f"WITH {ins.base_sql()}, {SPLIT} SELECT doc_id, n_raw_tokens, split FROM base JOIN assigned USING (doc_id)")
 def split_rows(spark, folder):
     return split_base(spark, folder)
 
 
 @query(
     "split_counts",
-    f"""WITH {ins.base_sql(5)}, {SPLIT} SELECT split, count(DISTINCT doc_id) AS documents, count(*) AS rows
+    f"""WITH {ins.base_sql()}, {SPLIT} SELECT split, count(DISTINCT doc_id) AS documents, count(*) AS rows
     FROM base JOIN assigned USING (doc_id) GROUP BY split""",
 )
 def split_counts(spark, folder):
@@ -46,13 +47,34 @@ def split_counts(spark, folder):
 
 @query(
     "split_leak",
-    # A row-level split leaks: documents whose rows fall on both sides of a line.
-    f"""WITH {ins.base_sql(5)}, halves AS (SELECT doc_id, CASE WHEN n_raw_tokens < 300 THEN 'a' ELSE 'b' END AS split FROM base)
-    SELECT doc_id, count(DISTINCT split) AS splits FROM halves GROUP BY doc_id HAVING count(DISTINCT split) > 1""",
+    # By document nothing leaks; by row, documents do whose rows fall on both sides of a line.
+    f"""WITH {ins.base_sql()}, {SPLIT}, ruled AS (
+      SELECT 'document' AS rule, doc_id, split FROM base JOIN assigned USING (doc_id)
+      UNION ALL SELECT 'row', doc_id, CASE WHEN n_raw_tokens < 300 THEN 'a' ELSE 'b' END FROM base)
+    SELECT doc_id, count(DISTINCT split) AS splits, rule FROM ruled GROUP BY rule, doc_id HAVING count(DISTINCT split) > 1""",
 )
 def split_leak(spark, folder):
-    base = ins.base(spark, folder, 5).select("doc_id", "n_raw_tokens")
-    return sl.split_leak(base.withColumn("split", F.when(F.col("n_raw_tokens") < 300, "a").otherwise("b")))
+    base = cut_lineage(ins.base(spark, folder).select("doc_id", "n_raw_tokens"))
+    by_row = base.withColumn("split", F.when(F.col("n_raw_tokens") < 300, "a").otherwise("b"))
+    leaks = sl.split_leak(sl.split_documents(base)).withColumn("rule", F.lit("document"))
+    return leaks.unionByName(sl.split_leak(by_row).withColumn("rule", F.lit("row")))
+
+
+@query(
+    "permute_repeated_keys",
+    """WITH a AS (SELECT count(*) AS rows, count(DISTINCT embedding[1]) AS cells, sum(label) AS labels FROM embeddings)
+    SELECT rows, CAST(cells AS BIGINT) AS cells, CAST(labels AS BIGINT) AS labels, true AS moved FROM a""",
+)
+def permute_repeated_keys(spark, folder):
+    # All rows of a label share one key: every row stays, every vector is used once.
+    rows = ins.table(spark, folder, "embeddings")
+    before = rows.select("vec_id", F.get("embedding", F.lit(0)).alias("old"))
+    moved = ly.permute_column(rows, "label", "embedding", 42, "base").join(before, "vec_id")
+    cell = F.get("embedding", F.lit(0))
+    return moved.agg(
+        F.count("*").alias("rows"), F.count_distinct(cell).alias("cells"), F.sum("label").alias("labels"),
+        (F.count_if(cell != F.col("old")) > F.count("*") / 2).alias("moved"),
+    )
 
 
 # -------------------------------------------------------------- index and order
@@ -83,7 +105,7 @@ def scan_index(spark, folder):
 )
 def chunk_ids(spark, folder):
     events = ins.table(spark, folder, "events").select("user_id", "event_id")
-    ranked = ix.blocked_rank(events, "event_id", ["user_id"], "r", 4096)
+    ranked = ix.group_rank(events, "event_id", ["user_id"], "r")
     chunk = ix.chunk_id("r", 64)
     return ranked.select("user_id", "event_id", chunk.alias("chunk"), (F.col("r") - chunk * 64).alias("row_in_chunk"))
 
@@ -99,11 +121,12 @@ def shuffle_rows(spark, folder):
 
 @query(
     "shuffle_table",
-    "SELECT doc_id, length(text) AS n_chars FROM documents ORDER BY sha256('42|documents|' || doc_id)",
+    "SELECT doc_id, length(text) AS n_chars, row_number() OVER (ORDER BY sha256('42|documents|' || doc_id)) - 1 AS place FROM documents",
 )
 def shuffle_table(spark, folder):
     docs = ins.table(spark, folder, "documents").select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
-    return ly.shuffle_rows(docs, "doc_id", 42, "documents")
+    # The place is where the row lies in the shuffled table.
+    return ix.numbered(ix.written_in_place(ly.shuffle_rows(docs, "doc_id", 42, "documents")), "place")
 
 
 @query(
@@ -173,7 +196,7 @@ def shard_plan(spark, folder):
 @query("head_rows", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 25")
 def head_rows(spark, folder):
     events = ins.table(spark, folder, "events").select("event_id", "value")
-    return events.orderBy(F.col("value").desc(), "event_id").limit(25)
+    return ly.head_rows(events, 25, F.col("value").desc(), F.col("event_id"))
 
 
 # -------------------------------------------------------------------- manifests

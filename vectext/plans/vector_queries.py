@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from vectext import fixed_values as fx
 from vectext.functions import text as tx, vectors as vx
-from vectext.functions.keys import source_label
+from vectext.functions.keys import keyed_hash, source_label
 from vectext.operators import report as rp, scoring as sc
 from vectext.plans import inputs as ins
 from vectext.plans.registry import query
+from vectext.session import cut_lineage
+from vectext.sources import tables as tb
 
 SQRT_D = math.sqrt(ins.WIDTH)
 
@@ -107,11 +109,11 @@ def reward_scores(spark, folder):
 
 @query(
     "reward_scatter",
-    f"WITH {ins.CENTROID} SELECT e.vec_id AS index, coalesce(round(-s.mse, 6), -2.0::DOUBLE) AS reward FROM embeddings e LEFT JOIN (SELECT * FROM scored WHERE label < 7) s USING (vec_id)",
+    f"WITH {ins.CENTROID} SELECT e.vec_id AS index, coalesce(round(-s.mse, 6), -2.0::DOUBLE) AS reward FROM embeddings e LEFT JOIN (SELECT * FROM scored WHERE substr(sha256('scored|' || vec_id), 1, 1) < 'b') s USING (vec_id)",
 )
 def reward_scatter(spark, folder):
     samples = ins.vectors(spark, folder).select(F.col("vec_id").alias("index"))
-    parsed = ins.with_centroid(spark, folder).where("label < 7").withColumn("final_status", F.lit("completed"))
+    parsed = ins.with_centroid(spark, folder).where(F.substring(keyed_hash("scored", "vec_id"), 1, 1) < F.lit("b")).withColumn("final_status", F.lit("completed"))
     scored = sc.reward_rows(parsed, SQRT_D).select(F.col("vec_id").alias("index"), "reward")
     return sc.scatter_rewards(samples, scored).withColumn("reward", F.round("reward", 6))
 
@@ -173,36 +175,50 @@ def loss_metrics(spark, folder):
     "linear_head",
     """WITH cells AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
     w AS (SELECT label AS out, i, avg(x) AS w FROM cells GROUP BY ALL),
-    y AS (SELECT vec_id, out, sum(w * x) AS y FROM cells JOIN w USING (i) GROUP BY ALL),
-    outs AS (SELECT DISTINCT out, row_number() OVER (ORDER BY out) - 1 AS pos FROM (SELECT DISTINCT out FROM w))
-    SELECT vec_id, CAST(pos AS INTEGER) AS out, round(y, 6) AS y FROM y JOIN outs USING (out)""",
+    y AS (SELECT vec_id, out, sum(w * x) AS y FROM cells JOIN w USING (i) GROUP BY ALL)
+    SELECT vec_id, out, round(y, 6) AS y FROM y""",
 )
 def linear_head(spark, folder):
     rows = ins.vectors(spark, folder)
-    # One weight row per label: its mean vector. The matrix is labels x width.
-    cells = rows.select("label", F.posexplode("activation_vector").alias("i", "x"))
-    means = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
-    weights = means.groupBy("label").agg(listed.alias("w")).orderBy("label")
-    matrix = [r["w"] for r in weights.collect()]
-    out = sc.linear_head(rows.select("vec_id", F.col("activation_vector").alias("vector")), matrix)
-    return out.select("vec_id", F.posexplode("projected").alias("out", "y")).withColumn("y", F.round("y", 6))
+    # One row of weights per label: its mean vector.
+    cells = rows.select("label", F.posexplode("activation_vector").alias("in", "x"))
+    matrix = cells.groupBy(F.col("label").alias("out"), "in").agg(F.avg(F.col("x").cast("double")).alias("w"))
+    return sc.linear_head(rows, matrix, ["vec_id"], "activation_vector").withColumn("y", F.round("y", 6))
 
 
 @query(
     "score_agreement",
-    f"""WITH {ins.CENTROID} SELECT count(*) AS rows, 0.0::DOUBLE AS max_deviation, 1.0::DOUBLE AS prediction_scale, true AS paths_agree, true AS head_trained FROM scored""",
+    # The same scores by two paths; shifted, one path is off on a share of the rows; raw, predictions keep their own size.
+    f"""WITH {ins.CENTROID}, cases AS (
+      SELECT c AS case_name, mse AS l, CASE WHEN c = 'shifted' AND vec_id % 5 = 0 THEN mse * 1.25 ELSE mse END AS r,
+        CASE WHEN c = 'raw' THEN sqrt(pp) ELSE 8.0 END AS size
+      FROM scored, (VALUES ('same'), ('shifted'), ('raw')) t(c)),
+    s AS (SELECT case_name, count(*) AS rows, max(abs(l / r - 1)) AS dev, avg(size) / 8 AS scale FROM cases GROUP BY case_name)
+    SELECT case_name, rows, round(dev, 6) AS max_deviation, round(scale, 6) AS prediction_scale,
+      dev < {fx.SCORE_AGREEMENT_TOLERANCE} AS paths_agree, scale >= {fx.UNTRAINED_HEAD_SCALE} AS head_trained FROM s""",
 )
 def score_agreement(spark, folder):
     rows = ins.with_centroid(spark, folder)
     pred, gold = F.col("predicted"), F.col("activation_vector")
-    rewards = rows.select("vec_id", vx.scaled_mse(pred, gold, SQRT_D).alias("reward_mse"))
-    scaled = rows.select("vec_id", vx.normalize(pred, SQRT_D).alias("p"), vx.normalize(gold, SQRT_D).alias("g"))
+    scaled = rows.select(
+        "vec_id", vx.scaled_mse(pred, gold, SQRT_D).alias("reward_mse"), vx.norm(pred).alias("raw_norm"),
+        vx.normalize(pred, SQRT_D).alias("p"), vx.normalize(gold, SQRT_D).alias("g"),
+    )
     squares = F.aggregate(F.zip_with("p", "g", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    training = scaled.select("vec_id", (squares / F.size("g")).alias("train_mse"), vx.norm(F.col("p")).alias("pred_norm"))
-    both = rewards.join(training, "vec_id")
-    agreed = sc.score_agreement(both, "reward_mse", "train_mse", "pred_norm", ins.WIDTH, fx.SCORE_AGREEMENT_TOLERANCE)
-    return agreed.withColumn("max_deviation", F.round("max_deviation", 6)).withColumn(
+    both = cut_lineage(scaled.select(
+        "vec_id", "reward_mse", "raw_norm", (squares / F.size("g")).alias("train_mse"), vx.norm(F.col("p")).alias("pred_norm")
+    ))
+    shift = F.when(F.pmod("vec_id", F.lit(5)) == 0, 1.25).otherwise(1.0)
+    cases = {
+        "same": both, "shifted": both.withColumn("train_mse", F.col("train_mse") * shift),
+        "raw": both.withColumn("pred_norm", F.col("raw_norm")),
+    }
+    agreed = [
+        sc.score_agreement(df, "reward_mse", "train_mse", "pred_norm", ins.WIDTH, fx.SCORE_AGREEMENT_TOLERANCE)
+        .withColumn("case_name", F.lit(name))
+        for name, df in cases.items()
+    ]
+    return tb.union_shards(*agreed).withColumn("max_deviation", F.round("max_deviation", 6)).withColumn(
         "prediction_scale", F.round("prediction_scale", 6)
     )
 

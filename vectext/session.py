@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,23 +26,28 @@ def get_session(master: str = "local[*]", app: str = "vectext", **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session without the setting gets a folder of its own; on a
-    cluster a missing setting is an error, since a machine-local folder is lost
-    with its machine.
-    """
+    """Folder every executor can reach, as named by ``spark.checkpoint.dir``; unset is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="vectext-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def use_own_folder(spark: SparkSession) -> None:
+    """Give a one-machine session without ``spark.checkpoint.dir`` a folder: for tests, benchmarks and the driver.
+
+    On a cluster nothing is set, since a machine-local folder is lost with its
+    machine.
+    """
+    context = spark.sparkContext
+    unset = context.getCheckpointDir() is None and spark.conf.get("spark.checkpoint.dir", None) is None
+    if unset and re.match(r"local(\[|$)", context.master):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="vectext-"))
+
+
 def new_shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -64,6 +64,7 @@ def problem() -> Column:
     return (
         F.when(~F.col("stage").isin(["base", *fx.TRAINING_STAGES]), "unknown_stage")
         .when(training & F.col("tokens").isNull(), "no_tokens")
+        .when(training & F.col("tokens.injection_token_id").isNull(), "no_marker_id")
         .when(training & ~template("actor"), "no_actor_template")
         .when(critic & F.col("tokens.critic_suffix_ids").isNull(), "no_critic_suffix")
         .when(critic & ~template("critic"), "no_critic_template")

@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vectext import fixed_values as fx
-from vectext.operators.index import scan_index
+from vectext.operators.index import scan_slice
+
+
+#: Splits that an error names.
+NAMED_SPLITS = 20
 
 
 def read_corpus(
@@ -32,16 +36,6 @@ def read_corpus(
     return df.select(*columns, *lineage())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan with fewer splits than cores, dealt out to all cores.
-
-    A parquet file with one row group is read by one task. Tables of cluster
-    size have more splits than cores and are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def lineage() -> tuple[Column, Column]:
     """Source file and row number in that file, as the parquet reader knows them."""
     return (
@@ -55,15 +49,15 @@ def ingest_slice(
 ) -> DataFrame:
     """Rows ``[start, start + length)`` of one split of an outside dataset.
 
-    A split or text column that is not there is an error that names what is.
+    Rows are numbered among those of the split, in scan order, so files may mix
+    splits. A split or text column that is not there is an error.
     """
-    df = spark.read.parquet(path)
-    require_columns(df, [text, split_column])
-    found = sorted(str(r[0]) for r in df.select(split_column).distinct().collect())
-    if split not in found:
-        raise ValueError(f"split {split!r} not found; available: {', '.join(found)}")
+    df = require_columns(spark.read.parquet(path), [text, split_column])
     rows = df.where(F.col(split_column) == split).select(text, *lineage())
-    return read_slice(scan_index(rows), start, length).select(text, "row_index")
+    if rows.isEmpty():
+        known = [str(r[0]) for r in df.select(split_column).distinct().limit(NAMED_SPLITS).collect()]
+        raise ValueError(f"split {split!r} not found; available, among others: {', '.join(sorted(known))}")
+    return scan_slice(rows, start, length).select(text, "row_index")
 
 
 def read_slice(df: DataFrame, start: int, length: int, index: str = "row_index") -> DataFrame:

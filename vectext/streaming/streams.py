@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
+from vectext import fixed_values as fx
 from vectext.functions import text as tx
 from vectext.functions.keys import text_key
-
-DEDUP_SHARES = 64
+from vectext.operators.lookups import first_per_key
 
 
 def read_files(spark: SparkSession, folder: str, schema, name: str | None = None, files_per_batch: int = 64) -> DataFrame:
@@ -36,26 +37,49 @@ def resume_into(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     )
 
 
-def dedup_prefixes(
-    stream: DataFrame, text: str = "text", time: str | None = None, delay: str = "1 day"
-) -> DataFrame:
-    """One row per opening text over the whole stream.
-
-    Copies go in two steps: first among the rows of a few input partitions,
-    which many tasks share, then over all, so that an opening on much of the
-    stream does not meet in one task. State grows with the number of distinct
-    openings; with a time column it is bounded to repeats within ``delay``.
+def dedup_batches(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    order: Sequence[str],
+    text: str = "text",
+    chars: int | None = fx.PREFIX_CHARS,
+    time: str | None = None,
+    delay_seconds: int = 86_400,
+) -> StreamingQuery:
+    """Keep the first row in ``order`` per opening text over all batches, all columns.
+
+    A batch folder gets the batch's first rows, but for openings of which an
+    earlier batch holds a row before them; a row that comes before one already
+    kept is added, and :func:`deduped` then picks it. So the result depends on
+    the rows alone, not on arrival, and equals the batch operator's. Earlier
+    batches are looked up by key and order columns only. With a ``time`` column
+    only rows of the last ``delay_seconds`` before the batch's earliest are
+    looked up, which bounds the table that a batch reads.
     """
-    share = F.pmod(F.spark_partition_id(), F.lit(DEDUP_SHARES))
-    keyed = stream.withColumn("prefix", text_key(tx.prefix_key(F.col(text)))).withColumn("_share", share)
-    if time is None:
-        return keyed.dropDuplicates(["prefix", "_share"]).dropDuplicates(["prefix"]).drop("_share")
-    timed = keyed.withWatermark(time, delay)
-    return (
-        timed.dropDuplicatesWithinWatermark(["prefix", "_share"])
-        .dropDuplicatesWithinWatermark(["prefix"])
-        .drop("_share")
-    )
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        keyed = batch.withColumn("prefix", text_key(tx.prefix_key(F.col(text), chars)))
+        first = first_per_key(keyed, ["prefix"], order).select(*keyed.columns)
+        if number:
+            kept = spark.read.schema(StructType([*first.schema.fields, StructField("batch", LongType())])).parquet(path).where(F.col("batch") < number)
+            if time is not None:
+                since = first.agg(F.min(time)).first()[0]
+                kept = kept.where(F.col(time) >= F.lit(since) - F.make_dt_interval(secs=F.lit(delay_seconds)))
+            known = kept.groupBy("prefix").agg(F.min(F.struct(*order)).alias("_known"))
+            first = first.join(known, "prefix", "left").where(
+                F.col("_known").isNull() | (F.struct(*order) < F.col("_known"))
+            ).drop("_known")
+        first.write.mode("overwrite").parquet(batch_path(path, number))
+
+    return each_batch(stream, run, checkpoint)
+
+
+def deduped(spark: SparkSession, path: str, order: Sequence[str]) -> DataFrame:
+    """The rows that :func:`dedup_batches` has kept so far, one per opening text."""
+    rows = spark.read.parquet(path).drop("batch")
+    return first_per_key(rows, ["prefix"], order).select(*rows.columns)
 
 
 def each_batch(
