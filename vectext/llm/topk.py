@@ -180,7 +180,9 @@ def top_k(
 
     columns = ["place", "v", "norm", "bound", "block", "bucket"]
     names = ["id", "v", "norm", "place", "bucket", "block"]
-    first = queries.withColumn("bound", F.lit(float("nan"))).withColumn("bucket", F.lit(0)).select(*columns)
+    # The first bucket's number is not a literal here, lest the planner turn the join by it into a cross join.
+    opened = F.least("bucket", F.lit(0))
+    first = queries.withColumn("bound", F.lit(float("nan"))).withColumn("bucket", opened).select(*columns)
     opening = cut_lineage(meet(first, vectors.where("bucket = 0")))
     bounds = ranked(opening, k).groupBy("query_place").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     bounds = bounds.where(F.col("n") == k).select(F.col("query_place").alias("place"), F.col("least").cast("double").alias("bound"))
