@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from vectext.__main__ import read_config
+from vectext.__main__ import main, parse, read_config
 from vectext.functions.text import QualityRules
 from vectext.operators import build as bd
 from vectext.plans import jobs, table_jobs as tj
@@ -105,3 +105,24 @@ def test_read_config(spark, tmp_path):
     path = tmp_path / "job.json"
     path.write_text(json.dumps({"a": {"b": 1}}, indent=1))
     assert read_config(spark, str(path)) == {"a": {"b": 1}}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    raw = f"{tmp_path}/raw"
+    write_base(spark, raw, 0, 30)
+    main(["shuffle", "--input", raw, "--output", f"{tmp_path}/shuf", "--seed", "3"])
+    assert note(spark, f"{tmp_path}/shuf")["dataset_id"].endswith("__shuf3")
+    main(["permute", "--input", raw, "--output", f"{tmp_path}/perm"])
+    main(["check", "--input", raw, "--output", f"{tmp_path}/checked"])
+    explained = spark.read.parquet(raw).withColumn("api_explanation", F.lit("one\n\ntwo"))
+    tb.write_table(bd.build_av(explained), f"{tmp_path}/prior")
+    main(["reuse", "--input", raw, "--prior", f"{tmp_path}/prior", "--output", f"{tmp_path}/reused", "--min-share", "1"])
+    main(["recover", "--inputs", f"{tmp_path}/prior", "--output", f"{tmp_path}/cache"])
+    write_base(spark, f"{tmp_path}/more", 30, 5)
+    main(["merge", "--inputs", raw, f"{tmp_path}/more", "--output", f"{tmp_path}/all"])
+    assert [spark.read.parquet(f"{tmp_path}/{p}").count() for p in ("perm", "checked", "reused", "cache/prior_explained", "all")] == [30, 30, 30, 30, 35]
+    assert f"{tmp_path}/all" in capsys.readouterr().out
+    spark.createDataFrame([("word " * 400, "1.0")], "content string, score string").write.parquet(f"{tmp_path}/corpus")
+    main(["filter", "--inputs", f"{tmp_path}/corpus", "--output", f"{tmp_path}/clean", "--chars", "0"])
+    assert spark.read.parquet(f"{tmp_path}/clean").count() == 1
+    assert parse(["--config", "a.json"]).config == "a.json" and parse(["job", "--config", "b"]).config == "b"

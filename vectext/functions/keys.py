@@ -117,6 +117,23 @@ def drop_keys(values: Column, names: Sequence[str]) -> Column:
     return F.map_filter(values, lambda k, v: ~k.isin(list(names)))
 
 
+def released(values: Column, base: str, corpus: str) -> Column:
+    """Entries of a manifest as they are published.
+
+    The role's value and the names of entries take their public form, base and
+    parents name the public model, training data the public corpus, and entries
+    of the run itself are dropped.
+    """
+    roles = F.create_map(*[F.lit(x) for pair in fx.RELEASED_ROLES.items() for x in pair])
+    role = F.try_element_at(values, F.lit("role"))
+    public = F.create_map(
+        F.lit("role"), F.coalesce(F.try_element_at(roles, role), role), F.lit("base_checkpoint"), F.lit(base),
+        F.lit("parent_checkpoints"), F.lit(base), F.lit("trained_on"), F.lit(corpus),
+    )
+    rest = drop_keys(values, [*fx.RELEASED_DROPS, "role", "base_checkpoint", "parent_checkpoints", "trained_on"])
+    return F.map_concat(rename_keys(rest, fx.RELEASED_ROLES), F.map_filter(public, lambda k, v: v.isNotNull()))
+
+
 def has_forbidden(text: Column, patterns: Sequence[str]) -> Column:
     low = F.lower(text)
     hit = F.lit(False)

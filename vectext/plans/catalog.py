@@ -3,6 +3,7 @@
 from vectext.plans import (  # noqa: F401
     corpus_queries,
     explain_queries,
+    job_queries,
     stream_queries,
     table_queries,
     vector_queries,
