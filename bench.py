@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from vectext.session import get_session, use_own_folder  # noqa: E402
+from vectext.session import drop_cuts, get_session, use_own_folder  # noqa: E402
 
 HEADLINE = [
     "corpus_clean", "prefix_dedup", "reject_reasons", "first_n_clean",
@@ -49,6 +49,7 @@ def main() -> None:
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - start, 3)
+            drop_cuts(spark)
     print(json.dumps({
         "metric": "headline_queries_warm_total", "value": round(sum(warm.values()), 3), "unit": "sec",
         "queries": warm, "cold": cold, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "cpus": int(cpus),

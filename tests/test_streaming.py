@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vectext.session import cut_lineage, new_shared_path, shared_folder
+from vectext.session import CUTS, cut_lineage, drop_cuts, new_shared_path, shared_folder
 from vectext.streaming import streams as st
 
 
@@ -94,3 +94,13 @@ def test_cut_runs_the_plan_once(spark):
 
     cut = cut_lineage(spark.range(50).withColumn("r", F.rand()).mapInPandas(count, "id bigint, r double"))
     assert sorted(cut.collect()) == sorted(cut.collect()) and runs.value == 50
+
+
+def test_cuts_can_be_dropped(spark):
+    kept, before = cut_lineage(spark.range(5)), len(CUTS)
+    cut_lineage(spark.range(5))
+    gone = CUTS[-1]
+    drop_cuts(spark, before)
+    assert len(CUTS) == before and kept.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(gone)

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that this driver's ``cut_lineage`` has written and not dropped.
+CUTS: list[str] = []
+
+
 def get_session(master: str = "local[*]", app: str = "vectext", **conf: str) -> SparkSession:
     """A session for tests and benchmarks. On a cluster, pass your own session."""
     builder = (
@@ -61,5 +65,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_shared_path(spark, "cut")
+    CUTS.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that ``cut_lineage`` has written, from the given one on.
+
+    Call it once the results that read them are written themselves.
+    """
+    for path in CUTS[since:]:
+        table = spark._jvm.org.apache.hadoop.fs.Path(path)
+        table.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table, True)
+    del CUTS[since:]
