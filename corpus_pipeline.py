@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vectext.llm import exact_dedup, mixing, packing, quality, queries, simhash
 from vectext.llm.streams import free_name
-from vectext.session import new_shared_path, use_own_folder
+from vectext.session import CUTS, drop_cuts, new_shared_path, use_own_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -76,8 +76,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_own_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, run_stage in STAGES:
-        path = new_shared_path(spark, f"stage-{name}")
+        path, cuts = new_shared_path(spark, f"stage-{name}"), len(CUTS)
         result = run_stage(spark, docs, sf_dir)
         result.write.parquet(path)
+        drop_cuts(spark, cuts)
         docs = spark.read.schema(result.schema).parquet(path)
     return docs
