@@ -101,6 +101,8 @@ def test_slice_reads_few_files(spark, tmp_path):
     assert [r["text"] for r in got.orderBy("row_index").collect()] == order[250:350]
     assert got.select("source_file").distinct().count() == 2
     assert ix.scan_slice(df, 0, 0).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "ShuffledHashJoin" not in plan and "SortMergeJoin" not in plan
     with pytest.raises(ValueError, match="40 found"):
         ix.scan_slice(df, 960, 100)
 

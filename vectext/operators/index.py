@@ -145,17 +145,19 @@ def scan_index(df: DataFrame, file: str = "source_file", row: str = "source_row"
 
 
 def scan_blocks(df: DataFrame, file: str = "source_file", row: str = "source_row") -> DataFrame:
-    """``file, _block, _rows, _before`` of every run of ``BLOCK_ROWS`` rows of a file.
+    """``file, _block, _rows, _before, _whole`` of every run of ``BLOCK_ROWS`` rows of a file.
 
-    Counts whatever rows ``df`` has left, so filtered scans are numbered by what they keep.
+    Counts whatever rows ``df`` has left, so filtered scans are numbered by what
+    they keep; ``_whole`` says that no row is missing before the block's last.
     """
     block = F.floor(F.col(row) / BLOCK_ROWS).cast("bigint").alias("_block")
-    counts = df.groupBy(file, block).agg(F.count("*").alias("_rows"))
+    counts = df.groupBy(file, block).agg(F.count("*").alias("_rows"), F.max(row).alias("_last"))
     files = counts.groupBy(file).agg(F.sum("_rows").alias("_rows"))
     starts = block_offsets(files, [], file, "_rows").withColumnRenamed("_before", "_start")
     inside = block_offsets(counts, [file], "_block", "_rows")
     return counts.join(inside, [file, "_block"]).join(starts, file).select(
-        file, "_block", "_rows", (F.col("_start") + F.col("_before")).alias("_before")
+        file, "_block", "_rows", (F.col("_start") + F.col("_before")).alias("_before"),
+        (F.col("_last") - F.col("_block") * BLOCK_ROWS + 1 == F.col("_rows")).alias("_whole"),
     )
 
 
@@ -166,7 +168,8 @@ def scan_slice(
 
     Counting reads no column but those of the filter. The blocks that hold the
     slice, a list no longer than the slice asks for, name the files to read;
-    the scan skips all others.
+    the scan skips all others. Rows of whole blocks have their number from the
+    file; only where rows are missing are they ranked inside their block.
     """
     end = start + length
     blocks = scan_blocks(df.select(file, row), file, row)
@@ -181,7 +184,10 @@ def scan_slice(
     )
     part = df.where(F.col(file).isin(files)) if files else df.where(F.lit(False))
     part = part.withColumn("_block", F.floor(F.col(row) / BLOCK_ROWS).cast("bigint"))
-    inside = F.row_number().over(Window.partitionBy(file, "_block").orderBy(row)) - 1
+    if all(r["_whole"] for r in held):
+        inside = F.col(row) - F.col("_block") * BLOCK_ROWS
+    else:
+        inside = F.row_number().over(Window.partitionBy(file, "_block").orderBy(row)) - 1
     ranked = part.join(F.broadcast(offsets), [file, "_block"]).withColumn(out, (F.col("_before") + inside).cast("bigint"))
     return ranked.where(F.col(out).between(start, end - 1)).select(*df.columns, out)
 
