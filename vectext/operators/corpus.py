@@ -58,7 +58,11 @@ def first_n(
     a file; the block the cut falls in is the only one that is sorted, and the
     result is a plain filter on file and row.
     """
-    df = cut_lineage(df)
+    return first_written(cut_lineage(df), n, file, row, strict)
+
+
+def first_written(df: DataFrame, n: int, file: str, row: str, strict: bool) -> DataFrame:
+    """As :func:`first_n`, for rows that are written already."""
     blocks = scan_blocks(df.select(file, row), file, row)
     before = F.col("_before")
     edge = blocks.where((before < n) & (before + F.col("_rows") >= n)).first()
@@ -100,7 +104,7 @@ def first_clean(
             return first_n(clean(df), n, file, row, strict)
         kept = cut_lineage(clean(df.where(F.col(file).isin(files))))
         if kept.count() >= n:
-            return first_n(kept, n, file, row, strict)
+            return first_written(kept, n, file, row, strict)
         want = 2 * rows
 
 
