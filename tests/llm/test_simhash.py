@@ -127,7 +127,14 @@ def test_empty_table(spark):
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
-def test_long_chain(spark):
-    edges = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
-    got = components.connected(edges)
+@pytest.mark.parametrize("share", [200_000, 20])
+def test_long_chain(spark, monkeypatch, share):
+    """All links in one task, and in many, of which each sees a part of the chain."""
+    monkeypatch.setattr(components, "SHARE_LINKS", share)
+    edges = spark.range(0, 300, 1, 12).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    got = components.connected(edges.repartition(12, F.rand(1)))
     assert got.count() == 301 and got.agg(F.max("root")).first()[0] == 0
+
+
+def test_stars_of_no_links(spark):
+    assert components.connected(spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))).count() == 0

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from vectext.llm.components import connected
+from vectext.llm.components import connected, join_roots
 from vectext.llm.streams import group_starts, text_of, whole_groups
 from vectext.session import cut_lineage
 
@@ -153,25 +153,6 @@ def block_links(frame: pd.DataFrame, distance: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def join_roots(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of the pairs into ``root``, in place; returns the pairs that joined two trees."""
-    used = np.zeros(len(left), dtype=bool)
-    for k, (i, j) in enumerate(zip(left.tolist(), right.tolist())):
-        while root[i] != i:
-            i = root[i]
-        while root[j] != j:
-            j = root[j]
-        if i != j:
-            root[max(i, j)] = min(i, j)
-            used[k] = True
-    while True:
-        shorter = root[root]
-        if (shorter == root).all():
-            break
-        root[:] = shorter
-    return left[used], right[used]
-
-
 GROUP = ["start", "whole", "half", "a", "b"]
 
 
