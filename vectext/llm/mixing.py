@@ -28,7 +28,7 @@ from vectext.llm.streams import free_name, text_of
 from vectext.session import cut_lineage
 
 MAX_SOURCES = 100_000
-SLICE_ROWS = 50_000
+SLICE_ROWS = 4096
 STEPS = 80
 
 
