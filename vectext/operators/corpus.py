@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from vectext import fixed_values as fx
 from vectext.functions import text as tx
@@ -84,28 +84,33 @@ def first_clean(
     row: str = "source_row",
     strict: bool = True,
 ) -> DataFrame:
-    """The first ``n`` rows in scan order that ``clean`` keeps, reading only as many files as that takes.
+    """The first ``n`` rows in scan order that ``clean`` keeps, cleaning only as many rows as that takes.
 
     ``clean`` must decide on a row from it and rows before it alone, as rules
-    and first-wins dedup do: then the rows kept of the first files do not
-    depend on the others. Files are taken in order, twice as many rows each
-    time, until enough are kept; what was kept is written, not made again.
+    and first-wins dedup do: then the rows kept of the first rows do not depend
+    on the others. Rows are taken in scan order, four times as many each time,
+    until enough are kept; files behind them are not read, and what was kept is
+    written, not made again.
     """
     counts = df.select(file).groupBy(file).agg(F.count("*").alias("_rows")).orderBy(file).collect()  # one row per file
-    want = 2 * n
-    while True:
-        files, rows = [], 0
-        for r in counts:
-            files.append(r[file])
-            rows += r["_rows"]
-            if rows >= want:
-                break
-        if len(files) == len(counts):
-            return first_n(clean(df), n, file, row, strict)
-        kept = cut_lineage(clean(df.where(F.col(file).isin(files))))
+    total, want = sum(r["_rows"] for r in counts), 2 * n
+    while want < total:
+        kept = cut_lineage(clean(df.where(among_first(counts, want, file, row))))
         if kept.count() >= n:
             return first_written(kept, n, file, row, strict)
-        want = 2 * rows
+        want *= 4
+    return first_n(clean(df), n, file, row, strict)
+
+
+def among_first(counts: Sequence[Row], rows: int, file: str, row: str) -> Column:
+    """Whether a row is in the first files that hold ``rows`` rows, or in their share of the last of these."""
+    whole = []
+    for r in counts:
+        if rows < r["_rows"]:
+            return F.col(file).isin(whole) | ((F.col(file) == r[file]) & (F.col(row) < rows))
+        whole.append(r[file])
+        rows -= r["_rows"]
+    return F.col(file).isin(whole)
 
 
 def clean_corpus(
