@@ -136,5 +136,15 @@ def test_long_chain(spark, monkeypatch, share):
     assert got.count() == 301 and got.agg(F.max("root")).first()[0] == 0
 
 
+@pytest.mark.parametrize("pairs", [[(1, 3), (2, 3)], [(1, 2), (2, 3)], [(1, 2), (4, 6), (5, 6), (7, 8)]])
+def test_links_of_one_set_in_different_shares(spark, monkeypatch, pairs):
+    """No share changes anything by itself, so only star steps can join the set."""
+    monkeypatch.setattr(components, "SHARE_LINKS", 1)
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(pairs, len(pairs)), "u bigint, v bigint")
+    items = sorted({node for pair in pairs for node in pair})
+    want = roots(items, lambda a, b: (a, b) in pairs)
+    assert sorted(components.connected(edges).collect()) == sorted(want.items())
+
+
 def test_stars_of_no_links(spark):
     assert components.connected(spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))).count() == 0

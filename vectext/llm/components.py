@@ -84,12 +84,14 @@ def connected(edges: DataFrame) -> DataFrame:
     longest chain.
     """
     edges, state = cut_lineage(edges), None
+    # Contracted before the loop: a share's links that stay as they are say nothing about links in other shares.
+    edges = cut_lineage(contract(edges, edges.count()))
     for _ in range(MAX_STEPS):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
-        first, state = state is None, now
-        edges = cut_lineage(contract(edges if first else small_star(large_star(edges)), now[0]))
+        state = now
+        edges = cut_lineage(contract(small_star(large_star(edges)), now[0]))
     else:
         raise RuntimeError("the links did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
