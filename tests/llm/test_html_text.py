@@ -34,6 +34,38 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+BODY = "<h1>T</h1><p>The first sentence of a text that is long enough to be one.</p><p>Short.</p>"
+TEXT = "T\nThe first sentence of a text that is long enough to be one.\nShort."
+SIDE = "<div class='sidebar'><p>Some words beside the text.</p></div>"
+NAMES = ["content with-sidebar", "has-comments", "share-ready", "post-with-ads", "no-sidebar"]
+WRAPPED = [
+    *[(f"<div class='{name}'><article>{BODY}{SIDE}</article>{SIDE}</div>{SIDE}", TEXT) for name in NAMES],
+    *[(f"<article class='{name}'>{BODY}{SIDE}</article>", TEXT) for name in NAMES],
+    *[(f"<main><div id='{name}'>{BODY}{SIDE}</div></main>", TEXT) for name in NAMES],
+    (f"<div class='{NAMES[0]}'><article><p>a</p></article></div><div class='{NAMES[2]}'><article><p>b</p></article></div>", "a\nb"),
+    (f"<form id='aspnetForm'><nav><a>Home</a></nav>{BODY}{SIDE}<footer>end</footer></form>", TEXT),
+    (f"<form><article>{BODY}<form class='search'><p>Search all of the many texts here</p></form></article></form>", TEXT),
+    (f"<div class='sidebar'><article>{BODY}</article></div>", TEXT),
+    # What the marks are for stays out.
+    (f"<article>{SIDE}</article>", ""), (f"<div style='display:none'><article>{BODY}</article></div>", ""),
+    (f"<article><p>a b c d e f g h i j k l m n o p q</p></article><aside><article>{BODY}</article></aside>", "a b c d e f g h i j k l m n o p q"),
+    (f"<article>{BODY}</article><div class='comment-list'><article><p>{'words ' * 9}</p></article></div>", TEXT),
+    (f"<p>{'word ' * 30}</p><form><p>Tell us in a few words what you think of this</p></form>", "word " * 29 + "word"),
+    # Neighbours decide on blocks without a mark.
+    (f"<div><a>Home</a></div><div>You are here</div><div><a>News</a></div>{BODY}", TEXT),
+    (f"<div><a>Home</a></div><article><p>Short.</p></article><div><a>News</a></div>", "Short."),
+]
+
+
+@pytest.mark.parametrize("page, text", WRAPPED)
+def test_wrappers_of_main_text(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_deep_marks():
+    assert html_text.main_text("<div class=ad>" * 20_000 + "<p>no</p>") == ""
+
+
 def test_tree_learns_its_table():
     x, y = html_text.labelled_table(html_text.EXAMPLES)
     assert len(y) > 90 and ((html_text.trained_tree().shares(x) > 0.5) == y.astype(bool)).all()

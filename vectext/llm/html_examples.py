@@ -70,4 +70,28 @@ EXAMPLES = [
     """<div role="navigation"><p>- You are reading the second of three pages about the canal, and may also want to see the maps that go with them.</p></div>
     <h1>+ Along the canal</h1><p>+ Start early.</p><p>+ The path is shaded until noon, has a well at the third lock, and ends at an inn which does not always open.</p>
     <p>+ Bring bread.</p><div style="display:none"><p>- This text is for programs that read pages aloud and should not be seen by anybody who looks at this page.</p></div>""",
+    """<form id="aspnetForm"><div><a href="/h">- Home</a></div><div>- You are here</div><div><a href="/r">- Roofs</a></div>
+    <h1>+ Thatch and slate</h1><p>+ A thatched roof lasts for thirty years if the reeds were cut in a cold winter and laid by a patient hand.</p>
+    <p>+ Slate lasts longer.</p><p>+ It is heavier as well, so that the beams below must be of oak and set close to each other.</p>
+    <p><a href="/o">+ Oak beams</a> + from old barns are the best that can be had for this, and they cost little.</p>
+    <div><a href="/m">- Map</a></div><div>- Last changed today</div><div><a href="/t">- Terms</a></div></form>""",
+    """<div class="content with-sidebar"><article><h1>+ Frost in May</h1><p>+ The vines froze in one night.</p>
+    <p>+ Growers lit small fires between the rows, and the smoke lay over the valley until the sun came over the hill.</p><p>+ It was in vain.</p></article>
+    <div class="sidebar"><p>- More weather from all valleys, with tables of rain and frost since the station was built.</p></div></div>
+    <div><a href="/a">- Archive</a></div><p>- Printed daily</p><div><a href="/w">- Weather</a></div>""",
+    """<div class="page has-comments"><p><a href="/1">- First page</a></p><p>- Two of nine</p><p><a href="/3">- Next page</a></p>
+    <p>+ Bees find their way home by the sun, by the shape of the hills and, close to the hive, by its smell.</p><p>+ Wind does not stop them.</p>
+    <p>+ A hive that is moved by night to a place nearby will lose many of them on the first morning.</p>
+    <p><a href="/b">- Hives</a></p><p>+ Those that are lost are often taken in by other hives, as long as they bring nectar with them.</p><p><a href="/c">- Honey</a></p>
+    <div class="comments"><p>- My bees came back after two days, all of them, and I still do not know how they did it.</p></div></div>""",
+    """<div><a href="/s">- Shop</a></div><article class="post-with-ads"><p>+ Read on.</p><p><a href="/k">- Kites on offer</a></p><p>+ It flies.</p><p><a href="/l">- Lines on offer</a></p>
+    <p>+ A kite needs a tail only if its bow is flat, and a good wind needs no run at all.</p><div class="ads"><p>- Strong lines for kites of all sizes, sold by the yard in our shop.</p></div></article>""",
+    """<div><a href="/u">- Up</a></div><article><p>+ He ran.</p><p><a href="/v">- Vans</a></p><p>+ She laughed at him.</p><p><a href="/z">- Zinc</a></p>
+    <p>+ Then both fell.</p><p><a href="/y">- Yarn</a></p><p>+ Up.</p></article><div><a href="/d">- Down</a></div>""",
+    """<p><a href="/1">- Pumps and wells</a></p><p>- Open at nine</p><p><a href="/2">- Pipes of all sizes</a></p><p>- Closed on Sundays</p><p><a href="/3">- Where to find us</a></p>
+    <h2>+ Digging a well</h2><p>+ Ask the neighbours first, since they know how deep the water stands in a dry summer and how it tastes.</p><p>+ Dig in autumn.</p>
+    <p><a href="/5">- Spades</a></p><p>- All rights reserved</p><p><a href="/6">- Legal notes of the firm</a></p>""",
+    """<p>+ The lamp went out.</p><p>+ It was dark.</p><p><a href="/7">- Lamps</a></p><p>- Ends soon</p><p><a href="/8">- Oil</a></p>
+    <p>+ Somebody lit a match and held it up until it burned their fingers, and then it was dark again.</p><p>+ Nobody spoke.</p><p><a href="/9">- Wicks</a></p>""",
+    """<p>+ The tide turned at four.</p><p><a href="/10">- Tides</a></p><p>- Free of charge</p><p><a href="/11">- Moon</a></p><p>- Sold out</p><p><a href="/12">- Charts of the bay</a></p>""",
 ]

@@ -7,6 +7,12 @@ element for menus, headers, footers, sidebars, forms or dialogs, or in one whose
 class, id or role says as much. A small decision tree, trained on the labelled
 pages of ``html_examples``, tells main text from the rest.
 
+An element or name marks what it holds, but not the main text that it merely
+encloses: a form or a name that says what an element has (``with-sidebar``,
+``share-ready``) is a wrapper where an article, a main element or more words
+than all unmarked text stand in it. Any other mark is one where it encloses the
+largest article, with more words than the unmarked text. Hidden text stays so.
+
 Scripts, styles and other raw elements, comments and markup are no text.
 Character references are decoded, white space in a block becomes one space,
 and the kept blocks of a page are joined by a line feed, all of them whole.
@@ -58,6 +64,15 @@ BOILER_NAMES = frozenset(
     "newsletter notice notices pager pagination popup promo promotion recommended related replies reply respond search "
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words before a listed word that say an element has, or lacks, such a part.
+HAVING = frozenset("with has have having no not without hide hides show shows for near after before".split())
+#: Words behind a listed word that leave it the name of the element.
+HOLDERS = frozenset(
+    "area bar block body box col column container content group holder inner item items link links list outer panel "
+    "region row section slot text unit wrap wrapper zone".split()
+)
+#: Words that make a text under a mark a body of its own.
+LEAST_BODY = 10
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
     "heading", "in_article", "boiler_element", "boiler_name",
@@ -72,24 +87,47 @@ class Block:
     link_chars: int
     heading: bool
     in_article: bool
-    boiler_element: bool
-    boiler_name: bool
+    boiler_element: bool = False
+    boiler_name: bool = False
+    mark: int = 0
+    body: int = 0
+
+    @property
+    def words(self) -> int:
+        return self.text.count(" ") + 1
 
     @property
     def link_density(self) -> float:
         return min(1.0, self.link_chars / max(1, len(self.text)))
 
 
+@dataclass
+class Mark:
+    """An element that marks what it holds; ``loose`` and ``hidden`` take in the marks around it, as ``alike`` does."""
+
+    around: int
+    element: bool
+    name: bool
+    loose: bool
+    hidden: bool
+    alike: int
+
+
 class Page:
     """Reads a page into blocks."""
 
     def __init__(self, source: str) -> None:
         self.blocks: list[Block] = []
         self.open: list[str] = []
-        self.marks: list[tuple[int, int, int]] = [(0, 0, 0)]
+        #: Of each open element: how many articles it is in, the marks and bodies (articles) by number, 0 for none.
+        self.places: list[tuple[int, int, int]] = [(0, 0, 0)]
+        self.marks = [Mark(0, False, False, True, False, 0)]
+        self.kinds: dict[tuple[int, str, str], int] = {}
+        self.bodies = [0]
         self.parts: list[str] = []
         self.links, self.link_chars, self.heading = 0, 0, False
         self.read(source)
+        self.settle()
 
     def read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -134,8 +172,8 @@ class Page:
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            article, element, name = self.marks[-1]
-            self.blocks.append(Block(text, self.link_chars, self.heading, bool(article), bool(element), bool(name)))
+            article, mark, body = self.places[-1]
+            self.blocks.append(Block(text, self.link_chars, self.heading, bool(article), mark=mark, body=body))
         self.parts, self.link_chars = [], 0
 
     def start(self, name: str, rest: str) -> None:
@@ -149,12 +187,24 @@ class Page:
             self.heading = True
         if name in VOID or rest.endswith("/") or name not in BLOCK or name == "p":
             return
-        article, element, named = self.marks[-1]
+        article, mark, body = self.places[-1]
         article += name in MAIN
-        element += name in BOILER or (name == "header" and not article)
-        named += names_boiler(rest) and name not in ("html", "body")
+        element = name in BOILER or (name == "header" and not article)
+        # That a form is named a form says nothing more.
+        named, part, hidden = names_boiler(rest, FORM_NAMES if name == "form" else BOILER_NAMES)
+        if name in ("html", "body"):
+            named = hidden = False
+        if element or named or hidden:
+            outer = self.marks[mark]
+            loose = outer.loose and (not element or name == "form") and (not named or part)
+            alike = self.kinds.setdefault((outer.alike, name, rest), len(self.kinds) + 1)
+            self.marks.append(Mark(mark, element, named or hidden, loose, outer.hidden or hidden, alike))
+            mark = len(self.marks) - 1
+        if name in MAIN:
+            self.bodies.append(mark)
+            body = len(self.bodies) - 1
         self.open.append(name)
-        self.marks.append((article, element, named))
+        self.places.append((article, mark, body))
 
     def close(self, name: str) -> None:
         if name == "a":
@@ -165,25 +215,75 @@ class Page:
             self.heading = False
         if name in self.open:
             depth = len(self.open) - 1 - self.open[::-1].index(name)
-            del self.open[depth:], self.marks[depth + 1:]
-
-
-def names_boiler(rest: str) -> bool:
-    """Whether attributes name something beside the main text, or hide it."""
+            del self.open[depth:], self.places[depth + 1:]
+
+    def settle(self) -> None:
+        """Marks the blocks, by the marked elements that are not wrappers of main text."""
+        if len(self.marks) > 1:
+            wrappers = self.wrappers()
+            # An element comes after those around it.
+            marked = [(False, False)]
+            for k, m in enumerate(self.marks[1:], 1):
+                element, name = marked[m.around]
+                marked.append((element, name) if k in wrappers else (element or m.element, name or m.name))
+            for b in self.blocks:
+                b.boiler_element, b.boiler_name = marked[b.mark]
+
+    def wrappers(self) -> set[int]:
+        """Marked elements that enclose main text."""
+        in_body, by_kind = [0] * len(self.bodies), [0] * (len(self.kinds) + 1)
+        for b in self.blocks:
+            if b.link_density < 0.5:
+                by_kind[self.marks[b.mark].alike] += b.words
+                if b.mark == self.bodies[b.body]:
+                    in_body[b.body] += b.words
+        shown = [(in_body[k], self.marks[m]) for k, m in enumerate(self.bodies) if k and not self.marks[m].hidden]
+        free = {0} | {m.alike for _, m in shown if m.loose}
+        unmarked = self.enclosing(free)
+        plain = sum(by_kind[kind] for kind in {self.marks[k].alike for k in unmarked | {0}})
+        largest = max(shown, key=lambda s: s[0], default=(0, self.marks[0]))
+        if largest[0] > plain:
+            free.add(largest[1].alike)
+        else:
+            texts = [(by_kind[m.alike], m.alike) for m in self.marks if m.loose and not m.hidden and m.alike not in free]
+            most = max(texts, default=(0, 0))
+            if most[0] > plain and most[0] >= LEAST_BODY:
+                free.add(most[1])
+        return self.enclosing(free)
+
+    def enclosing(self, kinds: set[int]) -> set[int]:
+        """Marked elements of these kinds and those around them."""
+        out: set[int] = set()
+        for k in range(len(self.marks) - 1, 0, -1):
+            if k in out or self.marks[k].alike in kinds:
+                out |= {k, self.marks[k].around}
+        return out - {0}
+
+
+FORM_NAMES = BOILER_NAMES - {"form"}
+
+
+def names_boiler(rest: str, listed: frozenset[str] = BOILER_NAMES) -> tuple[bool, bool, bool]:
+    """Whether attributes name something beside the main text, only as a part of something else, or hide the element."""
     if not rest or rest.isspace():
-        return False
+        return False, False, False
+    named, part = False, True
     for found in ATTRIBUTE.finditer(rest):
-        value = found[2] or found[3] or found[4] or ""
-        if any(part.lower() in BOILER_NAMES for part in NAME_PARTS.findall(value)):
-            return True
-    return bool(HIDDEN.search(rest))
+        for value in (found[2] or found[3] or found[4] or "").split():
+            words = [w.lower() for w in NAME_PARTS.findall(value)]
+            if listed.isdisjoint(words):
+                continue
+            named = True
+            head = [w for w in words if w not in HOLDERS][-1]
+            part = part and (head not in listed or not HAVING.isdisjoint(words))
+    return named, named and part, bool(HIDDEN.search(rest))
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """One row per block, columns as in ``FEATURES``."""
     out = np.zeros((len(blocks), len(FEATURES)))
     for k, b in enumerate(blocks):
-        out[k, :2] = b.text.count(" ") + 1, b.link_density
+        out[k, :2] = b.words, b.link_density
         out[k, 6:] = b.heading, b.in_article, b.boiler_element, b.boiler_name
     out[1:, 2:4], out[:-1, 4:6] = out[:-1, :2], out[1:, :2]
     return out
