@@ -88,6 +88,41 @@ def test_mixed_rows(spark):
     assert set(counts) == {repr(r["doc_id"]) for r in df.collect()}  # each document once at least
 
 
+def test_more_sources_than_the_driver_takes(spark):
+    """One source a host: 120,000 of them, of which some are large."""
+    size = (1 + F.col("id") % 7 + F.when(F.col("id") < 3, 5000).otherwise(0)).cast("int")
+    df = spark.range(120_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("host"), "id").alias("source"), F.repeat(F.lit("w "), size).alias("text")
+    )
+    places, mix = mixing.mix_sources(df, max_passes=2.0)
+    assert places.select("source").distinct().count() == 120_000
+    assert places.groupBy("source").count().agg(F.max("count")).first()[0] == 2
+
+
+@pytest.mark.parametrize("how", [
+    {"max_passes": 2.0}, {"max_passes": 2.0, "budget": 1160}, {"target_entropy": 0.8}, {"target_entropy": 0.8, "budget": 500}, {"target_entropy": 1.0},
+])
+def test_aggregates_give_the_same_weights(spark, how):
+    local = mixing.solve(TOKENS, **how)
+    table = spark.createDataFrame(list(TOKENS.items()), "source string, tokens bigint")
+    weighed, mix = mixing.solve_table(table, **how)
+    assert mix.exponent == pytest.approx(local.exponent, abs=1e-6) and mix.budget == pytest.approx(local.budget, rel=1e-6)
+    assert mix.tokens == TOKENS and mix.weights == pytest.approx(local.weights, rel=1e-6)
+    assert {r["source"]: r["allowed"] for r in weighed.collect()} == {s: mix.allowed(s) for s in TOKENS}
+
+
+def test_walks_without_a_broadcast(spark):
+    """A table of sources too large to be sent to all tasks is joined by a shuffle."""
+    df = documents(spark)
+    want = sorted(map(repr, mixing.mix_sources(df, max_passes=2.0)[0].collect()))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(repr, mixing.mix_sources(df, max_passes=2.0)[0].collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_empty_table(spark):
     none = documents(spark).where(F.lit(False))
     places, mix = mixing.mix_sources(none, max_passes=2.0)

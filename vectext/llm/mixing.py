@@ -12,24 +12,27 @@ Tokens are runs of characters that are not white space, and every document
 counts one more for its end, so that empty and null texts have a size too. A
 null source is a source of its own. Repeated rows are separate documents with
 the same place in the order; ties in the order go by the other columns' hash.
-All counts are over all documents, and only one row per source reaches the
-driver, the result of an aggregation (at most ``MAX_SOURCES``, checked).
+All counts are over all documents. Sources stay a table, however many there
+are: the driver sees sums over them, ``AHEAD`` steps of the bisection at once,
+and a source's weight or tokens only if asked for them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vectext.llm.streams import free_name, text_of
 from vectext.session import cut_lineage
 
-MAX_SOURCES = 100_000
 SLICE_ROWS = 4096
 STEPS = 80
+#: Steps of a bisection whose sums are taken together, 2 ** AHEAD - 1 of them.
+AHEAD = 5
 
 
 @dataclass(frozen=True)
@@ -57,26 +60,137 @@ def entropy(weights: Mapping) -> float:
     return -sum(w * math.log(w) for w in weights.values() if w > 0)
 
 
-def bisect(reached, low: float = 0.0, high: float = 1.0) -> float:
-    """The border of a condition that holds at ``low`` and may fail at ``high``."""
+def middles(low: float, high: float, steps: int) -> list[float]:
+    """All points that so many steps of a bisection may look at."""
+    if not steps:
+        return []
+    middle = (low + high) / 2
+    return [middle, *middles(low, middle, steps - 1), *middles(middle, high, steps - 1)]
+
+
+def bisect(
+    reached: Callable[[float], bool], low: float = 0.0, high: float = 1.0, prepare: Callable[[list[float]], None] | None = None
+) -> float:
+    """The border of a condition that holds at ``low`` and may fail at ``high``; ``prepare`` is told the points to come."""
     if reached(high):
         return high
-    for _ in range(STEPS):
+    for step in range(STEPS):
+        if prepare is not None and step % AHEAD == 0:
+            prepare(middles(low, high, AHEAD))
         middle = (low + high) / 2
         low, high = (middle, high) if reached(middle) else (low, middle)
     return low
 
 
-def whole_pass_budget(tokens: Mapping, weights: Mapping) -> float:
-    """The least budget that reads every source at least once."""
-    return max(n / weights[s] for s, n in tokens.items())
+class Sizes:
+    """What the weights need to know of the tokens of all sources."""
+
+    def __init__(self, sources: int, total: int, least: int, most: int, sums: Callable[[list[float]], dict]) -> None:
+        self.sources, self.total, self.least, self.most = sources, total, least, most
+        self.sums, self.known = sums, {}
+
+    def prepare(self, exponents: list[float]) -> None:
+        """Take the sums of ``share ** exponent``, alone and times the logarithm of the share."""
+        self.known = self.sums(exponents)
+
+    def at(self, exponent: float) -> tuple[float, float]:
+        if exponent not in self.known:
+            self.prepare([exponent])
+        return self.known[exponent]
+
+    def entropy(self, exponent: float) -> float:
+        norm, logs = self.at(exponent)
+        return math.log(norm) - exponent * logs / norm
+
+    def raised(self, tokens: int, exponent: float) -> float:
+        return (tokens / self.total) ** exponent
+
+    def whole_pass_budget(self, exponent: float) -> float:
+        """The least budget that reads every source at least once: that of the largest one."""
+        return self.most / (self.raised(self.most, exponent) / self.at(exponent)[0])
+
+    def passes(self, exponent: float, budget: int | None) -> float:
+        """How often the most repeated source is read, which is the smallest one."""
+        if budget is None:
+            return self.raised(self.least, exponent) / self.least * (self.most / self.raised(self.most, exponent))
+        return self.raised(self.least, exponent) / self.at(exponent)[0] * budget / self.least
+
+
+def sizes_of(tokens: Mapping) -> Sizes:
+    counts, total = tokens.values(), sum(tokens.values())
+
+    def sums(exponents: list[float]) -> dict:
+        shares = [n / total for n in counts]
+        return {a: (sum(s ** a for s in shares), sum(s ** a * math.log(s) for s in shares)) for a in exponents}
+
+    return Sizes(len(tokens), total, min(counts), max(counts), sums)
+
+
+def sizes_of_table(sources: DataFrame) -> Sizes | None:
+    """The sizes of a table of (source, tokens), by aggregates; None if it is empty."""
+    whole = sources.agg(
+        F.count("*").alias("n"), F.sum(F.col("tokens").cast("decimal(38,0)")).alias("total"),
+        F.min("tokens").alias("least"), F.max("tokens").alias("most"),
+    ).first()
+    if not whole["n"]:
+        return None
+    total = int(whole["total"])
+    # Sources of one size are one row. Decimals add up alike in any order, so weights do not depend on the layout.
+    alike: list[DataFrame] = []
+
+    def sums(exponents: list[float]) -> dict:
+        if not alike:
+            alike.append(cut_lineage(sources.groupBy("tokens").agg(F.count("*").alias("n"))))
+        share = F.col("tokens") / F.lit(float(total))
+        each = alike[0].select("n", share.alias("share"), F.posexplode(F.array(*map(F.lit, exponents))).alias("k", "a"))
+        raised = F.col("n") * F.pow("share", "a")
+        found = each.groupBy("k").agg(
+            F.sum(raised.cast("decimal(38,22)")).alias("norm"),
+            F.sum((raised * F.log("share")).cast("decimal(38,22)")).alias("logs"),
+        ).collect()
+        return {exponents[r["k"]]: (float(r["norm"]), float(r["logs"])) for r in found}
+
+    return Sizes(whole["n"], total, whole["least"], whole["most"], sums)
+
+
+class OfSources(Mapping):
+    """A column of a table of sources, by source; read to the driver when first asked for."""
 
+    def __init__(self, table: DataFrame, column: str) -> None:
+        self.table, self.column = table, column
 
-def passes(tokens: Mapping, exponent: float, budget: int | None) -> float:
-    """How often the most repeated source is read."""
-    weights = tempered(tokens, exponent)
-    spent = whole_pass_budget(tokens, weights) if budget is None else budget
-    return max(weights[s] * spent / n for s, n in tokens.items())
+    @cached_property
+    def values_read(self) -> dict:
+        return {r["source"]: r[self.column] for r in self.table.select("source", self.column).collect()}
+
+    def __getitem__(self, source: str | None):
+        return self.values_read[source]
+
+    def __iter__(self) -> Iterator:
+        return iter(self.values_read)
+
+    def __len__(self) -> int:
+        return len(self.values_read)
+
+
+def solve_sizes(
+    sizes: Sizes, budget: int | None = None, target_entropy: float | None = None, max_passes: float | None = None
+) -> tuple[float, float]:
+    """Exponent and budget, as told at :func:`solve`."""
+    if target_entropy is not None:
+        goal = target_entropy * math.log(sizes.sources)
+        exponent = bisect(lambda a: sizes.entropy(a) >= goal - 1e-12, prepare=sizes.prepare)
+    else:
+        if sizes.passes(1.0, budget) > max_passes + 1e-9:
+            raise ValueError(f"no weights keep within {max_passes} passes at this budget")
+        ahead = None if budget is None else lambda cuts: sizes.prepare([1.0 - cut for cut in cuts])
+        exponent = 1.0 - bisect(lambda cut: sizes.passes(1.0 - cut, budget) <= max_passes + 1e-9, prepare=ahead)
+    return exponent, float(sizes.whole_pass_budget(exponent) if budget is None else budget)
+
+
+def one_target(target_entropy: float | None, max_passes: float | None) -> None:
+    if (target_entropy is None) == (max_passes is None):
+        raise ValueError("give either target_entropy or max_passes")
 
 
 def solve(
@@ -92,32 +206,31 @@ def solve(
     limit that no exponent meets (a budget of more passes than allowed) is an
     error, since it could not be kept.
     """
-    if (target_entropy is None) == (max_passes is None):
-        raise ValueError("give either target_entropy or max_passes")
+    one_target(target_entropy, max_passes)
     if not tokens:
         return Mix(1.0, 0.0, {}, {})
-    if target_entropy is not None:
-        goal = target_entropy * math.log(len(tokens))
-        exponent = bisect(lambda a: entropy(tempered(tokens, a)) >= goal - 1e-12)
-    else:
-        if passes(tokens, 1.0, budget) > max_passes + 1e-9:
-            raise ValueError(f"no weights keep within {max_passes} passes at this budget")
-        exponent = 1.0 - bisect(lambda cut: passes(tokens, 1.0 - cut, budget) <= max_passes + 1e-9)
-    weights = tempered(tokens, exponent)
-    spent = whole_pass_budget(tokens, weights) if budget is None else budget
-    return Mix(exponent, float(spent), weights, dict(tokens))
+    exponent, spent = solve_sizes(sizes_of(tokens), budget, target_entropy, max_passes)
+    return Mix(exponent, spent, tempered(tokens, exponent), dict(tokens))
 
 
 def token_count(text: Column) -> Column:
     return (F.regexp_count(text, F.lit(r"\S+")) + 1).cast("bigint")
 
 
-def source_tokens(sized: DataFrame) -> dict:
-    """Tokens per source, over all rows of (source, tokens)."""
-    totals = sized.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return {r["source"]: int(r["tokens"]) for r in totals}
+def solve_table(
+    sources: DataFrame, budget: int | None = None, target_entropy: float | None = None, max_passes: float | None = None
+) -> tuple[DataFrame, Mix]:
+    """As :func:`solve`, of a table of (source, tokens), which gets its ``weight`` and what it is ``allowed``."""
+    one_target(target_entropy, max_passes)
+    sizes = sizes_of_table(sources)
+    exponent, spent, weight = 1.0, 0.0, F.lit(0.0)
+    if sizes is not None:
+        exponent, spent = solve_sizes(sizes, budget, target_entropy, max_passes)
+        weight = F.pow(F.col("tokens") / F.lit(float(sizes.total)), F.lit(exponent)) / F.lit(sizes.at(exponent)[0])
+    weighed = sources.withColumn("weight", weight)
+    # Rounded as ``Mix.allowed`` rounds, halves to even.
+    weighed = weighed.withColumn("allowed", F.rint(F.col("weight") * F.lit(spent)).cast("bigint"))
+    return weighed, Mix(exponent, spent, OfSources(weighed, "weight"), OfSources(weighed, "tokens"))
 
 
 def running_tokens(rows: DataFrame, hash_name: str) -> DataFrame:
@@ -172,14 +285,14 @@ def mix_sources(
         F.col(id).alias("id"), F.col(source).cast("string").alias("source"),
         token_count(body).alias("tokens"), F.xxhash64(body).alias("tie"),
     ))
-    mix = solve(source_tokens(sized), budget, target_entropy, max_passes)
-    spark = df.sparkSession
-    plan = spark.createDataFrame(
-        [(s, mix.allowed(s), n, max(mix.weights[s] * block_tokens, 1.0)) for s, n in mix.tokens.items()],
-        "plan_source string, allowed bigint, size bigint, block_share double",
+    sources = cut_lineage(sized.groupBy("source").agg(F.sum("tokens").cast("bigint").alias("tokens")))
+    weighed, mix = solve_table(sources, budget, target_entropy, max_passes)
+    plan = weighed.select(
+        F.col("source").alias("plan_source"), "allowed", F.col("tokens").alias("size"),
+        F.greatest(F.col("weight") * F.lit(float(block_tokens)), F.lit(1.0)).alias("block_share"),
     )
-    # One row per source, at most MAX_SOURCES: bounded, so it may be broadcast.
-    matched = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+    # As many rows as sources: Spark broadcasts them if they are few, and splits a hot source's rows if not.
+    matched = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
     read = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("allowed") - 1) / F.col("size"))))
     walks = matched.where("allowed > 0").withColumn("pass", read)
     walks = walks.withColumn("order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "pass", "id", "tie"), 1))
