@@ -3,10 +3,9 @@
 Each task packs its share of the pieces best-fit, longest first, and lets go of
 bins that are nearly full. The others travel on as items, whole bins with their
 pieces, to a quarter as many tasks, which pack them best-fit again; and so on
-until one task's share is left, or a round no longer saves sequences worth the
-move. Every bin that has not been merged by then is a sequence as it is. What
-remains underfull after a round is a small part of what entered it, so rounds
-are narrow, and no task holds more than its share.
+until one task's share is left. Bins beside which not even the least of the
+others fits are set aside after each round, so rounds get narrow, no task holds
+more than its share, and the tree ends where no two bins go together.
 
 A document is its ids with an end id. Only longer ones than a sequence are cut,
 into pieces of the full length, the first piece taking what is left over.
@@ -34,8 +33,6 @@ SHARE_ROWS = 200_000
 FAN_IN = 4
 #: A bin with no more free tokens than this part of it is let go at once.
 NEARLY_FULL = 1 / 128
-#: A round must do away with this part of the bins that entered it, else it is the last.
-LEAST_GAIN = 0.005
 
 
 def token_pieces(
@@ -133,22 +130,23 @@ def pack(lengths: DataFrame, capacity: int, share_rows: int = SHARE_ROWS) -> Dat
     rows = items.count()
     shares = max(1, math.ceil(rows / share_rows))
     done: list[DataFrame] = []
-    entered = None
     near = capacity - max(1, int(capacity * NEARLY_FULL))
     round_ = 0
     while rows:
         # A bin's rows have its key, hence one share; the round number deals them anew each time.
         share = F.pmod(F.xxhash64("bin", F.lit(round_)), F.lit(shares)).cast("int")
         fitted = cut_lineage(items.withColumn("share", share).groupBy("share").applyInPandas(fit, schema))
-        done.append(fitted.where(F.col("used") >= near))
-        items = fitted.where(F.col("used") < near).drop("used")
+        least = fitted.where(F.col("used") < near).agg(F.min("used")).first()[0] or capacity
+        # Bins that nothing left fits beside are sequences.
+        full = (F.col("used") >= near) | (F.col("used") > capacity - least)
+        done.append(fitted.where(full))
+        items = fitted.where(~full).drop("used")
         state = items.agg(F.count("*").alias("rows"), F.count_distinct("bin").alias("bins")).first()
         rows, bins = state["rows"], state["bins"]
-        stalled = entered is not None and bins > entered * (1 - LEAST_GAIN)
-        if not rows or shares == 1 or stalled:
+        if shares == 1 or bins < 2:
             break
-        entered, round_ = bins, round_ + 1
-        shares = max(math.ceil(shares / FAN_IN), math.ceil(rows / share_rows))
+        # In each round the least bin goes to another one of its share, so shares hold two bins at least.
+        round_, shares = round_ + 1, max(1, min(max(math.ceil(shares / FAN_IN), math.ceil(rows / share_rows)), bins // 2))
     for part in done:
         items = items.select("bin", "piece_key", "length", "offset").unionByName(part.drop("used"))
     return items.select("piece_key", "length", F.col("bin").alias("sequence_id"), "offset")
