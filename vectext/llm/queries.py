@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectext.llm import exact_dedup, html_text, language, mixing, packing, quality, sharding, simhash, token_files, topk
+from vectext.llm import exact_dedup, html_text, language, mixing, packing, quality, sharding, simhash, token_files, topk, warc
 from vectext.llm.streams import held_out
 from vectext.session import new_shared_path
 
@@ -136,3 +136,29 @@ def op8_plane_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = html_text.extract_text(table(spark, folder, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@register
+def op11_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    out = new_shared_path(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), out)
+    return warc.read_archives(spark, out)
+
+
+ORACLES["op11_warc_segments"] = """
+    WITH payloads AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+    placed AS (
+        SELECT page_id, url, body, sha1(body) AS sha,
+               max(page_id) OVER (PARTITION BY body) AS keep_id,
+               row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST) AS place
+        FROM payloads
+    )
+    SELECT page_id, url, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda k: substr(
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + CAST((CAST('0x' || substr(sha, CAST(1 + 5 * (k // 4) AS INTEGER), 5) AS INTEGER)
+                         >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+           CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN place > 1 THEN keep_id END AS refers_to
+    FROM placed
+"""
