@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectext.llm import exact_dedup, html_text, language, mixing, packing, quality, sharding, simhash, token_files, topk, warc
+from vectext.llm import (
+    divergence, exact_dedup, html_text, language, mixing, packing, quality, sharding, simhash, token_files, topk, warc,
+)
 from vectext.llm.streams import held_out
 from vectext.session import new_shared_path
 
@@ -162,3 +164,54 @@ ORACLES["op11_warc_segments"] = """
            CASE WHEN place > 1 THEN keep_id END AS refers_to
     FROM placed
 """
+
+
+@register
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+        FROM documents
+    ),
+    words AS (SELECT doc, lang, source, unnest(words) AS term FROM docs),
+    kept AS (
+        SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 3
+    ),
+    langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+    groups AS (SELECT DISTINCT lang, source FROM docs),
+    counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+    sizes AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY lang, source),
+    shares AS (
+        SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+               1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(s.n, 0) + l.v) AS p,
+               1 + (1000000000::HUGEINT * (k.total + 1)) // (l.n + l.v) AS q
+        FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+        LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+    ),
+    found AS (
+        SELECT lang, a.source, a.term, b.source AS item, ((a.p - b.p) * (a.p - b.p)) // b.p AS f
+        FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source
+    ),
+    pairs AS (
+        SELECT g.lang, g.source, 'pair' AS part, o.source AS item, CAST(coalesce(sum(f), 0) AS BIGINT) AS value
+        FROM groups g JOIN groups o ON o.lang = g.lang AND o.source <> g.source
+        LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.item = o.source
+        GROUP BY ALL
+    ),
+    terms AS (
+        SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value
+        FROM shares WHERE c > 0 AND p > q
+    ),
+    ranked AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+    )
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
