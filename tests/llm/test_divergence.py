@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def some_rows(seed, n=400):
     return rows
 
 
-@pytest.mark.parametrize("memory_terms, block_postings, shards", [(400_000, 2048, 8), (50, 3, 5), (1, 1, 2)])
+@pytest.mark.parametrize("memory_terms, block_postings, shards", [(400_000, 2048, 8), (50, 3, 5)])
 def test_against_plain(spark, memory_terms, block_postings, shards):
     rows = some_rows(shards)
     df = spark.createDataFrame(rows, "lang string, source string, text string").repartition(4)
@@ -68,8 +69,9 @@ def test_against_plain(spark, memory_terms, block_postings, shards):
     assert sorted(map(tuple, got.collect())) == plain(rows, top=10)
 
 
-def test_merge_opens_blocks_when_reached():
-    """Terms come in order, each once, whatever blocks overlap; later blocks are not opened early."""
+@pytest.mark.parametrize("slice_postings", [1, 50, 10_000])
+def test_merge_opens_blocks_when_reached(slice_postings):
+    """Slices follow each other in term order, no term lies in two, and blocks are not opened early."""
     rnd = random.Random(4)
     want, blocks = Counter(), []
     for run in range(30):
@@ -77,23 +79,26 @@ def test_merge_opens_blocks_when_reached():
         for t, s, n, _ in postings:
             want[t, s] += n
         for at in range(0, len(postings), 7):
-            terms, sources, counts, docs = zip(*postings[at:at + 7])
-            blocks.append({"first": terms[0], "terms": terms, "sources": sources, "counts": counts, "docs": docs})
-    blocks.sort(key=lambda b: b["first"])
-    read = []
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*postings[at:at + 7]), divergence.POSTINGS)]
+            blocks.append(pa.RecordBatch.from_arrays(columns, schema=divergence.POSTINGS))
+    blocks.sort(key=lambda b: b.column(0)[0].as_py())
+    read, got, last = [], Counter(), b""
 
     def stream():
         for block in blocks:
-            read.append(block["first"])
+            read.append(block.num_rows)
             yield block
 
-    got = Counter()
-    last = b""
-    for term, counts, _ in divergence.merged(stream()):
-        assert term > last and len([f for f in read if f > term]) <= 1
-        last = term
-        for s, n in counts.items():
-            got[term, s] += n
+    done = 0
+    for part in divergence.merged(stream(), slice_postings):
+        terms = part.column(0).to_pylist()
+        assert min(terms) > last
+        last, done = max(terms), done + len(terms)
+        assert sum(read) - done <= slice_postings + 30 * 7 + 200
+        for t, s, n in zip(terms, part.column(1).to_pylist(), part.column(2).to_pylist()):
+            got[t, s] += n
+        rows = divergence.added_up("x", part, 1).to_pylist()
+        assert len({(r["term"], r["source"]) for r in rows}) == len(rows)
     assert got == want
 
 

@@ -5,8 +5,8 @@ maps hold ``memory_terms`` entries they are sorted by term and passed on as a
 run, in blocks of ``block_postings``, and counting begins anew. A shard, named
 by a hash of (lang, term), gets its blocks of all runs in the order of their
 first terms and merges them with a heap: a block is opened when the merge
-reaches its first term, so a task holds the blocks that overlap at one term and
-no more. What comes out is every term's frequency per source, for terms in
+reaches its first term, so a task holds the blocks that overlap there, and the
+slice that it adds up. What comes out is every term's frequency per source, for terms in
 enough documents of their language.
 
 Shares. A term's share in a group is 1 + floor(10^9 * (count + 1) / (N + V)),
@@ -30,22 +30,26 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vectext.llm.streams import group_starts, text_of, whole_groups
 from vectext.session import cut_lineage
 
 #: Terms that a task counts before it passes a run on.
-MEMORY_TERMS = 400_000
+MEMORY_TERMS = 800_000
 #: Postings in a block of a run.
 BLOCK_POSTINGS = 2048
+#: Postings that a merge takes at a time.
+SLICE_POSTINGS = 200_000
 #: Pairs whose corrections a task adds up before it passes them on.
 MEMORY_PAIRS = 500_000
 #: Bytes of a text that are cut into terms at a time.
@@ -106,32 +110,39 @@ class Postings:
 
     def run(self) -> Iterator[dict]:
         """All postings so far as term-sorted blocks of one shard and language each; memory is empty again."""
-        by_shard: dict[tuple[int, str], list[tuple[bytes, str, int, int]]] = {}
-        for (lang, source), counts in self.counts.items():
-            seed, docs = zlib.crc32(lang.encode("utf-8", "surrogatepass")), self.docs[lang, source]
-            for term, n in counts.items():
-                shard = zlib.crc32(term, seed) % self.shards
-                by_shard.setdefault((shard, lang), []).append((term, source, n, docs[term]))
+        terms, counts, docs, shards, names = [], [], [], [], []
+        for (lang, source), counted in self.counts.items():
+            seed = zlib.crc32(lang.encode("utf-8", "surrogatepass"))
+            names.append((lang, source, len(counted)))
+            terms.extend(counted)
+            counts.extend(counted.values())
+            docs.extend(map(self.docs[lang, source].__getitem__, counted))
+            shards.extend([zlib.crc32(term, seed) % self.shards for term in counted])
         self.counts, self.docs, self.held = {}, {}, 0
-        for (shard, lang), postings in by_shard.items():
-            postings.sort()
-            for at in range(0, len(postings), self.block_postings):
-                terms, sources, counts, docs = zip(*postings[at:at + self.block_postings])
+        sizes = [n for _, _, n in names]
+        langs, lang_names = pd.factorize(np.repeat(np.array([g for g, _, _ in names], dtype=object), sizes))
+        part = np.array(shards, dtype=np.int64) * max(1, len(lang_names)) + langs
+        order = pc.array_sort_indices(pa.array(terms, pa.binary())).to_numpy()
+        order = order[np.argsort(part[order], kind="stable")]
+        postings = pa.RecordBatch.from_arrays([
+            pa.array(terms, pa.binary()), pa.array(np.repeat(np.array([x for _, x, _ in names], dtype=object), sizes), pa.string()),
+            pa.array(counts, pa.int64()), pa.array(docs, pa.int64()),
+        ], schema=POSTINGS).take(pa.array(order))
+        part = part[order]
+        edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        for start, stop in zip(edges.tolist(), edges[1:].tolist()):
+            for at in range(start, stop, self.block_postings):
+                block = postings.slice(at, min(self.block_postings, stop - at))
                 yield {
-                    "shard": shard, "lang": lang, "first": terms[0],
-                    "terms": terms, "sources": sources, "counts": counts, "docs": docs,
+                    "shard": int(part[at]) // len(lang_names), "lang": lang_names[int(part[at]) % len(lang_names)],
+                    "first": block.column(0)[0].as_py(), "block": block.serialize().to_pybytes(),
                 }
-            postings.clear()
 
 
-BLOCK_TYPES = pa.schema([
-    ("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())),
-    ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())),
-])
-BLOCK = (
-    "shard int, lang string, first binary, terms array<binary>, sources array<string>, counts array<bigint>, "
-    "docs array<bigint>"
-)
+#: What a block holds, serialised.
+POSTINGS = pa.schema([("term", pa.binary()), ("source", pa.string()), ("count", pa.int64()), ("docs", pa.int64())])
+BLOCK_TYPES = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("block", pa.binary())])
+BLOCK = "shard int, lang string, first binary, block binary"
 
 
 def index_runs(
@@ -143,13 +154,8 @@ def index_runs(
         postings = Postings(shards, memory_terms, block_postings)
 
         def spill() -> Iterator[pa.RecordBatch]:
-            held = []
-            for block in postings.run():
-                held.append(block)
-                if len(held) == 64:
-                    yield pa.RecordBatch.from_pylist(held, schema=BLOCK_TYPES)
-                    held = []
-            if held:
+            blocks = postings.run()
+            while held := list(islice(blocks, 64)):
                 yield pa.RecordBatch.from_pylist(held, schema=BLOCK_TYPES)
 
         for batch in batches:
@@ -158,33 +164,51 @@ def index_runs(
                 postings.add(lang.as_py(), source.as_py(), body.as_py())
                 if postings.full:
                     yield from spill()
-        yield from spill()
+        if postings.held:
+            yield from spill()
 
     return rows.select("lang", "source", "body").mapInArrow(count, BLOCK)
 
 
-def merged(blocks: Iterable[dict]) -> Iterator[tuple[bytes, dict[str, int], int]]:
-    """``term, counts by source, documents`` in term order, from blocks in the order of their first terms."""
+def below(terms: pa.Array, bound: bytes | None) -> int:
+    """How many of the sorted terms come before ``bound``; all without one."""
+    if bound is None or terms[len(terms) - 1].as_py() < bound:
+        return len(terms)
+    return bisect_left(range(len(terms)), bound, key=lambda k: terms[k].as_py())
+
+
+def merged(blocks: Iterable[pa.RecordBatch], slice_postings: int = SLICE_POSTINGS) -> Iterator[pa.RecordBatch]:
+    """Slices of the merge of sorted blocks that come in the order of their first terms.
+
+    A heap holds the open blocks by the first term they have left. A step takes
+    the least blocks off it, up to ``slice_postings``, and of these all terms
+    before the first term of the block that is then least; what is left of them
+    goes back. So a term lies in one slice whole, and slices follow each other
+    in term order.
+    """
     blocks = iter(blocks)
     coming, opened, heap = next(blocks, None), 0, []
     while heap or coming is not None:
-        while coming is not None and (not heap or coming["first"] <= heap[0][0]):
-            # The number tells blocks with the same term apart, so that blocks are never compared.
-            heapq.heappush(heap, (coming["first"], opened, 0, coming))
-            coming, opened = next(blocks, None), opened + 1
-        term, counts, documents = heap[0][0], {}, 0
-        while heap and heap[0][0] == term:
-            _, number, at, block = heap[0]
-            terms, sources = block["terms"], block["sources"]
-            while at < len(terms) and terms[at] == term:
-                counts[sources[at]] = counts.get(sources[at], 0) + block["counts"][at]
-                documents += block["docs"][at]
-                at += 1
-            if at < len(terms):
-                heapq.heapreplace(heap, (terms[at], number, at, block))
-            else:
-                heapq.heappop(heap)
-        yield term, counts, documents
+        taken, postings, last = [], 0, None
+        while True:
+            while coming is not None and (not heap or coming.column(0)[0].as_py() <= heap[0][0]):
+                # The number tells blocks with the same term apart, so that blocks are never compared.
+                heapq.heappush(heap, (coming.column(0)[0].as_py(), opened, coming))
+                coming, opened = next(blocks, None), opened + 1
+            if not heap or (postings >= slice_postings and heap[0][0] != last):
+                break
+            last, _, block = heapq.heappop(heap)
+            taken.append(block)
+            postings += block.num_rows
+        bound = heap[0][0] if heap else None
+        parts = []
+        for block in taken:
+            n = below(block.column(0), bound)
+            parts.append(block.slice(0, n))
+            if n < block.num_rows:
+                heapq.heappush(heap, (block.column(0)[n].as_py(), opened, block.slice(n)))
+                opened += 1
+        yield pa.concat_batches(parts)
 
 
 FREQUENCY_TYPES = pa.schema([
@@ -193,6 +217,29 @@ FREQUENCY_TYPES = pa.schema([
 ])
 
 
+def added_up(lang: str, postings: pa.RecordBatch, least_docs: int) -> pa.RecordBatch:
+    """Frequencies of the terms of a slice, for those in enough documents."""
+    terms, sources = postings.column(0).dictionary_encode(), postings.column(1).dictionary_encode()
+    width = len(sources.dictionary)
+    term = terms.indices.to_numpy().astype(np.int64)
+    key = term * width + sources.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    count, docs = (np.add.reduceat(postings.column(k).to_numpy()[order], starts) for k in (2, 3))
+    term, source = key[starts] // width, key[starts] % width
+    heads = np.flatnonzero(np.diff(term, prepend=-1))
+    rows = np.diff(heads, append=len(term))
+    total, documents = (np.repeat(np.add.reduceat(x, heads), rows) for x in (count, docs))
+    head = np.zeros(len(term), dtype=bool)
+    head[heads] = True
+    kept = documents >= least_docs
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(int(kept.sum()), lang, dtype=object), pa.string()), terms.dictionary.take(pa.array(term[kept])),
+        sources.dictionary.take(pa.array(source[kept])), pa.array(count[kept]), pa.array(total[kept]), pa.array(head[kept]),
+    ], schema=FREQUENCY_TYPES)
+
+
 def frequencies(runs: DataFrame, shards: int, least_docs: int) -> DataFrame:
     """``lang, term, source, count, total, head`` of terms in at least ``least_docs`` documents of their language.
 
@@ -200,28 +247,15 @@ def frequencies(runs: DataFrame, shards: int, least_docs: int) -> DataFrame:
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks() -> Iterator[dict]:
+        def blocks() -> Iterator[tuple[int, str, pa.Buffer]]:
             for batch in batches:
-                for k in range(batch.num_rows):
-                    yield batch.slice(k, 1).to_pylist()[0]
-
-        out: list[tuple] = []
-        for (_, lang), of_lang in groupby(blocks(), lambda b: (b["shard"], b["lang"])):
-            for term, counts, documents in merged(of_lang):
-                if documents < least_docs:
-                    continue
-                total = sum(counts.values())
-                out.extend((lang, term, s, n, total, k == 0) for k, (s, n) in enumerate(counts.items()))
-                if len(out) >= 8192:
-                    yield columns(out)
-                    out = []
-        if out:
-            yield columns(out)
-
-    def columns(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t.type) for c, t in zip(zip(*out), FREQUENCY_TYPES)], schema=FREQUENCY_TYPES
-        )
+                for shard, lang, block in zip(batch.column(0), batch.column(1), batch.column(3)):
+                    yield shard.as_py(), lang.as_py(), block.as_buffer()
+
+        for (_, lang), of_lang in groupby(blocks(), lambda b: b[:2]):
+            opened = (pa.ipc.read_record_batch(pa.py_buffer(block), POSTINGS) for _, _, block in of_lang)
+            for postings in merged(opened):
+                yield added_up(lang, postings, least_docs)
 
     dealt = runs.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "lang", "first")
     schema = "lang string, term binary, source string, count bigint, total bigint, head boolean"
