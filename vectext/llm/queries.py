@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vectext.llm import (
-    divergence, exact_dedup, html_text, language, mixing, packing, quality, sharding, simhash, token_files, topk, warc,
+    divergence, exact_dedup, html_text, language, mixing, packing, quality, sharding, simhash, spelling, token_files,
+    topk, warc,
 )
 from vectext.llm.streams import held_out
 from vectext.session import new_shared_path
@@ -215,3 +216,8 @@ ORACLES["op12_source_divergence"] = r"""
     )
     SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+
+@register
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
