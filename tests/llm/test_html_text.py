@@ -1,7 +1,9 @@
 """Main text of pages written out by hand, and of the driver's pages."""
 
 import html
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +98,53 @@ def test_table(spark):
         assert r["text"] == "\n".join(t for t in texts if t)
     none = pages.where(F.lit(False))
     assert html_text.extract_text(none).count() == 0
+
+
+@pytest.mark.parametrize("piece", [
+    "<a b ", "<a b='", "<a b=\"", "<a \" > \" ", "<a ' > \" ", "<a '\">", "<!x ", "<?", "<!--", "<script>", "</script ", "<div>", "</div>",
+    "<p>", "<a href=x>", "<div></p>", "<div></section>", "<", "<<a", "<a =\"'\" ", "<x>'", "<x y=\"'>",
+])
+@pytest.mark.parametrize("end", ["", ">", "'>"])
+def test_hostile_pages_take_linear_time(piece, end):
+    """What took hours took time that grows with the square of the length."""
+    source = piece * (2_000_000 // len(piece)) + end
+    reader = html_text.Tags(source)
+    start, at = time.process_time(), 0
+    while (opening := source.find("<", at)) >= 0:
+        tag = html_text.TAG_NAME.match(source, opening)
+        found = reader.end(tag.end()) if tag else reader.next(">", opening) + 1
+        at = found if found > opening else opening + 1
+    assert time.process_time() - start < 5
+    page = piece * (200_000 // len(piece)) + end
+    start = time.process_time()
+    html_text.Page(page)
+    assert time.process_time() - start < 8
+
+
+OLD_TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/><'\"]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/><'\"]*)([^>]*)>"
+)
+
+
+def test_tags_end_as_one_pattern_says():
+    rnd = random.Random(1)
+    for _ in range(4000):
+        source = "".join(rnd.choices(["<a", "<b ", "</a", ">", "'", '"', " x", "=", "\n", "/"], k=rnd.randint(1, 30)))
+        reader, at = html_text.Tags(source), 0
+        while (opening := source.find("<", at)) >= 0:
+            tag, want = html_text.TAG_NAME.match(source, opening), OLD_TAG.match(source, opening)
+            end = reader.end(tag.end()) if tag else -1
+            assert end == (want.end() if want else -1), source
+            at = end if end > 0 else opening + 1
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p><a name='top'>Here begins the text.</p><p>And here it goes on for a while.</p>", "Here begins the text.\nAnd here it goes on for a while."),
+    ("<a id=top><h1>T</h1><p>It begins here.</p>", "T\nIt begins here."),
+    ("<div><p><a href=x>Unclosed</p><p>The text goes on for quite a while here.</p></div>", "The text goes on for quite a while here."),
+    ("<ul><li><a href=x>Home</ul><p>The text goes on for quite a while here.</p>", "The text goes on for quite a while here."),
+    ("<article><p>With <math><mi>x</mi></math>, <noscript>no script</noscript> and <object>a thing</object>.</p></article>", "With x, no script and a thing."),
+    ("<script src='x'/>var a = 1;</script><p>text</p>", "text"), ("<p>a</p><svg/><p>b</p>", "a\nb"),
+])
+def test_links_and_raw_elements(page, text):
+    assert html_text.main_text(page) == text

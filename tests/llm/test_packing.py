@@ -81,7 +81,6 @@ ROWS = [
 
 def test_documents(spark):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     df = spark.createDataFrame(ROWS, "doc_id bigint, text string").withColumn("piece", F.lit("clash"))
     got = packing.pack_documents(df, PATH, "bytes", 2, 64).collect()
     want = []

@@ -32,7 +32,7 @@ def test_unknown_planes():
 
 ROWS = [
     (5, "Some words here, and MORE."), (2, ""), (3, None), (None, "no id"), (None, "none either"), (9, "long words " * 3000),
-    (1, "twin"), (1, "twin"), (4, "é ß 中文 \U0001f600 text's \x1c"), (8, "<|endoftext|>"), (7, "one"), (6, "a  b\n\nc"),
+    (1, "twin"), (1, "twin"), (4, "é ß 中文 \U0001f600 text's \x1c"), (8, "a <|endoftext|> b<|startoftext|><|ENDOFTEXT|> x"), (7, "one"), (6, "a  b\n\nc"),
 ]
 
 
@@ -40,7 +40,6 @@ ROWS = [
 @pytest.mark.parametrize("block_ids", [3, 64, 1 << 16])
 def test_files(spark, tmp_path, kind, block_ids):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     df = spark.createDataFrame(ROWS, "doc_id bigint, text string").repartition(3).withColumn("part", F.lit("clash"))
     out = f"{tmp_path}/ids"
     token_files.write_token_files(df, out, PATH, "words", 1, planes=kind, block_ids=block_ids)
@@ -71,10 +70,11 @@ def test_words_put_together_are_the_tokenizers_ids(name, kind, monkeypatch):
     e = tokenizing.TextEncoder(public_tokenizers.path(name), kind)
     rnd = random.Random(3)
     letters = "ab'slLtdmM1! .,\n\té²ªßÉİıſ&*|)(  中\x1c\xa0\r-"
-    texts = ["", " ", "a ", " a", "a's 's it'll!!", "x." * 30, "<|endoftext|>"]
+    texts = ["", " ", "a ", " a", "a's 's it'll!!", "x." * 30, "<|endoftext|>", "a <|endoftext|> b", "<|StartOfText|>a", "a <b <| c"]
     texts += ["".join(rnd.choices(letters, k=rnd.randint(1, 16))) for _ in range(4000)]
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
     for text in texts:
-        assert e.encode(text) == e.whole(text), text
+        assert e.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
 def test_checksum_of_columns(spark):

@@ -17,9 +17,11 @@ Scripts, styles and other raw elements, comments and markup are no text.
 Character references are decoded, white space in a block becomes one space,
 and the kept blocks of a page are joined by a line feed, all of them whole.
 
-Null and empty pages, and pages without text, give an empty text. Unclosed tags
-and elements run to the end of what holds them, unclosed comments and raw
-elements to the end of the page. Repeated rows are extracted alike; other
+Null and empty pages, and pages without text, give an empty text. A page of any
+length is read in one pass, every character a bounded number of times. Unclosed
+elements run to the end of what holds them, an unclosed link to the end of its
+paragraph or of the element it began in, unclosed comments and raw elements to
+the end of the page; a ``<`` that no ``>`` follows is text. Repeated rows are extracted alike; other
 columns are not read.
 """
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 
@@ -38,15 +41,15 @@ from pyspark.sql.functions import pandas_udf
 from vectext.llm.html_examples import EXAMPLES
 from vectext.llm.streams import text_of
 
-TAG = re.compile(
-    r"<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-)
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/><'\"]*)")
+SPECIAL = re.compile("['\">]")
+HREF, ANCHOR = re.compile(r"\bhref\s*=", re.I), re.compile(r"\b(?:name|id)\s*=", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style title textarea noscript template iframe svg math object select canvas audio video".split())
+RAW = frozenset("script style title textarea template iframe svg select canvas audio video".split())
 #: Elements that end a line of text and begin a new one.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -113,6 +116,52 @@ class Mark:
     alike: int
 
 
+class Tags:
+    """Where the tags of a page end, every character looked at a bounded number of times.
+
+    A tag ends at its first ``>`` outside quotes; where there is none up to the
+    end of the page, at its first ``>``.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        #: The last find of each kind: from where, and what was found; finds go forward.
+        self.found: dict[str, tuple[int, int]] = {}
+        #: Special characters from which, outside quotes, no tag ends.
+        self.endless: set[int] = set()
+
+    def next(self, kind: str, at: int) -> int:
+        """Place of the next ``>``, or of the next quote or ``>``, -1 if there is none."""
+        since, place = self.found.get(kind, (0, 0))
+        if not (since <= at and (place < 0 or place >= at)) or kind not in self.found:
+            if kind == ">":
+                place = self.source.find(">", at)
+            else:
+                match = SPECIAL.search(self.source, at)
+                place = match.start() if match else -1
+            self.found[kind] = at, place
+        return place
+
+    def end(self, at: int) -> int:
+        """The place behind the tag whose attributes begin at ``at``, -1 if no ``>`` follows."""
+        plain = self.next(">", at)
+        if plain < 0:
+            return -1
+        seen, special = [], self.next("special", at)
+        while special >= 0 and special not in self.endless:
+            quote = self.source[special]
+            if quote == ">":
+                return special + 1
+            seen.append(special)
+            close = self.source.find(quote, special + 1)
+            if close < 0:
+                break
+            match = SPECIAL.search(self.source, close + 1)
+            special = match.start() if match else -1
+        self.endless.update(seen)
+        return plain + 1
+
+
 class Page:
     """Reads a page into blocks."""
 
@@ -126,11 +175,14 @@ class Page:
         self.bodies = [0]
         self.parts: list[str] = []
         self.links, self.link_chars, self.heading = 0, 0, False
+        #: How often each element is open; how deep the link began, and whether in a paragraph.
+        self.counts: Counter[str] = Counter()
+        self.link_depth, self.link_in_p, self.in_p = 0, False, False
         self.read(source)
         self.settle()
 
     def read(self, source: str) -> None:
-        at, n = 0, len(source)
+        at, n, tags = 0, len(source), Tags(source)
         while at < n:
             opening = source.find("<", at)
             if opening < 0:
@@ -138,30 +190,35 @@ class Page:
                 break
             if opening > at:
                 self.add(source[at:opening])
-            tag = TAG.match(source, opening)
-            if tag is None:
-                self.add("<")
-                at = opening + 1
-                continue
-            at = tag.end()
-            if tag[0] == "<!--":
-                end = source.find("-->", at)
+            if source.startswith("<!--", opening):
+                end = source.find("-->", opening + 4)
                 at = n if end < 0 else end + 3
                 continue
-            closing, name, rest = tag.group(1, 2, 3) if tag[2] else tag.group(4, 5, 6)
-            if not name:
-                continue
-            name = name.lower()
-            if name in RAW:
-                if not closing and not rest.endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                    at = n if end is None else end.end()
-            elif closing:
-                self.close(name)
+            tag = TAG_NAME.match(source, opening)
+            if tag:
+                at = tags.end(tag.end())
             else:
-                self.start(name, rest)
+                at = tags.next(">", opening) + 1 if source[opening + 1:opening + 2] in ("!", "?") else 0
+            if at <= 0:
+                self.add("<")
+                at = opening + 1
+            elif tag:
+                at = self.tag(source, tag[1], tag[2].lower(), source[tag.end():at - 1], at)
         self.flush()
 
+    def tag(self, source: str, closing: str, name: str, rest: str, at: int) -> int:
+        """Takes in a tag that ends at ``at``; returns where to go on, behind the content of raw elements."""
+        if closing:
+            self.close(name)
+        elif name in RAW:
+            # A slash closes foreign elements only; a script runs to its end tag.
+            if not (name == "svg" and rest.endswith("/")):
+                end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+                return len(source) if end is None else end.end()
+        else:
+            self.start(name, rest)
+        return at
+
     def add(self, text: str) -> None:
         if "&" in text:
             text = entities.unescape(text)
@@ -181,8 +238,12 @@ class Page:
             self.parts.append(" ")
         if name in BLOCK:
             self.flush()
+        if name == "p":
+            self.paragraph(True)
         if name == "a":
-            self.links = 1
+            # A named place without a target is no link.
+            self.links = int(bool(HREF.search(rest)) or not ANCHOR.search(rest))
+            self.link_depth, self.link_in_p = len(self.open), self.in_p
         if name in HEADINGS:
             self.heading = True
         if name in VOID or rest.endswith("/") or name not in BLOCK or name == "p":
@@ -204,8 +265,15 @@ class Page:
             self.bodies.append(mark)
             body = len(self.bodies) - 1
         self.open.append(name)
+        self.counts[name] += 1
         self.places.append((article, mark, body))
 
+    def paragraph(self, opens: bool) -> None:
+        """A paragraph begins or ends; a link that began in the one before ends with it."""
+        if self.link_in_p:
+            self.links, self.link_in_p = 0, False
+        self.in_p = opens
+
     def close(self, name: str) -> None:
         if name == "a":
             self.links = 0
@@ -213,9 +281,18 @@ class Page:
             self.flush()
         if name in HEADINGS:
             self.heading = False
-        if name in self.open:
-            depth = len(self.open) - 1 - self.open[::-1].index(name)
-            del self.open[depth:], self.places[depth + 1:]
+        if name == "p":
+            self.paragraph(False)
+        if self.counts[name]:
+            while True:
+                ended = self.open.pop()
+                self.places.pop()
+                self.counts[ended] -= 1
+                if ended == name:
+                    break
+            # An open link ends with the element that it began in.
+            if len(self.open) < self.link_depth:
+                self.links = 0
 
     def settle(self) -> None:
         """Marks the blocks, by the marked elements that are not wrappers of main text."""

@@ -2,8 +2,9 @@
 
 The tokenizers here never merge across a space, so a text whose white space
 comes in single characters is the ids of its words put together, and a word's
-ids need be found once per worker. Other texts go to the tokenizer whole. The
-ids are the tokenizer's own in either case.
+ids need be found once per worker. Other texts, and texts that hold the string of
+an added token, go to the tokenizer whole. The ids are the tokenizer's own, as it
+comes from its file, in either case.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ class TextEncoder:
         self.first, self.spaced = Words(self.tokenizer), Words(self.tokenizer, " ")
 
     def encode(self, text: str) -> bytes:
-        if self.kind == "whole" or OTHER.search(text):
+        if self.kind == "whole" or OTHER.search(text) or self.holds_added(text):
             return self.whole(text)
         if self.kind == "words":
             return b"".join(map(self.first.__getitem__, text.lower().split()))
@@ -97,6 +98,9 @@ class TextEncoder:
             return self.whole(text)
         return b"".join(self.pieces(text))
 
+    def holds_added(self, text: str) -> bool:
+        return any(c in text for c in self.added_first) and self.added.search(text) is not None
+
     def pieces(self, text: str) -> Iterable[bytes]:
         """Ids of the words of a text without two white-space characters in a row."""
         spaced, first = self.spaced.__getitem__, self.first.__getitem__
