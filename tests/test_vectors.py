@@ -125,6 +125,62 @@ def test_linear_head(spark):
     assert project([[1, 1, 1]]) == [6.0]
 
 
+def test_linear_head_against_plain_product(spark):
+    """Ragged vectors, nulls, sparse and repeated weights, small blocks; any layout gives the same."""
+    rnd = np.random.default_rng(3)
+    rows = [(k, f"key {k}", [float(x) for x in rnd.normal(size=rnd.integers(1, 40))]) for k in range(200)]
+    rows += [(900, None, []), (901, "n", None), (902, "c", [1.0, None, 2.0]), (900, None, [1.0]), (900, None, [1.0])]
+    df = spark.createDataFrame(rows, "id int, name string, vector array<double>")
+    cells = [(int(o) * 7, int(i), float(w)) for o, i, w in zip(rnd.integers(0, 50, 600), rnd.integers(0, 30, 600), rnd.normal(size=600))]
+    weights = spark.createDataFrame(cells, "out int, in int, w double")
+    dense = np.zeros((350, 30))
+    for o, i, w in cells:
+        dense[o, i] += w
+    outs = sorted({o for o, _, _ in cells})
+    want = []
+    for key, name, v in rows:
+        if v:
+            x = np.zeros(30)
+            x[:min(30, len(v))] = [c or 0.0 for c in v[:30]]
+            want += [(key, name or "", o, round(float(dense[o] @ x), 9) + 0.0) for o in outs]
+    for cells_, parts in ((400, 3), (1 << 19, 5)):
+        got = sc.linear_head(df.repartition(parts), weights, ["id", "name"], block_cells=cells_)
+        assert got.dtypes == [("id", "int"), ("name", "string"), ("out", "int"), ("y", "double")]
+        assert sorted((r[0], r[1] or "", r[2], round(r[3], 9) + 0.0) for r in got.collect()) == sorted(want)
+
+
+def test_linear_head_shuffles_blocks(spark):
+    """3,584 wide, as the model's vectors are: what meets is blocks, and rows come out right."""
+    width = 3584
+    df = spark.range(64).select("id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i == F.col("id"), 2.0).otherwise(0.0)).alias("vector"))
+    # Row o has a weight of o + 1 for input o, and 1 for the input after it.
+    diagonal = spark.range(width).selectExpr("cast(id as int) out", "cast(id as int) `in`", "id + 1D w")
+    beside = spark.range(width - 1).selectExpr("cast(id as int) out", "cast(id + 1 as int) `in`", "1D w")
+    got = sc.linear_head(df, diagonal.unionByName(beside), ["id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "MapInArrow" in plan
+    met = got.where("y <> 0").collect()
+    assert got.count() == 64 * width
+    assert {(r["id"], r["out"]): r["y"] for r in met} == {(k, o): 2.0 * (o + 1 if o == k else 1) for k in range(64) for o in (k, k - 1) if o >= 0}
+
+
+def test_empty_head(spark):
+    df = spark.createDataFrame([(1, [1.0])], "id int, vector array<double>")
+    none = spark.createDataFrame([], "out int, in int, w double")
+    some = spark.createDataFrame([(0, 0, 1.0)], "out int, in int, w double")
+    assert sc.linear_head(df, none, ["id"]).count() == 0 and sc.linear_head(df.limit(0), some, ["id"]).count() == 0
+
+
+def test_moments_of_ragged_vectors(spark):
+    rows = [([1.0, 2.0],), ([3.0, None, 5.0],), ([],), (None,), ([-1.0],)]
+    df = spark.createDataFrame(rows, "activation_vector array<double>").repartition(3)
+    got = sorted(map(tuple, sc.vector_moments(df).select("position", "total", "squares", "n").collect()))
+    assert got == [(0, 3.0, 11.0, 3), (1, 2.0, 4.0, 1), (2, 5.0, 25.0, 1)]
+    assert sc.vector_moments(df.limit(0)).count() == 0
+    plan = sc.vector_moments(spark.range(9).selectExpr("array(id, 2D) activation_vector"))._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+
+
 def test_generation_status(spark):
     ok = "<explanation>fine</explanation>"
     rows = [("completed", ok, 3), ("truncated", ok, 3), ("completed", "no tags", 3), ("completed", f"<explanation>{'w ' * 600}</explanation>", 3), ("aborted", ok, 9)]

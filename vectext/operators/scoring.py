@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vectext import fixed_values as fx
 from vectext.functions import text as tx, tokens as tk, vectors as vx
 from vectext.operators.lookups import group_stats_join
+from vectext.session import cut_lineage
+
+#: Cells of a dense block, 4 MB of doubles.
+BLOCK_CELLS = 1 << 19
 
 
 # ----------------------------------------------------------------- generations
@@ -92,18 +98,34 @@ def require_vectors(df: DataFrame, width: int, vector: str = "activation_vector"
 def vector_moments(df: DataFrame, scale: float | None = None, vector: str = "activation_vector") -> DataFrame:
     """Sum, sum of squares and rows per vector position, in one pass.
 
-    Cells are summed on the map side, so what is shuffled is one row per
-    position and map task, whatever the number of vectors. The scale goes along
-    as a number per row and meets the cells after they are taken apart.
+    A task adds whole batches of vectors up in dense buffers and passes on one
+    row per position, whatever the number of vectors; vectors may differ in
+    length, null cells count for nothing. The scale is a number per row.
     """
-    # The factor gets its own step: beside the generator it would run per cell.
-    scaled = df.select(F.col(vector).alias("v"), vx.scale_factor(F.col(vector), scale).alias("f"))
-    cells = scaled.select("f", F.posexplode("v").alias("position", "x")).select(
-        "position", (F.col("x").cast("double") * F.col("f")).alias("x")
-    )
-    return cells.groupBy("position").agg(
-        F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares"), F.count("*").alias("n")
-    )
+    scaled = df.select(F.col(vector).cast("array<double>").alias("v"), vx.scale_factor(F.col(vector), scale).cast("double").alias("f"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, 0))
+        for batch in batches:
+            vectors = batch.column("v")
+            sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cells = vectors.flatten()
+            known = cells.is_valid().to_numpy(zero_copy_only=False)
+            factor = batch.column("f").to_numpy(zero_copy_only=False)
+            x = (cells.to_numpy(zero_copy_only=False) * np.repeat(factor, sizes))[known]
+            place = (np.arange(len(cells)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[known]
+            width = int(place.max()) + 1 if len(place) else 0
+            if width > sums.shape[1]:
+                sums = np.pad(sums, ((0, 0), (0, width - sums.shape[1])))
+            for k, weights in enumerate((x, x * x, None)):
+                sums[k, :width] += np.bincount(place, weights, minlength=width)
+        kept = np.flatnonzero(sums[2])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(kept.astype(np.int32)), *[pa.array(s[kept]) for s in sums[:2]], pa.array(sums[2, kept].astype(np.int64)),
+        ], names=["position", "total", "squares", "n"])
+
+    partial = scaled.mapInArrow(add_up, "position int, total double, squares double, n bigint")
+    return partial.groupBy("position").agg(*[F.sum(c).alias(c) for c in ("total", "squares", "n")])
 
 
 def mean_vector(df: DataFrame, vector: str = "activation_vector") -> DataFrame:
@@ -189,14 +211,100 @@ def score_agreement(df: DataFrame, left: str, right: str, pred_norm: str, width:
 
 
 def linear_head(
-    df: DataFrame, matrix: DataFrame, key: Sequence[str], vector: str = "vector", out: str = "y"
+    df: DataFrame, matrix: DataFrame, key: Sequence[str], vector: str = "vector", out: str = "y", block_cells: int = BLOCK_CELLS
 ) -> DataFrame:
     """``key, out, y``: every vector times a matrix given as rows (out, in, w), of any size.
 
-    Cells meet weights by their position; products are summed per row and
-    output on the map side.
+    Vectors are stacked into blocks of rows and the matrix into panels of
+    outputs, ``block_cells`` cells at most (or one vector); each block meets each
+    panel once, in one dense product, so what is shuffled is blocks. The panels
+    are repeated over as many parts as cost no more than the vectors do, and
+    blocks are dealt over the parts. A missing weight or cell is 0, repeated
+    weights add up, cells behind the last ``in`` have no weight; null and empty
+    vectors give no rows. Sums are those of a dense product, so their last
+    digits depend on the order in which it adds.
     """
-    cells = df.select(*key, F.posexplode(vector).alias("in", "_x"))
-    weights = matrix.select("in", F.col("out"), F.col("w").cast("double"))
-    products = cells.join(weights, "in").select(*key, "out", (F.col("_x").cast("double") * F.col("w")).alias("_p"))
-    return products.groupBy(*key, "out").agg(F.sum("_p").alias(out))
+    spark = df.sparkSession
+    rows = cut_lineage(df.select(F.struct(*key).alias("key"), F.col(vector).cast("array<double>").alias("x")).where(F.size("x") > 0))
+    weights = matrix.select(F.col("out").cast("bigint"), F.col("in").cast("bigint"), F.col("w").cast("double"))
+    weights = cut_lineage(weights.where("out is not null and `in` >= 0 and w is not null"))
+    outs, width = weights.agg(F.count_distinct("out"), F.coalesce(F.max("in") + 1, F.lit(0))).first()
+    each, panel = max(1, block_cells // max(1, width)), max(1, block_cells // max(1, width))
+    panels = math.ceil(outs / panel)
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / max(1, outs))))
+    cells = weights.withColumn("panel", F.pmod(F.xxhash64("out"), F.lit(max(1, panels))).cast("int"))
+    dense = cells.groupBy("panel").agg(F.collect_list(F.struct("out", "in", "w")).alias("cells"))
+    dense = cut_lineage(dense.mapInArrow(dense_panels(width), "outs array<bigint>, w binary"))
+    dense = dense.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    key_type = rows.schema["key"].dataType.simpleString()
+    blocks = rows.mapInArrow(stack_rows(width, each), f"block bigint, keys array<{key_type}>, x binary")
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    products = blocks.join(dense, "part").select("keys", "x", "outs", "w").mapInArrow(
+        block_product(width), f"keys array<{key_type}>, outs array<bigint>, ys array<array<double>>"
+    )
+    each_row = products.select("outs", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("ys").alias("ys"))))
+    each_cell = each_row.select("key.*", F.inline(F.arrays_zip(F.col("outs").alias("out"), F.col("ys").alias(out))))
+    return each_cell.withColumn("out", F.col("out").cast(matrix.schema["out"].dataType)).select(*key, "out", out)
+
+
+def dense_panels(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cells of a panel as a dense matrix, a row an input and a column an output."""
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cells in batch.column("cells"):
+                out, inner, w = (cells.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                outs, column = np.unique(out, return_inverse=True)
+                panel = np.zeros((width, len(outs)))
+                np.add.at(panel, (inner, column), w)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([outs], pa.list_(pa.int64())), pa.array([panel.tobytes()], pa.binary())], names=["outs", "w"]
+                )
+
+    return dense
+
+
+def stack_rows(width: int, each: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Vectors in dense blocks of at most ``each`` rows, cut or filled up with 0 to ``width``."""
+
+    def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, each):
+                part = batch.slice(at, each)
+                cells, ends = part.column("x").flatten(), part.column("x").value_lengths().to_numpy().cumsum()
+                sizes = np.diff(ends, prepend=0)
+                place = np.arange(len(cells)) - np.repeat(ends - sizes, sizes)
+                row, values = np.repeat(np.arange(len(sizes)), sizes), cells.fill_null(0.0).to_numpy(zero_copy_only=False)
+                x = np.zeros((len(sizes), width))
+                inside = place < width
+                x[row[inside], place[inside]] = values[inside]
+                keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column("key")]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), keys, pa.array([x.tobytes()], pa.binary())], names=["block", "keys", "x"]
+                )
+                block += 1
+
+    return stack
+
+
+def block_product(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Products of blocks and panels that have met, a list of outputs per row of the block."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                met = batch.slice(k, 1)
+                outs = met.column("outs")[0].values
+                x = np.frombuffer(met.column("x")[0].as_buffer(), dtype=np.float64).reshape(-1, width)
+                w = np.frombuffer(met.column("w")[0].as_buffer(), dtype=np.float64).reshape(width, len(outs))
+                y = x @ w
+                rows = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(y) + 1) * len(outs), pa.int32()), pa.array(y.reshape(-1))
+                )
+                ys = pa.ListArray.from_arrays(pa.array([0, len(y)], pa.int32()), rows)
+                yield pa.RecordBatch.from_arrays([met.column("keys"), met.column("outs"), ys], names=["keys", "outs", "ys"])
+
+    return multiply
