@@ -1,10 +1,13 @@
 """Streams against their batch results."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from vectext.session import CUTS, cut_lineage, drop_cuts, new_shared_path, shared_folder
 from vectext.streaming import streams as st
+from vectext.streaming.state import first_rows, score_collected
 
 
 def add_file(spark, folder, number, rows):
@@ -57,6 +60,87 @@ def test_bounded_dedup(spark, tmp_path):
     assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [1, 3, 5000]
 
 
+def test_late_rows_and_restart(spark, tmp_path):
+    """Winners whatever the arrival; a row later than the delay is dropped; a new query goes on from the state."""
+    out = f"{tmp_path}/out"
+
+    def run(number, rows):
+        add_file(spark, tmp_path, number, rows)
+        arriving = st.read_files(spark, f"{tmp_path}/in*", SCHEMA).withColumn("at", F.timestamp_seconds(F.col("n")))
+        st.dedup_batches(arriving, out, f"{tmp_path}/state", ["n"], time="at", delay_seconds=100).awaitTermination()
+        return sorted((r["text"], r["n"]) for r in spark.read.parquet(out).collect())
+
+    assert run(0, [("a", 500), ("a", 480), ("b", 500), ("b", 300)]) == [("a", 480), ("b", 300), ("b", 500)]
+    # The watermark is 400: earlier rows are late, a row before the kept one replaces it.
+    assert run(1, [("a", 420), ("c", 10), ("a", 520)]) == [("a", 420), ("a", 480), ("b", 300), ("b", 500)]
+
+
+def test_dedup_reads_nothing_back(spark, tmp_path):
+    """What earlier batches have written may be gone: the state alone decides."""
+    out = f"{tmp_path}/out"
+    for number, rows in enumerate(([("a", 5), ("b", 6)], [("a", 7), ("b", 1), ("c", 2)])):
+        add_file(spark, tmp_path, number, rows)
+        arriving = st.read_files(spark, f"{tmp_path}/in*", SCHEMA)
+        first = first_rows(arriving, F.col("text"), ["n"])
+        st.score_batches(first, lambda rows: rows, f"{out}{number}", f"{tmp_path}/state").awaitTermination()
+    assert sorted((r["text"], r["n"]) for r in spark.read.parquet(f"{out}1").collect()) == [("b", 1), ("c", 2)]
+
+
+def scored(frame):
+    if (frame["n"] == 13).any():
+        raise RuntimeError("scorer down")
+    return frame.assign(score=frame["n"] * 2.0, size=len(frame))
+
+
+OUT = "text string, n int, score double, size int"
+
+
+def collected(spark, tmp_path, rows, wait_seconds):
+    """Runs the collecting query until it has written so many rows and seen all files, then stops it."""
+    arriving = st.read_files(spark, f"{tmp_path}/in*", SCHEMA, files_per_batch=1)
+    stream, out = score_collected(arriving, scored, OUT, size=4, wait_seconds=wait_seconds), f"{tmp_path}/out"
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/state")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)  # a store a partition
+    query, got, since = writer.trigger(processingTime="500 milliseconds").start(), [], time.monotonic()
+    try:
+        while time.monotonic() - since < 60 and query.exception() is None:
+            time.sleep(0.5)
+            read = sum(p.numInputRows for p in query.recentProgress)
+            got = spark.read.schema(WHOLE).parquet(out).collect() if query.recentProgress else []
+            if len(got) >= rows and read:
+                break
+    finally:
+        query.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert query.exception() is None
+    return got
+
+
+WHOLE = f"{OUT}, lane int, batch bigint, error string"
+
+
+def test_batches_close_by_size(spark, tmp_path):
+    add_file(spark, tmp_path, 0, [("x", k) for k in range(3)])
+    # Three wait in the state; a restarted query fills their batch up, and the rest waits again.
+    assert collected(spark, tmp_path, 0, 3600) == []
+    add_file(spark, tmp_path, 1, [("x", k) for k in range(3, 10)])
+    got = collected(spark, tmp_path, 8, 3600)
+    assert sorted(r["n"] for r in got) == list(range(8))
+    assert {(r["batch"], r["size"]) for r in got} == {(0, 4), (1, 4)} and all(r["score"] == 2 * r["n"] for r in got)
+    # A failing scorer marks all rows of its batch, and no other.
+    add_file(spark, tmp_path, 2, [(None, 13), ("x", 14)] + [("x", k) for k in range(20, 24)])
+    got = collected(spark, tmp_path, 16, 3600)
+    by_batch = {b: [r for r in got if r["batch"] == b] for b in (2, 3)}
+    assert all(r["error"] == "RuntimeError: scorer down" and r["score"] is None for r in by_batch[2]) and len(by_batch[2]) == 4
+    assert {r["n"] for r in by_batch[2]} == {8, 9, 13, 14} and all(r["error"] is None for r in by_batch[3])
+
+
+def test_batches_close_by_time(spark, tmp_path):
+    add_file(spark, tmp_path, 0, [("x", k) for k in range(6)])
+    rows = collected(spark, tmp_path, 6, 1)
+    assert sorted((r["batch"], r["size"]) for r in rows) == [(0, 4)] * 4 + [(1, 2)] * 2
+
+
 def test_scored_batches(spark, tmp_path):
     for i in range(3):
         add_file(spark, tmp_path, i, [("x" * i, i)])

@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vectext import fixed_values as fx
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    name = stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed_hash(seed: int | str, *parts: Column | str) -> Column:
     """SHA-256 hex of ``seed|part|part``: the same value in any layout or run."""
     columns = [F.col(p) if isinstance(p, str) else p for p in parts]

@@ -229,12 +229,12 @@ def linear_head(
     weights = matrix.select(F.col("out").cast("bigint"), F.col("in").cast("bigint"), F.col("w").cast("double"))
     weights = cut_lineage(weights.where("out is not null and `in` >= 0 and w is not null"))
     outs, width = weights.agg(F.count_distinct("out"), F.coalesce(F.max("in") + 1, F.lit(0))).first()
-    each, panel = max(1, block_cells // max(1, width)), max(1, block_cells // max(1, width))
-    panels = math.ceil(outs / panel)
+    each = max(1, block_cells // max(1, width))
+    panels = math.ceil(outs / each)
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / max(1, outs))))
     cells = weights.withColumn("panel", F.pmod(F.xxhash64("out"), F.lit(max(1, panels))).cast("int"))
     dense = cells.groupBy("panel").agg(F.collect_list(F.struct("out", "in", "w")).alias("cells"))
-    dense = cut_lineage(dense.mapInArrow(dense_panels(width), "outs array<bigint>, w binary"))
+    dense = dense.mapInArrow(dense_panels(width), "outs array<bigint>, w binary")
     dense = dense.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     key_type = rows.schema["key"].dataType.simpleString()
     blocks = rows.mapInArrow(stack_rows(width, each), f"block bigint, keys array<{key_type}>, x binary")

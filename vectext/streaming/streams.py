@@ -6,12 +6,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from vectext import fixed_values as fx
 from vectext.functions import text as tx
 from vectext.functions.keys import text_key
 from vectext.operators.lookups import first_per_key
+from vectext.streaming.state import first_rows
 
 
 def read_files(spark: SparkSession, folder: str, schema, name: str | None = None, files_per_batch: int = 64) -> DataFrame:
@@ -49,31 +49,14 @@ def dedup_batches(
 ) -> StreamingQuery:
     """Keep the first row in ``order`` per opening text over all batches, all columns.
 
-    A batch folder gets the batch's first rows, but for openings of which an
-    earlier batch holds a row before them; a row that comes before one already
-    kept is added, and :func:`deduped` then picks it. So the result depends on
-    the rows alone, not on arrival, and equals the batch operator's. Earlier
-    batches are looked up by key and order columns only. With a ``time`` column
-    only rows of the last ``delay_seconds`` before the batch's earliest are
-    looked up, which bounds the table that a batch reads.
+    The least order of every opening is kept in the state store, so a batch
+    reads nothing of what earlier ones have written. A row that comes before one
+    already kept is added, and :func:`deduped` then picks it: the result depends
+    on the rows alone, not on arrival, and equals the batch operator's. With a
+    ``time`` column see :func:`first_rows` for what is late and what is forgotten.
     """
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        keyed = batch.withColumn("prefix", text_key(tx.prefix_key(F.col(text), chars)))
-        first = first_per_key(keyed, ["prefix"], order).select(*keyed.columns)
-        if number:
-            kept = spark.read.schema(StructType([*first.schema.fields, StructField("batch", LongType())])).parquet(path).where(F.col("batch") < number)
-            if time is not None:
-                since = first.agg(F.min(time)).first()[0]
-                kept = kept.where(F.col(time) >= F.lit(since) - F.make_dt_interval(secs=F.lit(delay_seconds)))
-            known = kept.groupBy("prefix").agg(F.min(F.struct(*order)).alias("_known"))
-            first = first.join(known, "prefix", "left").where(
-                F.col("_known").isNull() | (F.struct(*order) < F.col("_known"))
-            ).drop("_known")
-        first.write.mode("overwrite").parquet(batch_path(path, number))
-
-    return each_batch(stream, run, checkpoint)
+    keyed = stream.withColumn("prefix", text_key(tx.prefix_key(F.col(text), chars)))
+    return resume_into(first_rows(keyed, F.col("prefix"), order, time, delay_seconds), path, checkpoint)
 
 
 def deduped(spark: SparkSession, path: str, order: Sequence[str]) -> DataFrame:
