@@ -285,3 +285,19 @@ def test_shard_plan(spark):
     assert got == [(0, 100, 2), (1, 102, 2), (2, 104, 2), (3, 106, 4)]
     at = spark.range(100, 110).select(ly.shard_of(F.col("id"), 100, 10, 4).alias("s"))
     assert [r["s"] for r in at.collect()] == [0, 0, 1, 1, 2, 2, 3, 3, 3, 3]
+
+
+HELPERS = ["_hash", "_block", "_inside", "_before", "_key", "_share", "_copy"]
+
+
+@pytest.mark.parametrize("run", [
+    lambda df: ly.shuffle_rows(df, "id"), lambda df: ix.hash_rank(df, 1, "id"), lambda df: ly.fan_out(df, 1, "id"),
+    lambda df: cp.dedup_prefix(df, ["id"]), lambda df: lk.lookup_join(df, df.select(F.col("id"), F.lit(1).alias("more")), "id", ["id"]),
+], ids=["shuffle_rows", "hash_rank", "fan_out", "dedup_prefix", "lookup_join"])
+def test_helpers_leave_columns_of_their_names(spark, run):
+    df = spark.range(20).withColumn("text", F.col("id").cast("string"))
+    for name in HELPERS:
+        df = df.withColumn(name, F.concat(F.lit(name), F.col("id")))
+    got = run(df)
+    assert set(df.columns) <= set(got.columns)
+    assert sorted(map(tuple, got.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))

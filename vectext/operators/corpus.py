@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from vectext import fixed_values as fx
 from vectext.functions import text as tx
-from vectext.functions.keys import text_key
+from vectext.functions.keys import free_name, text_key
 from vectext.operators.index import BLOCK_ROWS, scan_blocks
 from vectext.operators.lookups import first_per_key
 from vectext.session import cut_lineage
@@ -45,8 +45,9 @@ def dedup_prefix(
     Copies are combined on the map side, so a text that makes up a third of the
     corpus reaches its reducer as one row per map task.
     """
-    keyed = df.withColumn("_key", text_key(tx.prefix_key(F.col(text), chars)))
-    return first_per_key(keyed, ["_key"], order).drop("_key").select(*df.columns)
+    key = free_name(df, "_key")
+    keyed = df.withColumn(key, text_key(tx.prefix_key(F.col(text), chars)))
+    return first_per_key(keyed, [key], order).select(*df.columns)
 
 
 def first_n(

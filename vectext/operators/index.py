@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vectext.functions.keys import keyed_hash
+from vectext.functions.keys import free_name, keyed_hash
 from vectext.session import cut_lineage
 
 BLOCK_ROWS = 65536
@@ -43,15 +43,16 @@ def hash_rank(
     :func:`global_index`.
     """
     digits = hash_digits(df.count() if rows is None else rows)
-    hashed = df.withColumn("_hash", keyed_hash(seed, key)).withColumn("_block", F.substring("_hash", 1, digits))
-    counts = hashed.groupBy("_block").agg(F.count("*").alias("_rows"))
-    offsets = block_offsets(counts, [], "_block", "_rows")
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy("_hash"))
+    hash_name, block, place, before = (free_name(df, c) for c in ("_hash", "_block", "_inside", "_before"))
+    hashed = df.withColumn(hash_name, keyed_hash(seed, key)).withColumn(block, F.substring(hash_name, 1, digits))
+    counts = hashed.groupBy(block).agg(F.count("*").alias("_rows"))
+    offsets = block_offsets(counts, [], block, "_rows").withColumnRenamed("_before", before)
+    inside = F.row_number().over(Window.partitionBy(block).orderBy(hash_name))
     return (
-        hashed.withColumn("_inside", inside)
-        .join(offsets, "_block")
-        .withColumn(out, (F.col("_before") + F.col("_inside") - 1).cast("bigint"))
-        .drop("_hash", "_block", "_inside", "_before")
+        hashed.withColumn(place, inside)
+        .join(offsets, block)
+        .withColumn(out, (F.col(before) + F.col(place) - 1).cast("bigint"))
+        .drop(hash_name, block, place, before)
     )
 
 

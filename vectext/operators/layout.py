@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vectext.functions.keys import hash_number, keyed_hash
+from vectext.functions.keys import free_name, hash_number, keyed_hash
 from vectext.operators.index import global_index, group_rank, hash_rank
 from vectext.session import cut_lineage
 
@@ -23,9 +23,10 @@ def shuffle_rows(
     """
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashed = df.withColumn("_hash", keyed_hash(f"{seed}|{dataset}", key))
-    part = F.floor(hash_number(F.col("_hash"), 7) * partitions / 16**7).cast("int")
-    return hashed.repartitionById(partitions, part).sortWithinPartitions("_hash").drop("_hash")
+    name = free_name(df, "_hash")
+    hashed = df.withColumn(name, keyed_hash(f"{seed}|{dataset}", key))
+    part = F.floor(hash_number(F.col(name), 7) * partitions / 16**7).cast("int")
+    return hashed.repartitionById(partitions, part).sortWithinPartitions(name).drop(name)
 
 
 def permute_column(df: DataFrame, key: str, column: str, seed: int = 42, dataset: str = "") -> DataFrame:
@@ -111,12 +112,13 @@ def epoch_batches(
 
 def fan_out(df: DataFrame, samples: int, order: str) -> DataFrame:
     """Every prompt ``samples`` times, with group and running sample numbers."""
+    copy = free_name(df, "_copy")
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint")))
     return (
-        df.withColumn("_copy", copies)
+        df.withColumn(copy, copies)
         .withColumn("group_index", F.col(order))
-        .withColumn("index", F.col(order) * samples + F.col("_copy"))
-        .drop("_copy")
+        .withColumn("index", F.col(order) * samples + F.col(copy))
+        .drop(copy)
     )
 
 

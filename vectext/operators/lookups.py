@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vectext.functions.keys import free_name
+
 
 def last_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest ``order`` per key, combined before the shuffle."""
@@ -29,11 +31,12 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, spread: Sequence[st
     table's side being repeated for the pieces. Null keys have no partner; they
     are spread over all tasks by a hash of the ``spread`` columns.
     """
+    share = free_name(rows, free_name(table, "_share"))
     alone = F.when(F.col(key).isNull(), F.xxhash64(*spread)).otherwise(F.lit(0).cast("bigint"))
     return (
-        rows.withColumn("_share", alone)
-        .join(table.withColumn("_share", F.lit(0).cast("bigint")), [key, "_share"], how)
-        .drop("_share")
+        rows.withColumn(share, alone)
+        .join(table.withColumn(share, F.lit(0).cast("bigint")), [key, share], how)
+        .drop(share)
     )
 
 

@@ -177,7 +177,7 @@ def run_job(spark, folder, steps):
     config = {
         "output": new_shared_path(spark, "job"), "base_model": "org/m", "layer_index": 2, "width": 3,
         "corpus": {"path": corpus, "name": "documents", "start": 0, "length": docs.count()},
-        "base": {"positions_per_doc": 3, "extractor": "vectext.plans.sample_plugins.ShapeExtractor"},
+        "base": {"positions_per_doc": fx.POSITIONS_PER_DOC, "extractor": "vectext.plans.sample_plugins.ShapeExtractor"},
         "explain": {
             "provider": "vectext.plans.sample_plugins.LengthProvider", "chunk_size": 50, "rows_per_file": 150, "files_per_batch": 2,
         },
@@ -186,7 +186,7 @@ def run_job(spark, folder, steps):
     return jobs.run_job(spark, config, steps)
 
 
-JOB = f"""{ins.positions_sql(3, [])},
+JOB = f"""{ins.positions_sql(fx.POSITIONS_PER_DOC, [])},
 base AS (SELECT 'documents:train:' || doc_id AS doc_id, length(array_to_string(t[1:position + 1], ' ')) AS n FROM sampled),
 {SPLIT},
 judged AS (SELECT split, CASE WHEN n % 7 = 0 THEN 'provider_returned_none' WHEN n % 7 = 1 THEN 'too_few_features' END AS reason
