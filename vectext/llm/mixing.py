@@ -309,12 +309,12 @@ def mix_sources(
 
 def mixed_rows(df: DataFrame, places: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` as often as the mixture reads them, all columns kept."""
-    n = free_name(df, "_reads")
+    n, mix_id, mix_hash, mix_n = (free_name(df, c) for c in ("_reads", "_mix_id", "_mix_hash", "_mix_n"))
     keyed = df.withColumn(n, F.xxhash64(text_of(text)))
-    reads = places.groupBy(F.col(id).alias("_mix_id"), F.col("text_hash").alias("_mix_hash")).agg(F.count("*").alias("_mix_n"))
+    reads = places.groupBy(F.col(id).alias(mix_id), F.col("text_hash").alias(mix_hash)).agg(F.count("*").alias(mix_n))
     copies = keyed.groupBy(F.col(id).alias("_row_id"), F.col(n).alias("_row_hash")).agg(F.count("*").alias("_row_n"))
-    same = F.col("_mix_id").eqNullSafe(F.col("_row_id")) & (F.col("_mix_hash") == F.col("_row_hash"))
+    same = F.col(mix_id).eqNullSafe(F.col("_row_id")) & (F.col(mix_hash) == F.col("_row_hash"))
     # Rows repeated in id and text share their reads: each gets its part, rounded up for the sum never to fall short.
-    each = reads.join(copies, same).select("_mix_id", "_mix_hash", F.ceil(F.col("_mix_n") / F.col("_row_n")).alias("_mix_n"))
-    joined = keyed.join(each, F.col(id).eqNullSafe(F.col("_mix_id")) & (F.col(n) == F.col("_mix_hash")))
-    return joined.withColumn(n, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_n")))).select(*df.columns)
+    each = reads.join(copies, same).select(mix_id, mix_hash, F.ceil(F.col(mix_n) / F.col("_row_n")).alias(mix_n))
+    joined = keyed.join(each, F.col(id).eqNullSafe(F.col(mix_id)) & (F.col(n) == F.col(mix_hash)))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(mix_n)))).select(*df.columns)

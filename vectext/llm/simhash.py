@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from vectext.llm.components import connected, join_roots
-from vectext.llm.streams import group_starts, text_of, whole_groups
+from vectext.llm.streams import free_name, group_starts, text_of, whole_groups
 from vectext.session import cut_lineage
 
 BITS = 64
@@ -226,8 +226,9 @@ def drop_near_duplicates(
     """
     groups = near_duplicates(df, id, text, width, distance)
     order = F.struct(F.col(id).isNull().alias("unknown"), F.col(id).alias("id"), F.col("text_hash").alias("hash"))
+    stays_id, stays_hash = free_name(df, "_stays_id"), free_name(df, "_stays_hash")
     stays = groups.groupBy("node").agg(F.min(order).alias("row")).select(
-        F.col("row.id").alias("_stays_id"), F.col("row.hash").alias("_stays_hash")
+        F.col("row.id").alias(stays_id), F.col("row.hash").alias(stays_hash)
     )
-    same = F.col(id).eqNullSafe(F.col("_stays_id")) & (F.xxhash64(text_of(text)) == F.col("_stays_hash"))
+    same = F.col(id).eqNullSafe(F.col(stays_id)) & (F.xxhash64(text_of(text)) == F.col(stays_hash))
     return df.join(stays, same, "left_semi")
