@@ -86,7 +86,10 @@ class TextEncoder:
         if kind not in ("bytes", "words", "whole"):
             raise ValueError(f"unknown kind {kind}")
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Added tokens are found in the text before it is cut, some in its normal form, so in any case of letters.
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
+        self.added_first = {c for t in added for c in (t[:1], t[:1].upper(), t[:1].lower())}
         self.first, self.spaced = Words(self.tokenizer), Words(self.tokenizer, " ")
 
     def encode(self, text: str) -> bytes:
