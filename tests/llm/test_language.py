@@ -55,11 +55,40 @@ def test_code_lengths(monkeypatch):
     model = language.Model(counts_of(TRAIN))
     rnd = random.Random(1)
     texts = ["", "the cat", "le chat où", "ZZZ 123 ### the", "中文", "a" * 50] + ["".join(rnd.choices("the rat chlou à1#", k=30)) for _ in range(40)]
-    for text in texts:
-        want = [plain_bits(TRAIN[name], text) for name in model.names]
-        assert model.bits(text) == pytest.approx(want, rel=1e-5)
+    want = np.array([[plain_bits(TRAIN[name], text) for name in model.names] for text in texts])
+    assert model.bits(texts) == pytest.approx(want, rel=1e-5)
+    for text, bits in zip(texts, want):
+        assert model.bits([text])[0] == pytest.approx(bits, rel=1e-5)
     monkeypatch.setattr(language, "WINDOW", 7)  # windows do not change a code length
-    assert model.bits(texts[10]) == pytest.approx([plain_bits(TRAIN[n], texts[10]) for n in model.names], rel=1e-5)
+    assert model.bits(texts) == pytest.approx(want, rel=1e-5)
+
+
+def test_many_languages_of_several_scripts(spark):
+    """300 languages, each of its own letters: all are learned, and the model stays small."""
+    letters = [chr(c) for start, end in ((0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x4E00, 0x4F00), (0x61, 0x7A)) for c in range(start, end)]
+    rnd = random.Random(3)
+    rows, asked = [], []
+    for k in range(300):
+        mine = rnd.sample(letters, 12)
+        words = ["".join(rnd.choices(mine, k=rnd.randint(2, 6))) for _ in range(40)]
+        rows += [(1000 * k + j, " ".join(rnd.choices(words, k=30)), f"l{k:03d}") for j in range(4)]
+        asked.append((k, " ".join(rnd.choices(words, k=20))))
+    counts = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(counts.grams) == 300
+    trees = language.Model(counts).trees
+    held = sum(part.nbytes for tree in trees for depth in tree.depths for part in depth)
+    assert held <= 20 * 4 * sum(map(len, counts.grams.values()))
+    got = language.predict_language(spark.createDataFrame(asked, "doc_id bigint, text string"), counts)
+    right = got.where(F.col("predicted.lang_pred") == F.format_string("l%03d", "doc_id")).count()
+    assert right >= 297
+
+
+def test_a_column_of_the_output_name(spark):
+    df = spark.createDataFrame([(1, "a", 2)], "doc_id bigint, text string, predicted int")
+    counts = language.Counts({}, {})
+    with pytest.raises(ValueError, match="name another"):
+        language.predict_language(df, counts)
+    assert language.predict_language(df, counts, out="guess").select("predicted", "guess.*").first() == (2, "und", 0.0)
 
 
 def test_learning_and_predicting(spark):

@@ -10,26 +10,28 @@ nothing is known. A text's language is the one that codes all its bytes, in
 lower case, in the fewest bits; the score is that language's share of
 ``2 ** -bits`` over all languages.
 
-As the statistics are frozen, all escapes can be summed when a worker first
-builds a language: contexts seen at full depth have a row of code lengths, the
-others share the row of their longest known end, and a text is scored by two
-lookups per byte and language, whole.
+As the statistics are frozen, a run of ``order`` + 1 bytes has one code length per
+language. Texts are scored in windows of at most ``WINDOW`` bytes: the distinct runs
+of a window are looked up in each language's sorted contexts, from the deepest
+down, and the code lengths are added up per text. A text of any length is scored
+whole, in as many windows as it needs.
 
-The model is the counts, bounded by ``languages * sample_docs`` texts; built up
-in a worker it takes ``4 * (A ** 3 + A * rows)`` bytes per language for an
-alphabet of A bytes. Bytes never seen in training share one letter of the
-alphabet, which changes no code length, as none has seen it in any context.
+The model is the counts, bounded by ``languages * sample_docs`` texts: 8 bytes for
+each distinct run of a language at the driver, and 8 for each distinct run of each
+depth in a worker. There may be any number of languages; the model is broadcast, so
+a label column must hold languages, not a value per row.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every
 text if there is nothing to learn from. Ties go to the first name in order.
 Repeated rows are predicted alike; rows without id or label are predicted too,
-the latter are just not learned from.
+the latter are just not learned from. An empty table gives an empty result. A
+column of the name of ``out`` is an error; all other columns stay as they are.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,9 +42,8 @@ from pyspark.sql.functions import pandas_udf
 
 UNKNOWN = "und"
 ORDER = 3
-#: Labelled texts learned from, per language, and the most languages.
+#: Labelled texts learned from, per language.
 SAMPLE_DOCS = 300
-MAX_LANGUAGES = 256
 WINDOW = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 START = b"\n" * ORDER
@@ -67,15 +68,10 @@ def sample(labelled: DataFrame, docs: int) -> DataFrame:
     A first cut by hash keeps a few times as many, so that ranking never
     gathers a frequent language in one task.
     """
-    totals = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    shares = {r["lang"]: min(1.0, 4.0 * docs / r["n"]) for r in totals}
-    if not shares:
-        return labelled.limit(0)
-    hashed = labelled.withColumn("order", F.xxhash64("id"))
-    limit = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
-    near = hashed.where(F.shiftrightunsigned("order", 1) / F.lit(2.0**63) <= limit)
+    totals = labelled.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("n"))
+    shares = totals.select("of_lang", F.least(F.lit(1.0), F.lit(4.0 * docs) / F.col("n")).alias("share"))
+    hashed = labelled.withColumn("order", F.xxhash64("id")).join(shares, F.col("lang") == F.col("of_lang"))
+    near = hashed.where(F.shiftrightunsigned("order", 1) / F.lit(2.0**63) <= F.col("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
     return near.withColumn("rank", rank).where(F.col("rank") <= docs).select("lang", "text")
 
@@ -87,93 +83,107 @@ def count_grams(texts: DataFrame) -> Counts:
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
                 grams, n = np.unique(windows(text_bytes(text)), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": n})
+                yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int32), "n": n})
 
-    rows = texts.mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    frame = rows.toPandas().sort_values(["lang", "gram"])
-    parts = {lang: part for lang, part in frame.groupby("lang")}
-    return Counts(
-        {k: p["gram"].to_numpy().astype(np.uint32) for k, p in parts.items()}, {k: p["n"].to_numpy() for k, p in parts.items()}
-    )
+    rows = texts.mapInPandas(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").cast("int").alias("n"))
+    # One row per language; its runs are bounded by the sample.
+    runs = F.collect_list(F.struct("gram", "n")).alias("runs")
+    frame = rows.groupBy("lang").agg(runs).select("lang", "runs.gram", "runs.n").toPandas()
+    grams = {lang: np.asarray(gram, dtype=np.int32).view(np.uint32) for lang, gram in zip(frame["lang"], frame["gram"])}
+    counts = {lang: np.asarray(n, dtype=np.int64) for lang, n in zip(frame["lang"], frame["n"])}
+    return Counts(grams, counts)
 
 
-def windows(letters: np.ndarray, base: int = 256) -> np.ndarray:
-    """Each byte with the ``ORDER`` bytes before it, as one number."""
-    n = len(letters) - ORDER
-    out = np.zeros(max(n, 0), dtype=np.int64)
+def windows(letters: np.ndarray) -> np.ndarray:
+    """Each byte with the ``ORDER`` bytes before it, as one number; the byte itself is lowest."""
+    n = max(len(letters) - ORDER, 0)
+    out = np.zeros(n, dtype=np.uint32)
     for k in range(ORDER + 1):
-        out = out * base + letters[k:k + len(out)]
+        out = out << np.uint32(8) | letters[k:k + n]
     return out
 
 
+def last_bytes(grams: np.ndarray, count: int) -> np.ndarray:
+    return grams & np.uint32(256**count - 1)
+
+
+def found_in(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``asked`` in the sorted ``known``, and which of them are there."""
+    at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+    return at, known[at] == asked if len(known) else np.zeros(len(asked), dtype=bool)
+
+
 class Tree:
-    """One language's code lengths, all contexts resolved."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, letter: np.ndarray, size: int) -> None:
-        bytes_ = np.stack([(grams >> np.uint32(8 * k)) & np.uint32(255) for k in range(ORDER, -1, -1)])
-        letters = letter[bytes_].astype(np.int64)
-        symbol = letters[ORDER]
-        # Rows of the next shorter depth, and the row of each context there.
-        rows = np.full((1, size), 8.0)
-        row_of = np.zeros(1, dtype=np.int64)
+    """One language's contexts: per depth the known runs with their code lengths, and the contexts with their escapes."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        self.depths = []
         for depth in range(ORDER + 1):
-            context = np.zeros(len(symbol), dtype=np.int64)
-            for k in range(ORDER - depth, ORDER):
-                context = context * size + letters[k]
-            shorter = np.arange(size**depth) % size ** max(depth - 1, 0)
-            known, place = np.unique(context, return_inverse=True)
-            table = np.bincount(place * size + symbol, weights=counts, minlength=len(known) * size).reshape(-1, size)
-            total, kinds = table.sum(axis=1), (table > 0).sum(axis=1)
-            inherited = row_of[shorter]
-            escape = -np.log2(kinds / (total + kinds))
-            lengths = escape[:, None] + rows[inherited[known]]
-            seen = table > 0
-            lengths[seen] = -np.log2((table / (total + kinds)[:, None])[seen])
-            row_of = inherited.copy()
-            row_of[known] = len(rows) + np.arange(len(known))
-            rows = np.concatenate([rows, lengths])
-        self.size = size
-        self.row_start = (row_of * size).astype(np.int32)
-        self.bits = rows.astype(np.float32).reshape(-1)
-
-    def cost(self, contexts: np.ndarray, symbols: np.ndarray) -> float:
-        return float(self.bits[self.row_start[contexts] + symbols].sum(dtype=np.float64))
+            runs, place = np.unique(last_bytes(grams, depth + 1), return_inverse=True)
+            seen = np.bincount(place, weights=counts, minlength=len(runs))
+            contexts, of = np.unique(runs >> np.uint32(8), return_inverse=True)
+            total = np.bincount(of, weights=seen, minlength=len(contexts))
+            kinds = np.bincount(of, minlength=len(contexts))
+            bits = np.log2((total + kinds)[of] / seen)
+            escapes = np.log2((total + kinds) / kinds)
+            self.depths.append((runs, bits.astype(np.float32), contexts, escapes.astype(np.float32)))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each run, from its longest known context down."""
+        cost = np.zeros(len(grams))
+        left = np.arange(len(grams))
+        for depth in range(ORDER, -1, -1):
+            runs, bits, contexts, escapes = self.depths[depth]
+            asked = last_bytes(grams[left], depth + 1)
+            at, known = found_in(runs, asked)
+            cost[left[known]] += bits[at[known]]
+            left, asked = left[~known], asked[~known]
+            at, known = found_in(contexts, asked >> np.uint32(8))
+            cost[left[known]] += escapes[at[known]]
+        cost[left] += 8.0
+        return cost
 
 
 class Model:
     """The languages of some counts, ready to score."""
 
     def __init__(self, counts: Counts) -> None:
-        seen = np.zeros(256, dtype=bool)
-        for grams in counts.grams.values():
-            for k in range(ORDER + 1):
-                seen[np.unique((grams >> np.uint32(8 * k)) & np.uint32(255))] = True
-        self.letter = np.full(256, seen.sum(), dtype=np.int32)
-        self.letter[seen] = np.arange(seen.sum())
-        self.size = int(seen.sum()) + 1
         self.names = sorted(counts.grams)
-        self.trees = [Tree(counts.grams[n], counts.counts[n], self.letter, self.size) for n in self.names]
-
-    def bits(self, text: str) -> np.ndarray:
-        """Code length of the whole text in each language."""
-        letters = self.letter[text_bytes(text)]
-        total = np.zeros(len(self.trees))
-        for at in range(0, len(letters) - ORDER, WINDOW):
-            part = letters[at:at + WINDOW + ORDER]
-            n = len(part) - ORDER
-            contexts = np.zeros(n, dtype=np.int32)
-            for k in range(ORDER):
-                contexts = contexts * np.int32(self.size) + part[k:k + n]
-            symbols = part[ORDER:]
-            total += [tree.cost(contexts, symbols) for tree in self.trees]
+        self.trees = [Tree(counts.grams[n], counts.counts[n]) for n in self.names]
+
+    def bits(self, texts: Sequence[str]) -> np.ndarray:
+        """Code length of each whole text in each language."""
+        total = np.zeros((len(texts), len(self.trees)))
+        held: list[np.ndarray] = []
+        owners: list[int] = []
+        size = 0
+        for k, text in enumerate(texts):
+            letters = text_bytes(text)
+            for at in range(0, len(letters) - ORDER, WINDOW):
+                held.append(windows(letters[at:at + WINDOW + ORDER]))
+                owners.append(k)
+                size += len(held[-1])
+                if size >= WINDOW:
+                    self.add(held, owners, total)
+                    held, owners, size = [], [], 0
+        if held:
+            self.add(held, owners, total)
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.trees or text is None or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        bits = self.bits(text)
-        best = int(np.argmin(bits))
-        return self.names[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
+    def add(self, held: list[np.ndarray], owners: list[int], total: np.ndarray) -> None:
+        runs, place = np.unique(np.concatenate(held), return_inverse=True)
+        piece = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        for k, tree in enumerate(self.trees):
+            bits = np.bincount(piece, weights=tree.bits(runs)[place], minlength=len(held))
+            np.add.at(total[:, k], owners, bits)
+
+    def predict(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        known = [k for k, t in enumerate(texts) if self.trees and t is not None and LETTER.search(t)]
+        for k, bits in zip(known, self.bits([texts[k] for k in known])):
+            best = int(np.argmin(bits))
+            out[k] = (self.names[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()))
+        return out
 
 
 MODELS: dict[str, Model] = {}
@@ -195,11 +205,13 @@ def learn(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str
 
 def predict_language(df: DataFrame, counts: Counts, text: str = "text", out: str = "predicted") -> DataFrame:
     """Adds a struct (lang_pred, score); all other columns stay where they are."""
+    if out.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {out!r}; name another with out=")
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
     @pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
         model = model_of(shared.value)
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(model.predict(list(texts)), columns=["lang_pred", "score"])
 
     return df.withColumn(out, predicted(F.col(text)))
