@@ -52,6 +52,14 @@ def test_votes_are_exact():
         assert got == pytest.approx((weights * labels[best]).sum() / weights.sum(), abs=1e-3)
 
 
+def test_ties_at_the_border_go_to_the_first():
+    rng = np.random.default_rng(7)
+    cosines = np.concatenate([np.full((5, 3000), 0.5), rng.integers(0, 4, (40, 3000)) / 4]).astype(np.float32)
+    for k in (1, 25, 3000):
+        want = np.sort(np.argsort(-cosines, axis=1, kind="stable")[:, :k], axis=1)
+        assert (quality.nearest(cosines, k) == want).all()
+
+
 def test_latent_axes():
     x = np.random.default_rng(2).standard_normal((60, 40)).astype(np.float32) * np.linspace(3, 0.1, 40, dtype=np.float32)
     axes = quality.latent_axes(x, 5)

@@ -115,7 +115,7 @@ class Votes:
             return np.ones(len(counts))
         near = unit(self.weighted(counts) @ self.projection) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        best = nearest(near, k)
         cosines = np.clip(np.take_along_axis(near, best, axis=1).astype(np.float64), 0, 1)
         weights = cosines**SHARPNESS
         total = weights.sum(axis=1)
@@ -125,6 +125,14 @@ class Votes:
         return np.where(total > 0, votes, share)
 
 
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest cosines of each row; of equal ones at the border, the first."""
+    least = np.partition(cosines, -k, axis=1)[:, -k][:, None]
+    above, level = cosines > least, cosines == least
+    level &= np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | level)[1].reshape(len(cosines), k)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
