@@ -56,6 +56,16 @@ def test_kept_rows(spark, keep, clash):
     assert all(tuple(r)[:3] in ROWS for r in rows)
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_columns_without_an_order(spark, keep):
+    marks = F.create_map(F.lit("k"), F.col("n"))
+    df = spark.createDataFrame([(1, "a", 5), (1, "a", 7), (2, "a", 6), (3, "b", 1), (None, "b", 2)], "doc_id bigint, text string, n int")
+    df = df.withColumn("marks", marks).withColumn("nested", F.array(F.struct(marks.alias("m")))).drop("n")
+    rows = exact_dedup.drop_duplicates(df, keep=keep).collect()
+    got = sorted((r["text"], r["doc_id"], r["marks"]["k"], r["nested"][0]["m"]["k"]) for r in rows)
+    assert got == ([("a", 1, 5, 5), ("b", 3, 1, 1)] if keep == "smallest" else [("a", 2, 6, 6), ("b", 3, 1, 1)])
+
+
 def test_hot_text_and_empty_table(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     got = exact_dedup.duplicate_groups(df, keep="largest").where("group_size > 1")

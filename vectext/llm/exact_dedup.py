@@ -9,12 +9,16 @@ are the texts of such hashes read again and joined by their bytes.
 
 Nulls and empties: a null text counts as empty; a null id takes part, and loses
 to any id. Rows repeated in id and text give as many rows, of which one at most
-is kept. Other columns of the input are never touched, whatever their names.
+is kept. Other columns of the input are never touched, whatever their names. Texts of any
+length are hashed and compared whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from vectext.llm.streams import free_name, text_of
 from vectext.session import cut_lineage
@@ -77,7 +81,8 @@ def drop_duplicates(
     """The kept rows, with all their columns.
 
     Whole rows are compared by (id, other columns in their order), so rows that
-    repeat an id have a defined winner as well. One shuffle of each distinct
+    repeat an id have a defined winner as well; a column that has no order, such as
+    a map, is compared by its JSON text. One shuffle of each distinct
     text per input split; nothing is joined back.
     """
     largest = check_keep(keep)
@@ -85,8 +90,15 @@ def drop_duplicates(
     rest = [c for c in df.columns if c not in (id, text)]
     # A null id loses: it is the largest of "smallest" and the smallest of "largest".
     known = F.col(id).isNotNull() if largest else F.col(id).isNull()
-    order = F.struct(known.alias("known"), F.col(id), *[F.col(c) for c in rest], F.col(text).isNull().alias("null"))
-    best = F.max if largest else F.min
+    unordered = {f.name for f in df.schema.fields if f.name in rest and not has_order(f.dataType)}
+
+    def whole_row(value: Callable[[str], Column]) -> Column:
+        return F.struct(known.alias("known"), F.col(id), *[value(c).alias(c) for c in rest], F.col(text).isNull().alias("null"))
+
+    order, best = whole_row(F.col), F.max if largest else F.min
+    if unordered:
+        by = whole_row(lambda c: F.to_json(F.struct(F.col(c))) if c in unordered else F.col(c))
+        best = (lambda row: F.max_by(row, by)) if largest else (lambda row: F.min_by(row, by))
     picked = df.withColumn(key, text_of(text)).withColumn(hash_name, hash_of(F.col(key)))
     picked = picked.groupBy(hash_name, key).agg(best(order).alias(row))
     original = F.when(~F.col(row)["null"], F.col(key))
@@ -95,6 +107,15 @@ def drop_duplicates(
     ])
 
 
+def has_order(kind: DataType) -> bool:
+    """Whether values of a type can be compared: not if a map or a variant is in it."""
+    if isinstance(kind, StructType):
+        return all(has_order(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return has_order(kind.elementType)
+    return not isinstance(kind, (MapType, VariantType))
+
+
 def check_keep(keep: str) -> bool:
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep is smallest or largest, not {keep}")
