@@ -27,9 +27,12 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vectext.llm.streams import free_name, text_of
+from vectext.operators.index import group_rank
 from vectext.session import cut_lineage
 
 SLICE_ROWS = 4096
+#: Reads of one row that are made at once.
+TIMES = 65536
 STEPS = 80
 #: Steps of a bisection whose sums are taken together, 2 ** AHEAD - 1 of them.
 AHEAD = 5
@@ -293,8 +296,9 @@ def mix_sources(
     )
     # As many rows as sources: Spark broadcasts them if they are few, and splits a hot source's rows if not.
     matched = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-    read = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("allowed") - 1) / F.col("size"))))
-    walks = matched.where("allowed > 0").withColumn("pass", read)
+    passes = F.floor((F.col("allowed") - 1) / F.col("size")) + 1
+    most = plan.where("allowed > 0").agg(F.max(passes)).first()[0] or 0
+    walks = repeated(matched.where("allowed > 0"), passes, "pass", most)
     walks = walks.withColumn("order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "pass", "id", "tie"), 1))
     walks = running_tokens(walks, "order")
     walks = walks.withColumn("first", F.col("pass") * F.col("size") + F.col("before")).where("first < allowed")
@@ -307,14 +311,43 @@ def mix_sources(
     ), mix
 
 
+def repeated(df: DataFrame, times: Column, out: str, most: int) -> DataFrame:
+    """Every row ``times`` over, numbered from 0 in ``out``; ``most`` is the largest number.
+
+    Rows that repeat often are made in two steps, blocks of ``TIMES`` first, which
+    are spread over the tasks: neither an array nor a task holds all of them.
+    """
+    if most <= TIMES:
+        return df.withColumn(out, F.explode(F.sequence(F.lit(0).cast("bigint"), times - 1)))
+    n, block = free_name(df, "_times"), free_name(df, "_block")
+    blocks = df.withColumn(n, times).withColumn(block, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / TIMES))))
+    first = F.col(block) * TIMES
+    numbers = F.sequence(first, F.least(first + TIMES, F.col(n)) - 1)
+    return blocks.repartition(n, block, *df.columns[:1]).withColumn(out, F.explode(numbers)).drop(n, block)
+
+
 def mixed_rows(df: DataFrame, places: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` as often as the mixture reads them, all columns kept."""
-    n, mix_id, mix_hash, mix_n = (free_name(df, c) for c in ("_reads", "_mix_id", "_mix_hash", "_mix_n"))
-    keyed = df.withColumn(n, F.xxhash64(text_of(text)))
-    reads = places.groupBy(F.col(id).alias(mix_id), F.col("text_hash").alias(mix_hash)).agg(F.count("*").alias(mix_n))
-    copies = keyed.groupBy(F.col(id).alias("_row_id"), F.col(n).alias("_row_hash")).agg(F.count("*").alias("_row_n"))
-    same = F.col(mix_id).eqNullSafe(F.col("_row_id")) & (F.col(mix_hash) == F.col("_row_hash"))
-    # Rows repeated in id and text share their reads: each gets its part, rounded up for the sum never to fall short.
-    each = reads.join(copies, same).select(mix_id, mix_hash, F.ceil(F.col(mix_n) / F.col("_row_n")).alias(mix_n))
-    joined = keyed.join(each, F.col(id).eqNullSafe(F.col(mix_id)) & (F.col(n) == F.col(mix_hash)))
-    return joined.withColumn(n, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(mix_n)))).select(*df.columns)
+    """The rows of ``df`` as often as the mixture reads them, all columns kept.
+
+    Rows repeated in id and text share their reads, one more to the first of them
+    where the number does not divide.
+    """
+    names = ("_row_hash", "_mix_id", "_mix_hash", "_mix_n", "_copies", "_at", "_of_at", "_rank")
+    row_hash, mix_id, mix_hash, n, copies, at, of_at, place = (free_name(df, c) for c in names)
+    same = F.col(id).eqNullSafe(F.col(mix_id)) & (F.col(row_hash) == F.col(mix_hash))
+    keyed = df.withColumn(row_hash, F.xxhash64(text_of(text)))
+    reads = places.groupBy(F.col(id).alias(mix_id), F.col("text_hash").alias(mix_hash)).agg(F.count("*").alias(n))
+    rows = keyed.groupBy(F.col(id).alias("_of_id"), F.col(row_hash).alias("_of_hash")).agg(F.count("*").alias(copies))
+    of = F.col(mix_id).eqNullSafe(F.col("_of_id")) & (F.col(mix_hash) == F.col("_of_hash"))
+    each = cut_lineage(reads.join(rows, of).select(mix_id, mix_hash, n, copies))
+    single = keyed.join(each.where(F.col(copies) == 1), same)
+    if not each.where(F.col(copies) > 1).isEmpty():
+        alike = keyed.join(each.where(F.col(copies) > 1), same)
+        alike = cut_lineage(alike.withColumn(at, F.monotonically_increasing_id()))
+        rank = group_rank(alike.select(mix_id, mix_hash, at), at, [mix_id, mix_hash], out=place)
+        rank = rank.select(F.col(at).alias(of_at), place)
+        share = F.floor(F.col(n) / F.col(copies)) + (F.col(place) < F.col(n) % F.col(copies)).cast("bigint")
+        alike = alike.join(rank, F.col(at) == F.col(of_at)).withColumn(n, share).where(F.col(n) > 0)
+        single = single.unionByName(alike.select(*single.columns))
+    most = each.agg(F.max(n)).first()[0] or 0
+    return repeated(single, F.col(n), at, most).select(*df.columns)
