@@ -117,6 +117,8 @@ def test_nothing_to_learn_from(spark):
 def test_sample_is_bounded_and_does_not_depend_on_layout(spark):
     df = spark.range(5000).select(F.col("id"), F.concat(F.lit("t"), "id").alias("text"), F.when(F.col("id") % 50 == 0, "rare").otherwise("hot").alias("lang"))
     one, two = (sorted(language.sample(d, 30).collect()) for d in (df, df.repartition(9)))
+    plan = language.sample(df, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # texts are not shuffled before they are cut down
     assert one == two and Counter(r["lang"] for r in one) == {"rare": 30, "hot": 30}
 
 

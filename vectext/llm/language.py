@@ -40,6 +40,8 @@ import regex
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from vectext.session import cut_lineage
+
 UNKNOWN = "und"
 ORDER = 3
 #: Labelled texts learned from, per language.
@@ -69,7 +71,8 @@ def sample(labelled: DataFrame, docs: int) -> DataFrame:
     gathers a frequent language in one task.
     """
     totals = labelled.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("n"))
-    shares = totals.select("of_lang", F.least(F.lit(1.0), F.lit(4.0 * docs) / F.col("n")).alias("share"))
+    # Written, so that its size is known: a small table is sent to the texts, which then stay where they are.
+    shares = cut_lineage(totals.select("of_lang", F.least(F.lit(1.0), F.lit(4.0 * docs) / F.col("n")).alias("share")))
     hashed = labelled.withColumn("order", F.xxhash64("id")).join(shares, F.col("lang") == F.col("of_lang"))
     near = hashed.where(F.shiftrightunsigned("order", 1) / F.lit(2.0**63) <= F.col("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
