@@ -1,0 +1,124 @@
+"""Slices planned from an index of row groups."""
+
+import glob
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from vectext.operators import corpus as cp
+from vectext.sources import row_groups as rg
+
+
+@pytest.fixture
+def corpus(spark, tmp_path):
+    """Four files of 95, 0, 40 and 7 rows in groups of 10; the last lacks a column. Names hold blanks."""
+    at = 0
+    os.makedirs(f"{tmp_path}/in put/sub")
+    for name, n in (("a", 95), ("b", 0), ("sub/c", 40), ("sub/d e", 7)):
+        table = {"text": pa.array([f"t{k}" for k in range(at, at + n)], pa.string())}
+        if name != "sub/d e":
+            table["score"] = pa.array([None if k % 3 else float(k) for k in range(at, at + n)], pa.float64())
+        pq.write_table(pa.table(table), f"{tmp_path}/in put/{name}.parquet", row_group_size=10)
+        at += n
+    return f"{tmp_path}/in put"
+
+
+@pytest.fixture
+def schema(spark):
+    return spark.createDataFrame([], "text string, score double").schema
+
+
+def test_index(spark, corpus, tmp_path):
+    index = rg.build_index(spark, corpus, f"{tmp_path}/index")
+    rows = index.orderBy("before").collect()
+    assert [r["place"] for r in rows] == list(range(15)) and rg.total_rows(index) == 142
+    assert [r["after"] for r in rows[:-1]] == [r["before"] for r in rows[1:]] and rows[0]["before"] == 0
+    assert [r["rows"] for r in rows] == [10] * 9 + [5] + [10] * 4 + [7]
+    with pytest.raises(Exception, match="already exists"):
+        rg.build_index(spark, corpus, f"{tmp_path}/index")
+
+
+@pytest.mark.parametrize("start, length", [(0, 142), (0, 0), (93, 4), (12, 1), (90, 52), (141, 1), (7, 86)])
+def test_slices(spark, corpus, schema, tmp_path, start, length):
+    index = rg.build_index(spark, corpus, f"{tmp_path}/index")
+    got = rg.read_rows(index, schema, start, length).orderBy("row_index").collect()
+    assert [(r["row_index"], r["text"]) for r in got] == [(k, f"t{k}") for k in range(start, start + length)]
+    assert [r["score"] for r in got] == [float(k) if k % 3 == 0 and k < 135 else None for k in range(start, start + length)]
+    by_file = {}
+    for r in got:
+        by_file.setdefault(r["source_file"], []).append(r["source_row"])
+    scanned = spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(corpus)
+    scanned = scanned.select("text", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    want = {r["text"]: (r["f"], r["r"]) for r in scanned.collect()}
+    assert all(want[r["text"]] == (r["source_file"], r["source_row"]) for r in got)
+
+
+def test_groups_outside_are_not_read(spark, corpus, schema, tmp_path):
+    index = rg.build_index(spark, corpus, f"{tmp_path}/index")
+    # Other files are gone, and the other groups of the file hold no data any more.
+    os.remove(f"{corpus}/sub/c.parquet")
+    path = f"{corpus}/a.parquet"
+    meta = pq.read_metadata(path)
+    with open(path, "r+b") as file:
+        for g in (0, 1, 2, 5, 6, 7, 8, 9):
+            for c in range(2):
+                chunk = meta.row_group(g).column(c)
+                file.seek(chunk.dictionary_page_offset or chunk.data_page_offset)
+                file.write(b"\xff" * chunk.total_compressed_size)
+    got = rg.read_rows(index, schema, 32, 15).orderBy("row_index").collect()
+    assert [r["text"] for r in got] == [f"t{k}" for k in range(32, 47)]
+    assert rg.read_rows(index, schema, 0, 100)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    with pytest.raises(Exception):
+        rg.read_rows(index, schema, 0, 5).collect()
+
+
+def test_columns_are_pruned_and_groups_spread(spark, corpus, schema, tmp_path):
+    index = rg.build_index(spark, corpus, f"{tmp_path}/index")
+    got = rg.read_rows(index, spark.createDataFrame([], "text string").schema, 0, 142)
+    assert got.columns == ["text", "source_file", "source_row", "row_index"]
+    tasks = got.select(F.spark_partition_id().alias("p"), F.floor(F.col("source_row") / 10).alias("g"), "source_file").distinct()
+    assert tasks.select("p").distinct().count() == 15 and tasks.count() == 15
+
+
+def test_errors(spark, corpus, schema, tmp_path):
+    index = rg.build_index(spark, corpus, f"{tmp_path}/index")
+    with pytest.raises(ValueError, match="2 found"):
+        rg.read_rows(index, schema, 140, 3)
+    assert rg.read_rows(index, schema, 140, 3, strict=False).count() == 2
+    with pytest.raises(ValueError, match="lineage"):
+        rg.read_rows(index, spark.createDataFrame([], "row_index int").schema, 0, 1)
+    pq.write_table(pa.table({"text": ["other"] * 95, "score": [0.5] * 95}), f"{corpus}/a.parquet")
+    with pytest.raises(Exception, match="changed since"):
+        rg.read_rows(index, schema, 0, 3).collect()
+
+
+def test_empty_folder_of_rows(spark, schema, tmp_path):
+    pq.write_table(pa.table({"text": pa.array([], pa.string())}), f"{tmp_path}/e.parquet")
+    index = rg.build_index(spark, f"{tmp_path}/e.parquet", f"{tmp_path}/index")
+    assert rg.total_rows(index) == 0 and rg.read_rows(index, schema, 0, 0).collect() == []
+
+
+@pytest.mark.parametrize("bounds, want", [("", (0, 95)), ("@[3:9]", (3, 9)), ("@[:4]", (0, 4)), ("@[90:]", (90, 95)), ("@[90:200]", (90, 95)), ("@[200:]", (0, 0))])
+def test_paths(spark, corpus, tmp_path, bounds, want):
+    path = f"{corpus}/a.parquet"
+    index = rg.build_index(spark, path, f"{tmp_path}/index")
+    got = rg.read_path(spark, path + bounds, index, ["text"])
+    assert sorted(r["row_index"] for r in got.collect()) == list(range(*want))
+
+
+def test_first_clean_reads_few_groups(spark, corpus, schema, tmp_path):
+    index = rg.build_index(spark, corpus, f"{tmp_path}/index")
+    asked = []
+
+    def take(rows):
+        asked.append(rows)
+        return rg.read_rows(index, schema, 0, rows)
+
+    got = cp.first_of(take, rg.total_rows(index), 12, lambda part: part.where(F.col("source_row") % 2 == 0))
+    assert sorted(r["text"] for r in got.collect()) == sorted(f"t{k}" for k in range(0, 24, 2))
+    assert max(asked) == 24
+    with pytest.raises(ValueError, match="only"):
+        cp.first_of(take, rg.total_rows(index), 100, lambda part: part.where(F.col("source_row") % 2 == 0))

@@ -94,13 +94,22 @@ def first_clean(
     written, not made again.
     """
     counts = df.select(file).groupBy(file).agg(F.count("*").alias("_rows")).orderBy(file).collect()  # one row per file
-    total, want = sum(r["_rows"] for r in counts), 2 * n
+    total = sum(r["_rows"] for r in counts)
+    return first_of(lambda rows: df.where(among_first(counts, rows, file, row)), total, n, clean, file, row, strict)
+
+
+def first_of(
+    take: Callable[[int], DataFrame], total: int, n: int, clean: Callable[[DataFrame], DataFrame],
+    file: str = "source_file", row: str = "source_row", strict: bool = True,
+) -> DataFrame:
+    """As :func:`first_clean`, of a source of ``total`` rows of which ``take`` gives the first ones."""
+    want = 2 * n
     while want < total:
-        kept = cut_lineage(clean(df.where(among_first(counts, want, file, row))))
+        kept = cut_lineage(clean(take(want)))
         if kept.count() >= n:
             return first_written(kept, n, file, row, strict)
         want *= 4
-    return first_n(clean(df), n, file, row, strict)
+    return first_n(clean(take(total)), n, file, row, strict)
 
 
 def among_first(counts: Sequence[Row], rows: int, file: str, row: str) -> Column:

@@ -10,7 +10,8 @@ from vectext.operators import corpus as cp, sampling as sp
 from vectext.operators.index import group_running_sum, scan_slice
 from vectext.plans import inputs as ins
 from vectext.plans.registry import query
-from vectext.sources import tables as tb
+from vectext.session import new_shared_path
+from vectext.sources import row_groups as rg, tables as tb
 
 BAD = "(?i)" + "|".join(fx.BAD_PATTERNS)
 NO_SCORE = tx.QualityRules(score_min=None)
@@ -65,6 +66,34 @@ def corpus_slice(spark, folder):
     return scan_slice(tb.read_corpus(spark, f"{folder}/documents.parquet"), 50, 100).select("row_index", F.md5("text").alias("text_md5"))
 
 
+@query(
+    "indexed_slice",
+    "SELECT doc_id, doc_id AS row_index, md5(text) AS text_md5 FROM documents WHERE doc_id >= 40 AND doc_id < 160",
+)
+def indexed_slice(spark, folder):
+    path = f"{folder}/documents.parquet"
+    index = rg.build_index(spark, path, new_shared_path(spark, "groups"))
+    rows = rg.read_path(spark, f"{path}@[40:160]", index, ["doc_id", "text"])
+    return rows.select("doc_id", "row_index", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "indexed_first_clean",
+    f"""WITH {ANY_SCORE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY doc_id) AS rn FROM judged WHERE reject_reason IS NULL)
+    SELECT doc_id, md5(text) AS text_md5 FROM ranked WHERE rn = 1 ORDER BY doc_id LIMIT 60""",
+)
+def indexed_first_clean(spark, folder):
+    path = f"{folder}/documents.parquet"
+    index = rg.build_index(spark, path, new_shared_path(spark, "groups"))
+    schema = spark.read.parquet(path).select("doc_id", "text").schema
+
+    def clean(part):
+        return cp.dedup_prefix(cp.passing(part, NO_SCORE).drop("score"), ["source_file", "source_row"])
+
+    kept = cp.first_of(lambda rows: rg.read_rows(index, schema, 0, rows), rg.total_rows(index), 60, clean)
+    return kept.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 @query(
     "filter_score",
     f"""WITH {ins.CORPUS} SELECT doc_id, printf('%.4f', try_cast(score AS DOUBLE)) AS score_text
