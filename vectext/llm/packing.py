@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vectext.llm.streams import text_of
@@ -31,6 +32,8 @@ from vectext.session import cut_lineage
 #: Rows of pieces in a task's share, and how many shares meet in the next round.
 SHARE_ROWS = 200_000
 FAN_IN = 4
+#: Texts that a task holds as Python strings at once.
+TEXTS = 256
 #: A bin with no more free tokens than this part of it is let go at once.
 NEARLY_FULL = 1 / 128
 
@@ -43,27 +46,29 @@ def token_pieces(
     id_type = rows.schema["id"].dataType.simpleString()
     end = np.array([end_id], dtype=ID_TYPE).tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, kind).encode
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at:at + 256]
+            # Few texts at a time are Python strings; the others stay in the batch.
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 out = []
-                for row_id, body in zip(part["id"].array, part["text"]):
+                for row, body in enumerate(part["text"].to_pylist()):
                     ids = encode(body) + end
                     n = len(ids) // 4
                     ends = range((n - 1) % length + 1, n + 1, length)
                     out += [
-                        (row_id, k, max(0, stop - length), stop - max(0, stop - length), ids[4 * max(0, stop - length):4 * stop])
+                        (row, k, max(0, stop - length), stop - max(0, stop - length), ids[4 * max(0, stop - length):4 * stop])
                         for k, stop in enumerate(ends)
                     ]
-                yield pd.DataFrame({
-                    "id": pd.array([o[0] for o in out], dtype=batch["id"].dtype),
-                    "piece": [o[1] for o in out], "start": [o[2] for o in out],
-                    "length": [o[3] for o in out], "ids": [o[4] for o in out],
-                })
-
-    pieces = rows.mapInPandas(cut, f"id {id_type}, piece int, start bigint, length bigint, ids binary")
+                rows_, *columns = zip(*out)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part["id"].take(pa.array(rows_)), *[pa.array(c, kind_) for c, kind_ in zip(columns, kinds)]],
+                    ["id", "piece", "start", "length", "ids"],
+                )
+
+    pieces = rows.mapInArrow(cut, f"id {id_type}, piece int, start bigint, length bigint, ids binary")
     return pieces.withColumnRenamed("id", id)
 
 
