@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from vectext.plans import stream_queries as sq
 from vectext.session import CUTS, cut_lineage, drop_cuts, new_shared_path, shared_folder
 from vectext.streaming import streams as st
 from vectext.streaming.state import first_rows, score_collected
@@ -34,6 +35,22 @@ def test_resume_never_redoes_a_file(spark, tmp_path):
     assert set(second) == {1, 2, 3} and all(second[n] == first[n] for n in first)
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_score_reads_a_file_or_a_folder(spark, tmp_path, files):
+    """The table may be one file or a folder of files of any names."""
+    table = f"{tmp_path}/documents.parquet"
+    texts = [(i, f"Text {i}", "en", "web", 6) for i in range(20)]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    if files == 1:
+        rows.toPandas().to_parquet(table)
+    else:
+        rows.repartition(files).write.parquet(table)
+    got = {r["final_status"]: r["rows"] for r in sq.stream_score(spark, str(tmp_path)).collect()}
+    # Every fifth text has no tags, every ninth is cut off.
+    failed = sum(i % 5 == 0 or i % 9 == 0 for i in range(20))
+    assert got == {"failed": failed, "completed": 20 - failed}
+
+
 def test_stream_dedup_equals_batch(spark, tmp_path):
     for i in range(3):
         add_file(spark, tmp_path, i, [(f"Text  {j % 4}", i * 10 + j) for j in range(8)])

@@ -14,8 +14,18 @@ from vectext.operators.lookups import first_per_key
 from vectext.streaming.state import first_rows
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path, not a pattern, is that of a single file, as the session's file systems know it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(found) and system.getFileStatus(found).isFile()
+
+
 def read_files(spark: SparkSession, folder: str, schema, name: str | None = None, files_per_batch: int = 64) -> DataFrame:
-    """Parquet files of a folder as a stream; ``name`` limits it to matching files."""
+    """Parquet files of a folder, or a single file, as a stream; ``name`` limits it to matching files."""
+    if is_file(spark, folder):
+        # The source takes a plain path for a folder of partitions; a pattern may be one file's.
+        folder = f"{folder[:-1]}[{folder[-1]}]"
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if name is not None:
         reader = reader.option("pathGlobFilter", name)
