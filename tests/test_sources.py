@@ -371,6 +371,34 @@ def test_whole_job(spark, tmp_path):
         jobs.run_job(spark, {**config, "build": {}}, ["build"])
 
 
+def test_batches_of_small_files_stay_few(spark, tmp_path, monkeypatch):
+    """The number of batches does not grow with the table while batches are small."""
+    monkeypatch.setattr(jobs, "BATCHES", 2)
+    corpus = f"{tmp_path}/corpus"
+    texts = [(" ".join(f"w{i}x{j}" for j in range(55 + i)),) for i in range(30)]
+    spark.createDataFrame(texts, "text string").coalesce(1).write.parquet(corpus)
+    config = {
+        "output": f"{tmp_path}/out", "base_model": "org/m", "layer_index": 2, "width": 3,
+        "corpus": {"path": corpus, "name": "c", "start": 0, "length": 30},
+        "base": {"positions_per_doc": 2, "extractor": "plugins.LengthExtractor"},
+        "explain": {"provider": "plugins.EchoProvider", "rows_per_file": 2, "files_per_batch": 1, "chunk_size": 2},
+    }
+    paths = jobs.run_job(spark, config, ["base", "split", "explain"])
+    for stage in ("av_sft", "ar_sft"):
+        explained, rejected = spark.read.parquet(paths[f"{stage}_explained"]), glob.glob(f"{paths[f'{stage}_rejects']}/batch=*/*.json")
+        lost = spark.read.json(paths[f"{stage}_rejects"]).count() if any(os.path.getsize(f) for f in rejected) else 0
+        assert explained.count() + lost == jobs.read_split(spark, paths, stage).count() > 4
+        assert len(glob.glob(f"{paths[f'{stage}_explained']}/batch=*")) <= 2
+
+
+def test_batch_files():
+    assert jobs.batch_files(10, 2, 150) == 2  # as set
+    assert jobs.batch_files(1000, 2, 150) == 63  # a sixteenth
+    assert jobs.batch_files(10**7, 2, 150) == 64 * fx.ROWS_PER_FILE // 150  # no more rows than a batch of the defaults
+    assert jobs.batch_files(10**7, 64, fx.ROWS_PER_FILE) == 64  # the defaults stay
+    assert jobs.batch_files(0, 2, 150) == 2
+
+
 def test_token_ids_from_a_tokenizer():
     build = {"tokenizer": "plugins.piece_ids", "tokens": {"injection_left_neighbor_id": 5}}
     ids = jobs.token_ids(build, "#", "say <c> # </c> now", "text: {explanation} end of it")
