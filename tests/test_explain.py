@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vectext.functions.keys import text_key
 from vectext.operators import build as bd, explain as ex
+from vectext.session import CUTS
 
 def base(spark, texts):
     rows = [(i, f"c:train:{i}", i + 51, 20, t, [float(i), 1.0]) for i, t in enumerate(texts)]
@@ -85,6 +86,22 @@ def test_match_share(spark, matched, ok):
             ex.reuse_exact(rows, prior, ["n_raw_tokens"])
 
 
+def test_reuse_moves_no_text(spark, tmp_path):
+    """The share is counted from keys: texts are neither written nor shuffled unless the caller goes on with them."""
+    rows = spark.range(20).select(F.col("id").cast("string").alias("doc_id"), F.lit(60).alias("n_raw_tokens"), F.lit("t").alias(ex.TEXT))
+    rows.write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    prior = rows.drop(ex.TEXT).withColumn("api_explanation", F.lit("e"))
+    cuts = len(CUTS)
+    joined = ex.reuse_exact(raw, prior, ["n_raw_tokens"])
+    assert all(ex.TEXT not in spark.read.parquet(path).columns for path in CUTS[cuts:])
+    narrow = joined.select("doc_id", "api_explanation")
+    read = narrow._jdf.queryExecution().sparkPlan().toString().split("ReadSchema: ")[1:]
+    assert read and not any(ex.TEXT in schema for schema in read)
+    assert sorted(r["doc_id"] for r in narrow.collect()) == sorted(str(i) for i in range(20))
+    assert joined.columns == [*raw.columns, "api_explanation"] and joined.where(F.col(ex.TEXT) == "t").count() == 20
+
+
 def test_reuse_last_wins(spark):
     raw = spark.createDataFrame([("d", 60), ("e", 60)], "doc_id string, n_raw_tokens bigint")
     prior = spark.createDataFrame([("d", 60, "old", 1), ("d", 60, "new", 2)], "doc_id string, n_raw_tokens bigint, api_explanation string, at int")

@@ -186,19 +186,21 @@ def reuse_exact(
     """Explanations of an earlier run by (document, position); other rows drop.
 
     ``prior`` may repeat a key, the greatest ``order`` wins. A matched share
-    below ``min_share`` is an error: the runs do not belong together.
+    below ``min_share`` is an error: the runs do not belong together. The share
+    is counted from keys alone, so ``raw`` is read twice, and of its other
+    columns only those move that the caller goes on with.
     """
     key = ["doc_id", "n_raw_tokens"]
     lut = last_per_key(prior.select(*key, EXPLANATION, *[c for c in order if c not in key]), key, order)
-    lut = lut.select(*key, EXPLANATION, F.lit(True).alias("_matched"))
-    joined = raw.join(lut, key, "left")
+    lut = lut.select(*key, EXPLANATION)
     if min_share is not None:
-        # One pass over both sides, written once: the share and the rows come from the same table.
-        joined = cut_lineage(joined)
-        total, matched = joined.agg(F.count("*"), F.count("_matched")).first()
+        # One explanation per key, written once: the share and the rows come from the same table.
+        lut = cut_lineage(lut)
+        keys = raw.select(*key).join(lut.select(*key, F.lit(True).alias("_matched")), key, "left")
+        total, matched = keys.agg(F.count("*"), F.count("_matched")).first()
         if total == 0 or matched / total < min_share:
             raise ValueError(f"{matched} of {total} rows matched, below {min_share}")
-    return joined.where("_matched").select(*raw.columns, EXPLANATION)
+    return raw.join(lut, key).select(*raw.columns, EXPLANATION)
 
 
 def pending_chunks(df: DataFrame, done: DataFrame, index: str, chunk_rows: int = fx.EXPLAIN_CHUNK) -> DataFrame:
