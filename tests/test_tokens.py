@@ -1,5 +1,6 @@
 """Tokens, sampling, markers and masks."""
 
+import pyarrow as pa
 import pytest
 from conftest import fails
 from pyspark.sql import functions as F
@@ -157,6 +158,21 @@ def test_tokenizer_plug_in(spark):
     assert sp.with_tokens(df, tokenizer=letters("text")).first()["tokens"] == ["a", "b", "c"]
 
 
+def test_python_tokenizer_works_in_slices(spark, monkeypatch):
+    """All rows come back in place, with few texts' tokens at once whatever the size of a batch."""
+    monkeypatch.setattr(sp, "SLICE_BYTES", 64)
+    texts = [(i, None if i % 7 == 3 else "ab c " * (i % 5) + "é" * (40 * (i % 11 == 0))) for i in range(100)]
+    df = spark.createDataFrame(texts, "i int, text string").coalesce(1)
+    got = sp.with_tokens(df, tokenizer=sp.python_tokenizer(str.split)("text")).orderBy("i").collect()
+    assert [r["tokens"] for r in got] == [None if t is None else t.split() for _, t in texts]
+    assert sp.with_tokens(df.limit(0), tokenizer=sp.python_tokenizer(str.split)("text")).count() == 0
+    # The slices themselves, as a worker makes them.
+    run = sp.python_tokenizer(str.split).func
+    out = list(run(iter([pa.array(["x y"] * 100), pa.array([], pa.string()), pa.array(["z" * 1000, None])])))
+    assert [t for part in out for t in part.to_pylist()] == [["x", "y"]] * 100 + [["z" * 1000], None]
+    assert max(map(len, out)) <= 64 // 3 + 1
+
+
 def test_extractor_plug_in(spark):
     df = spark.createDataFrame([("ab",), ("c",)], "detokenized_text_truncated string")
     out = sp.extract_vectors(df, lambda texts, layer: [[len(t), layer] for t in texts], 7, 2)

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vectext import fixed_values as fx
@@ -14,12 +16,36 @@ from vectext.functions.keys import hash_number
 from vectext.operators.index import global_index
 from vectext.operators.lookups import lookup_join
 
+#: UTF-8 bytes of text, give or take a text, whose tokens are Python strings at once.
+SLICE_BYTES = 1 << 20
+
 
 def with_tokens(df: DataFrame, text: str = "text", max_length: int | None = None, tokenizer: Column | None = None) -> DataFrame:
     """Adds ``tokens``; ``tokenizer`` may be any array<string> column, such as an Arrow UDF call."""
     return df.withColumn("tokens", tk.tokens(F.col(text), max_length) if tokenizer is None else tokenizer)
 
 
+def python_tokenizer(tokenize: Callable[[str], Sequence[str]]) -> Callable[[Column | str], Column]:
+    """A Python function of one text as a ``tokenizer`` of whole columns; null texts stay null.
+
+    A text becomes many Python strings, so a batch is tokenised and passed on in
+    slices of ``SLICE_BYTES`` of text: a worker never holds the tokens of more.
+    """
+
+    @F.arrow_udf("array<string>")
+    def tokenized(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            # A text that takes the sum over another multiple begins a slice.
+            filled = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+            ends = [*(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(texts)]
+            for start, end in zip([0, *ends], ends):
+                found = [None if t is None else list(tokenize(t)) for t in texts.slice(start, end - start).to_pylist()]
+                yield pa.array(found, pa.list_(pa.string()))
+
+    return tokenized
+
+
 def sample_positions(
     df: DataFrame,
     key: str,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import functions as F
 
 from vectext import fixed_values as fx
@@ -140,10 +141,7 @@ def text_dedup(spark, folder):
     "SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents)",
 )
 def tokenizer_plugin(spark, folder):
-    @F.pandas_udf("array<string>")
-    def letters(texts: pd.Series) -> pd.Series:
-        return texts.str.lower().str.findall("[a-z]+")
-
+    letters = sp.python_tokenizer(lambda text: re.findall("[a-z]+", text.lower()))
     docs = ins.table(spark, folder, "documents").select("doc_id", "text")
     tokens = sp.with_tokens(docs, tokenizer=letters("text"))
     return tokens.select(
