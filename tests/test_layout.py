@@ -107,6 +107,18 @@ def test_slice_reads_few_files(spark, tmp_path):
         ix.scan_slice(df, 960, 100)
 
 
+def test_slice_ranks_only_blocks_that_hold_it(spark, tmp_path, monkeypatch):
+    """Where rows are missing, no more than the slice's blocks are shuffled to be ranked."""
+    monkeypatch.setattr(ix, "BLOCK_ROWS", 10)
+    spark.range(0, 100, 1, 1).select(F.col("id").cast("string").alias("text")).write.parquet(f"{tmp_path}/in")
+    df = tb.read_corpus(spark, f"{tmp_path}/in").where("cast(text as int) % 3 > 0")
+    got = ix.scan_slice(df, 30, 3)
+    kept = [str(i) for i in range(100) if i % 3]
+    assert [r["text"] for r in got.orderBy("row_index").collect()] == kept[30:33]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Window [row_number") < plan.index("Join ")  # the join lies below
+
+
 def test_running_sum_of_a_group(spark):
     df = spark.range(200).select("id", (F.col("id") % 5).alias("v"), F.lit(1).alias("g"))
     got = dict(pairs(ix.group_running_sum(df, "v", "id", ["g"]), "id", "running"))

@@ -14,7 +14,7 @@ from vectext import fixed_values as fx
 from vectext.functions import keys as ky
 from vectext.operators import manifests as mf
 from plugins import piece_ids
-from vectext.plans import jobs
+from vectext.plans import inputs as ins, job_queries as jq, jobs
 from vectext.sources import manifest as ms, tables as tb
 
 X = F.col("x")
@@ -391,6 +391,22 @@ def test_batches_of_small_files_stay_few(spark, tmp_path, monkeypatch):
         assert len(glob.glob(f"{paths[f'{stage}_explained']}/batch=*")) <= 2
 
 
+def test_ranges_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """A table that is written anew goes to as many tasks as its bytes ask for, with the same rows."""
+    texts = [(i, f"text {i} " + hashlib.sha256(str(i).encode()).hexdigest() * 20) for i in range(200)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    assert ins.range_count(spark, str(tmp_path), "documents") == 4
+    kept = [t for i, t in texts if i % 3][20:100]
+    held = sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/documents.parquet/*.parquet"))
+    for size, files in ((ins.RANGE_BYTES, 4), (held // 8, 8)):
+        monkeypatch.setattr(ins, "RANGE_BYTES", size)
+        paths = []
+        monkeypatch.setattr(jq, "new_shared_path", lambda spark, name: paths.append(f"{tmp_path}/{name}{files}") or paths[-1])
+        got = jq.ingest_split(spark, str(tmp_path)).orderBy("row_index").collect()
+        assert [tuple(r) for r in got] == [(i, hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(kept, 20)]
+        assert files <= len(glob.glob(f"{paths[0]}/*.parquet")) <= files + 1
+
+
 def test_batch_files():
     assert jobs.batch_files(10, 2, 150) == 2  # as set
     assert jobs.batch_files(1000, 2, 150) == 63  # a sixteenth

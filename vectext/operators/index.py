@@ -185,11 +185,13 @@ def scan_slice(
     )
     part = df.where(F.col(file).isin(files)) if files else df.where(F.lit(False))
     part = part.withColumn("_block", F.floor(F.col(row) / BLOCK_ROWS).cast("bigint"))
+    # Joined first, so that only rows of blocks that hold the slice are ever shuffled.
+    part = part.join(F.broadcast(offsets), [file, "_block"])
     if all(r["_whole"] for r in held):
         inside = F.col(row) - F.col("_block") * BLOCK_ROWS
     else:
         inside = F.row_number().over(Window.partitionBy(file, "_block").orderBy(row)) - 1
-    ranked = part.join(F.broadcast(offsets), [file, "_block"]).withColumn(out, (F.col("_before") + inside).cast("bigint"))
+    ranked = part.withColumn(out, (F.col("_before") + inside).cast("bigint"))
     return ranked.where(F.col(out).between(start, end - 1)).select(*df.columns, out)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vectext import fixed_values as fx
@@ -13,6 +15,8 @@ SPECIALS = ["the", "and"]
 WIDTH = 64
 WIDE_TABLES = ("documents", "conversations", "pages", "embeddings")
 LAYER = 20
+#: Bytes of a table's files that go into one range where it is written in another order.
+RANGE_BYTES = 16 << 20
 CRITIC_HEAD, CRITIC_TAIL = fx.CRITIC_TEMPLATE.split("{explanation}")
 #: The explanation of a row between its tags, in SQL.
 WRAPPED = f"'{fx.EXPLANATION_OPEN}' || chr(10) || api_explanation || chr(10) || '{fx.EXPLANATION_CLOSE}'"
@@ -34,6 +38,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df if parts is None or name not in WIDE_TABLES else df.repartition(int(parts))
 
 
+def range_count(spark: SparkSession, folder: str, name: str) -> int:
+    """Ranges to write a table anew in: four, or as many more as keep each near ``RANGE_BYTES`` of it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    held = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(4, math.ceil(held / RANGE_BYTES))
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their quality label as a score held as text."""
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("string").alias("score"))

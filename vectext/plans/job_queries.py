@@ -29,7 +29,7 @@ def ingest_split(spark, folder):
         "doc_id", "text", F.when(F.pmod("doc_id", F.lit(3)) > 0, "train").otherwise("test").alias("split")
     )
     path = new_shared_path(spark, "mixed")
-    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.parquet(path)
+    docs.repartitionByRange(ins.range_count(spark, folder, "documents"), "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.parquet(path)
     return tb.ingest_slice(spark, path, "train", 20, 80).select("row_index", F.md5("text").alias("text_md5"))
 
 
@@ -171,7 +171,7 @@ def run_job(spark, folder, steps):
     """A job over all documents into a new folder."""
     docs = ins.table(spark, folder, "documents").select("doc_id", "text")
     corpus = new_shared_path(spark, "corpus")
-    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.parquet(corpus)
+    docs.repartitionByRange(ins.range_count(spark, folder, "documents"), "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.parquet(corpus)
     config = {
         "output": new_shared_path(spark, "job"), "base_model": "org/m", "layer_index": 2, "width": 3,
         "corpus": {"path": corpus, "name": "documents", "start": 0, "length": docs.count()},
