@@ -1,11 +1,13 @@
 """Streams against their batch results."""
 
+import glob
+import os
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from vectext.plans import stream_queries as sq
+from vectext.plans import inputs as ins, stream_queries as sq
 from vectext.session import CUTS, cut_lineage, drop_cuts, new_shared_path, shared_folder
 from vectext.streaming import streams as st
 from vectext.streaming.state import first_rows, score_collected
@@ -67,6 +69,20 @@ def test_stream_dedup_equals_batch(spark, tmp_path):
     assert run() == [(-1, "TEXT 2"), (0, "Text  0"), (1, "Text  1"), (3, "Text  3"), (7, "new")]
 
 
+def test_stream_dedup_of_many_files(spark, tmp_path, monkeypatch):
+    """A larger table arrives in more files, in no more batches and with the same result."""
+    texts = [(i, f"Text {i % 30}", "en", "web", 7) for i in range(200)]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    paths = {}
+    monkeypatch.setattr(sq, "new_shared_path", lambda spark, name: paths.setdefault(name, f"{tmp_path}/{name}"))
+    monkeypatch.setattr(ins, "range_count", lambda *a: 10)
+    got = sq.stream_dedup(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(30))
+    assert len(glob.glob(f"{paths['arriving']}/*.parquet")) > 4
+    assert 1 < len([f for f in os.listdir(f"{paths['dedup-state']}/commits") if f.isdigit()]) <= 4
+
+
 def test_bounded_dedup(spark, tmp_path):
     out = f"{tmp_path}/out"
     for number, rows in enumerate(([("a", 1), ("a", 2), ("b", 3)], [("a", 50)], [("a", 5000)])):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from vectext.operators import scoring as sc
@@ -20,8 +22,10 @@ def stream_dedup(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     # Several files, written in reverse, so that winners arrive late and in other batches.
     files = new_shared_path(spark, "arriving")
-    docs.repartitionByRange(4, F.col("doc_id").desc()).write.parquet(files)
-    arriving = st.read_files(spark, files, docs.schema, files_per_batch=1)
+    docs.repartitionByRange(ins.range_count(spark, folder, "documents"), F.col("doc_id").desc()).write.parquet(files)
+    # Four batches, of one file each while there are no more files.
+    count = len(spark.read.schema(docs.schema).parquet(files).inputFiles())
+    arriving = st.read_files(spark, files, docs.schema, files_per_batch=max(1, math.ceil(count / 4)))
     path, checkpoint = new_shared_path(spark, "dedup"), new_shared_path(spark, "dedup-state")
     st.dedup_batches(arriving, path, checkpoint, ["doc_id"]).awaitTermination()
     return st.deduped(spark, path, ["doc_id"]).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
