@@ -77,6 +77,17 @@ def test_words_put_together_are_the_tokenizers_ids(name, kind, monkeypatch):
         assert e.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+@pytest.mark.parametrize("kind, name", [("bytes", "byte_bpe_50k.json"), ("words", "word_bpe_49k.json")])
+def test_words_with_marks_are_not_remembered(kind, name):
+    """Letters are remembered once, whatever marks stand behind them."""
+    path = public_tokenizers.path(name)
+    coder, plain = tokenizing.TextEncoder(path, kind), Tokenizer.from_file(path)
+    text = "stone, stone. stone!? wood; wood ... 5, x1. don't, a.b.c."
+    assert coder.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    remembered = set(coder.first) | set(coder.spaced)
+    assert {"stone", "wood"} <= remembered and not remembered & {"stone,", "stone.", "stone!?", "wood;", "don't,", "a.b.c."}
+
+
 def test_checksum_of_columns(spark):
     df = spark.createDataFrame([("é",), ("",)], "t string").select(F.crc32(F.col("t").cast("binary")))
     assert [r[0] for r in df.collect()] == [zlib.crc32("é".encode()), 0]

@@ -67,6 +67,9 @@ def token_pieces(
                     [part["id"].take(pa.array(rows_)), *[pa.array(c, kind_) for c, kind_ in zip(columns, kinds)]],
                     ["id", "piece", "start", "length", "ids"],
                 )
+            # A worker waits for later stages' tasks: it gives back what Arrow would keep of its batches.
+            batch = part = None
+            pa.default_memory_pool().release_unused()
 
     pieces = rows.mapInArrow(cut, f"id {id_type}, piece int, start bigint, length bigint, ids binary")
     return pieces.withColumnRenamed("id", id)

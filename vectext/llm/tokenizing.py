@@ -42,7 +42,9 @@ class Words(dict):
 
     Words of the last generation are remembered as well, so frequent words
     outlive a full memory. A word that ends in marks behind a letter is the ids
-    of its letters and of its marks, since no merge crosses from one to the other.
+    of its letters and of its marks, since no merge crosses from one to the other;
+    it is put together each time, as letters with all marks behind them would be
+    most of what is remembered.
     """
 
     def __init__(self, tokenizer, lead: str = "") -> None:
@@ -50,6 +52,9 @@ class Words(dict):
         self.marks = Words(tokenizer) if lead else self
 
     def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(MARKS)
+        if len(stem) < len(word) and stem and stem[-1].isalpha():
+            return self[stem] + self.marks[word[len(stem):]]
         found = self.older.get(word)
         if found is None:
             found = self.make(word)
@@ -60,9 +65,6 @@ class Words(dict):
         return found
 
     def make(self, word: str) -> bytes:
-        stem = word.rstrip(MARKS)
-        if len(stem) < len(word) and stem and stem[-1].isalpha():
-            return self[stem] + self.marks[word[len(stem):]]
         if word.isalpha():
             # Letters alone are one piece, which the vocabulary's merges can be given as it is.
             letters = (self.lead + word).encode().decode("latin-1").translate(BYTE_LETTERS)
