@@ -88,6 +88,37 @@ def test_words_with_marks_are_not_remembered(kind, name):
     assert {"stone", "wood"} <= remembered and not remembered & {"stone,", "stone.", "stone!?", "wood;", "don't,", "a.b.c."}
 
 
+KINDS = [("bytes", "byte_bpe_50k.json"), ("words", "word_bpe_49k.json"), ("whole", "byte_bpe_50k.json")]
+
+
+@pytest.mark.parametrize("kind, name", KINDS)
+@pytest.mark.parametrize("together", [1, 40, 1 << 20])
+def test_texts_cut_together_are_each_the_tokenizers_ids(kind, name, together, monkeypatch):
+    """Cut or whole, empty or not, in any slices: each text's ids are those it has alone, in order."""
+    monkeypatch.setattr(tokenizing, "TOGETHER", together)
+    monkeypatch.setattr(tokenizing, "MADE", 7)
+    monkeypatch.setattr(tokenizing, "MAX_WORDS", 30)
+    rnd = random.Random(4)
+    words = ["stone", "Élan", "é.", "ŵ,", "×.", "÷;", "ª.", "²:", "x1.", "don't", "a.b's", "(it)", "5%", ".", "'s", "...", "中", "<|endoftext|>"]
+    texts = ["", ".", "", " ", "é", "\n", "a", ""]
+    texts += [rnd.choice((" ", "\n", "\t")).join(rnd.choices(words, k=rnd.randint(0, 9))) + rnd.choice(("", " ", "  ")) for _ in range(600)]
+    coder = tokenizing.TextEncoder(public_tokenizers.path(name), kind)
+    want = [e.ids for e in Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode_all(iter(texts))] == want
+
+
+@pytest.mark.parametrize("kind, name", KINDS[:2])
+def test_a_word_is_looked_up_once_per_slice(kind, name, monkeypatch):
+    """What a frequent word costs is not a step of Python for each time it occurs."""
+    asked, look_up = [], tokenizing.Words.ids_of
+    monkeypatch.setattr(tokenizing.Words, "ids_of", lambda self, words: asked.extend(words) or look_up(self, words))
+    coder = tokenizing.TextEncoder(public_tokenizers.path(name), kind)
+    text = "the stone, the wood. " * 50 + "end"
+    alone = Tokenizer.from_file(public_tokenizers.path(name)).encode(text, add_special_tokens=False).ids
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode_all([text] * 40)] == [alone] * 40
+    assert len(asked) <= 10
+
+
 def test_checksum_of_columns(spark):
     df = spark.createDataFrame([("é",), ("",)], "t string").select(F.crc32(F.col("t").cast("binary")))
     assert [r[0] for r in df.collect()] == [zlib.crc32("é".encode()), 0]

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from vectext.session import cut_lineage
 #: Rows of pieces in a task's share, and how many shares meet in the next round.
 SHARE_ROWS = 200_000
 FAN_IN = 4
-#: Texts that a task holds as Python strings at once.
+#: Texts whose pieces a task gives back together.
 TEXTS = 256
 #: A bin with no more free tokens than this part of it is let go at once.
 NEARLY_FULL = 1 / 128
@@ -47,14 +48,15 @@ def token_pieces(
     end = np.array([end_id], dtype=ID_TYPE).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, kind).encode
+        encode_all = encoder(path, kind).encode_all
         for batch in batches:
             # Few texts at a time are Python strings; the others stay in the batch.
+            encoded = encode_all(body.as_py() for body in batch["text"])
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
                 out = []
-                for row, body in enumerate(part["text"].to_pylist()):
-                    ids = encode(body) + end
+                for row, ids in enumerate(islice(encoded, part.num_rows)):
+                    ids += end
                     n = len(ids) // 4
                     ends = range((n - 1) % length + 1, n + 1, length)
                     out += [
@@ -68,7 +70,7 @@ def token_pieces(
                     ["id", "piece", "start", "length", "ids"],
                 )
             # A worker waits for later stages' tasks: it gives back what Arrow would keep of its batches.
-            batch = part = None
+            batch = part = encoded = None
             pa.default_memory_pool().release_unused()
 
     pieces = rows.mapInArrow(cut, f"id {id_type}, piece int, start bigint, length bigint, ids binary")
