@@ -85,7 +85,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         part, block, docs = TaskContext.get().partitionId(), 0, 0
-        encode = encoder(path, kind).encode
+        encode_all = encoder(path, kind).encode_all
         held, spans, space = [], [], block_ids
         schema: pa.Schema | None = None
 
@@ -99,23 +99,22 @@ def write_token_files(
         for batch in batches:
             if schema is None:
                 schema = block_schema(batch.schema.field("id").type)
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for doc_id, body in zip(piece["id"].to_pylist(), piece["text"].to_pylist()):
-                    ids = encode(body) + end
-                    total, first = len(ids) // 4, 0
-                    while first < total:
-                        take = min(space, total - first)
-                        spans.append({
-                            "doc": docs, "id": doc_id, "first": first, "at": block_ids - space,
-                            "length": take, "whole": take == total,
-                        })
-                        held.append(ids[4 * first:4 * (first + take)])
-                        first, space = first + take, space - take
-                        if not space:
-                            yield row()
-                            held, spans, space, block = [], [], block_ids, block + 1
-                    docs += 1
+            encoded = encode_all(body.as_py() for body in batch["text"])
+            for doc_id, ids in zip((key.as_py() for key in batch["id"]), encoded):
+                ids += end
+                total, first = len(ids) // 4, 0
+                while first < total:
+                    take = min(space, total - first)
+                    spans.append({
+                        "doc": docs, "id": doc_id, "first": first, "at": block_ids - space,
+                        "length": take, "whole": take == total,
+                    })
+                    held.append(ids[4 * first:4 * (first + take)])
+                    first, space = first + take, space - take
+                    if not space:
+                        yield row()
+                        held, spans, space, block = [], [], block_ids, block + 1
+                docs += 1
         if held:
             yield row()
 
