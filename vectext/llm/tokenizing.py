@@ -2,7 +2,7 @@
 
 The tokenizers here never merge across a space, so a text whose white space
 comes in single characters is the ids of its words put together, and a word's
-ids need be found once per worker. Texts are cut together, a MB at a time:
+ids need be found once per worker. Texts are cut together, half a MB at a time:
 Arrow finds the distinct words, the tokenizer is given those not yet known in one
 go, and Arrow puts the ids in place. Other texts, and texts that hold the string
 of an added token, go to the tokenizer whole. The ids are the tokenizer's own, as
@@ -23,9 +23,9 @@ import pyarrow as pa
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words remembered per worker and generation.
-MAX_WORDS = 600_000
+MAX_WORDS = 150_000
 #: Characters of texts that are cut into words together (or one text), and words that are made together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 MADE = 1 << 13
 #: Texts of other characters are not cut into words here (capital I with dot changes length in lower case).
 OTHER = re.compile("[^\t\n\r -~¡-įı-ſ]")
